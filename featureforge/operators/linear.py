@@ -13,7 +13,7 @@ from featureforge.operators.moments import (
     Design, design_columns, fold_centres, fold_moments, gram_partials, make_design, prepare, sum_vectors,
 )
 from featureforge.operators.quantiles import exact_quantiles
-from featureforge.operators.scaling import fold_names
+from featureforge.operators.scaling import TRAIN_ONLY, fold_names
 from featureforge.operators.solvers import LINEAR, reduction_basis, f_scores, best_k, capped, principal_axes
 from featureforge.staging import stage
 
@@ -199,7 +199,7 @@ def fit_pls(df, features, y, fold, components: int, **how):
 def _whole_table_moments(df: DataFrame, features: Sequence[str], y: str | None):
     """Design and moments of all rows: the held-out part is an empty fold."""
     source = df if y is not None else df.withColumn("_zero", F.lit(0.0))
-    marked = source.withColumn("_fold", F.lit("train"))
+    marked = source.withColumn("_fold", F.lit(TRAIN_ONLY))
     prepared = stage(prepare(marked, features, y or "_zero", "_fold"), "prepared")
     design = make_design(prepared, features)
     rows = prepared.select("fold", *design_columns(design))

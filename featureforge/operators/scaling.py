@@ -17,12 +17,12 @@ from featureforge.functions.columns import number
 from featureforge.operators.quantiles import exact_quantiles
 from featureforge.staging import stage
 
-TRAIN_ONLY = "train"
+TRAIN_ONLY = "__train__"
 MAX_LISTED_FOLDS = 10_000
 
 
 def fold_names(df: DataFrame, fold: str = "fold") -> list[str]:
-    """Folds that are held out once; rows of the fold ``train`` never are."""
+    """Folds that are held out once; rows of the fold ``__train__`` never are."""
     rows = df.select(F.col(fold).cast("string").alias("f")).distinct().limit(MAX_LISTED_FOLDS + 1).collect()
     if len(rows) > MAX_LISTED_FOLDS:
         raise ValueError(f"more than {MAX_LISTED_FOLDS} folds; use fewer or coarser groups")
