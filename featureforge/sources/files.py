@@ -21,10 +21,10 @@ def readable_text(raw: Column) -> Column:
 
 def read_corpus(spark: SparkSession, path: str | Sequence[str], glob: str | None = None) -> DataFrame:
     """One row per file: ``file_name``, ``path``, ``text``. Subfolders are included."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+    reader = spark.read.option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(path).select(
+    return reader.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("file_name"),
         F.col("_metadata.file_path").alias("path"),
         readable_text(F.col("value")).alias("text"),

@@ -16,12 +16,12 @@ def stream_reports(
     files_per_trigger: int | None = None,
 ) -> DataFrame:
     """Stream of ``(file_name, text)``: one row per new file, or per line of it."""
-    reader = spark.readStream.schema(TEXT).option("wholetext", wholetext).option("recursiveFileLookup", True)
+    reader = spark.readStream.schema(TEXT).option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.text(folder).select(
+    return reader.text(folder, wholetext=wholetext).select(
         F.col("_metadata.file_name").alias("file_name"), readable_text(F.col("value")).alias("text")
     )
 
