@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-THEMES = ("text_queries", "table_queries")
+THEMES = ("text_queries", "table_queries", "profile_queries", "model_queries")
 
 
 def load():

@@ -315,15 +315,15 @@ def f3_safe_div(t: Tables) -> DataFrame:
 
 
 @query("f4_add_ratios", """
-select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(l_quantity, 0), 6) as price_per_unit,
-  round(l_tax / nullif(l_discount, 0), 6) as tax_per_discount from lineitem""")
+select l_orderkey, l_linenumber, l_partkey, round(l_extendedprice / nullif(l_quantity, 0), 8) as price_per_unit,
+  round(l_tax / nullif(l_discount, 0), 8) as tax_per_discount from lineitem""")
 def f4_add_ratios(t: Tables) -> DataFrame:
     ratios = [
         ("price_per_unit", "l_extendedprice", "l_quantity"), ("tax_per_discount", "l_tax", "l_discount"),
         ("skipped", "l_tax", "not_there"),
     ]
     wide = add_ratios(t.lineitem, ratios)
-    return rounded(wide.select("l_orderkey", "l_linenumber", "l_partkey", "price_per_unit", "tax_per_discount"))
+    return rounded(wide.select("l_orderkey", "l_linenumber", "l_partkey", "price_per_unit", "tax_per_discount"), 8)
 
 
 @query("f5_ratio_target", """
