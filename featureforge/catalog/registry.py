@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from featureforge.staging import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -19,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """Columns of a table for costly expressions: on all cores also where the table is one small file."""
+        return spread(getattr(self, name).select(*columns))
+
 
 def query(name: str, sql: str | None = None):
     """Register ``f(tables) -> DataFrame`` under ``name``."""

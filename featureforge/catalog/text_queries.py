@@ -54,7 +54,7 @@ select 'source' as group_column, source as group_value,
 from d group by source""")
 def entry_corpus_profile(t: Tables) -> DataFrame:
     """Counts from text, sparse labels joined on, summary per source."""
-    counted = count_patterns(t.documents, "text", {"numbers": "[0-9]+"}).withColumn("lines", count_lines("text"))
+    counted = count_patterns(t.spread("documents", "doc_id", "source", "text"), "text", {"numbers": "[0-9]+"}).withColumn("lines", count_lines("text"))
     joined = enrich(counted.select("doc_id", "source", "numbers", "lines"), t.labels, "doc_id")
     return rounded(group_summary(joined, ["source"], ["numbers", "lines", "quality"]))
 
@@ -191,7 +191,7 @@ select doc_id, try_cast(regexp_extract_all(text, '([0-9]+)', 1)[-1] as double) a
        try_cast(regexp_extract_all(text, '([0-9]+)[.]', 1)[-1] as bigint) as last_before_dot
 from documents""")
 def x1_last_match(t: Tables) -> DataFrame:
-    return extract_metrics(t.documents, "text", {
+    return extract_metrics(t.spread("documents", "doc_id", "text"), "text", {
         "last_number": ("([0-9]+)", "double"), "last_vowels": ("([aeiou]+)", "string"),
         "last_before_dot": (r"([0-9]+)[.]", "bigint"),
     }, which="last").select("doc_id", "last_number", "last_vowels", "last_before_dot")
@@ -204,7 +204,7 @@ select page_id, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') as
        try_cast(nullif(regexp_extract(html, 'no such ([0-9.]+)', 1), '') as double) as absent
 from pages""")
 def x2_first_match(t: Tables) -> DataFrame:
-    return t.pages.select(
+    return t.spread("pages", "page_id", "url", "html").select(
         "page_id", extract_first("html", r"<title>([^<]*)</title>").alias("title"),
         extract_first("html", r'lang="([a-z]+)"').alias("lang"),
         extract_first("url", r"/([0-9]+)", "bigint").alias("number"),
@@ -245,7 +245,7 @@ select event_id, {_lenient('benchmark', 1, None, 'UNKNOWN')}, {_lenient('dataset
   {_lenient('experimental_setup', 7, 'setup', 'none')}
 from n""")
 def x3_parse_key_lenient(t: Tables) -> DataFrame:
-    named = t.events.select("event_id", F.expr(LOG_NAME).alias("k"))
+    named = t.spread("events", "event_id", "event_type", "user_id").select("event_id", F.expr(LOG_NAME).alias("k"))
     return parse_key(named, "k", LOG_KEY, "lenient").drop("k")
 
 
@@ -270,7 +270,7 @@ select event_id, {_strict(CONFIG_PATTERN + '_orclk([\\d.]+)', True)},
   case when regexp_matches(k, '{CONFIG_PATTERN}_orclk([\\d.]+)') then 'ok' else 'failed' end as config_parse_status
 from n""")
 def x4_parse_key_null(t: Tables) -> DataFrame:
-    named = t.events.select("event_id", F.expr(CONFIG_NAME).alias("k"))
+    named = t.spread("events", "event_id", "event_type", "user_id").select("event_id", F.expr(CONFIG_NAME).alias("k"))
     return parse_key(named, "k", LABEL_KEY, "null").drop("k")
 
 
@@ -278,7 +278,7 @@ def x4_parse_key_null(t: Tables) -> DataFrame:
 with n as (select event_id, {CONFIG_NAME} as k from events)
 select event_id, {_strict(CONFIG_PATTERN, False)} from n where regexp_matches(k, '{CONFIG_PATTERN}')""")
 def x5_parse_key_drop(t: Tables) -> DataFrame:
-    named = t.events.select("event_id", F.expr(CONFIG_NAME).alias("k"))
+    named = t.spread("events", "event_id", "event_type", "user_id").select("event_id", F.expr(CONFIG_NAME).alias("k"))
     return parse_key(named, "k", REPORT_KEY, "drop").drop("k")
 
 
@@ -302,7 +302,7 @@ select page_id, md5(s) as digest, length(s)::bigint as chars from (
   select page_id, regexp_replace(regexp_replace(html, '{HTML_COMMENTS[0]}', '', 'g'), '{HTML_COMMENTS[1]}', '', 'g') as s
   from pages)""")
 def x7_strip_comments(t: Tables) -> DataFrame:
-    stripped = t.pages.select("page_id", strip_comments("html", HTML_COMMENTS).alias("s"))
+    stripped = t.spread("pages", "page_id", "html").select("page_id", strip_comments("html", HTML_COMMENTS).alias("s"))
     return stripped.select("page_id", F.md5("s").alias("digest"), F.length("s").cast("bigint").alias("chars"))
 
 
@@ -328,7 +328,7 @@ select *, num_add_ops + num_sub_ops + num_mul_ops + num_div_ops as num_arithmeti
 def x8_pattern_counts(t: Tables) -> DataFrame:
     """Operator, assignment, access and call counts after stripping comments, and their sums (X9)."""
     names = ["num_add_ops", "num_sub_ops", "num_mul_ops", "num_div_ops", "num_assignments", "num_array_accesses"]
-    code = t.pages.select("page_id", strip_comments("html").alias("code"))
+    code = t.spread("pages", "page_id", "html").select("page_id", strip_comments("html").alias("code"))
     counted = count_patterns(code, "code", {n: fixed.SOURCE_PATTERNS[n] for n in names}).withColumn(
         "num_function_calls", count_names("code", r"([A-Za-z_][A-Za-z_0-9]*)[ ]*\(", fixed.NOT_CALLS)
     )
@@ -341,7 +341,7 @@ select doc_id, e + a as vowels, e + a + dot as marks from (
     (length(text) - length(replace(text, 'a', '')))::bigint as a,
     (length(text) - length(replace(text, '.', '')))::bigint as dot from documents)""")
 def x9_derived_sums(t: Tables) -> DataFrame:
-    counted = count_patterns(t.documents, "text", {"e": "e", "a": "a", "dot": r"\."})
+    counted = count_patterns(t.spread("documents", "doc_id", "text"), "text", {"e": "e", "a": "a", "dot": r"\."})
     return add_totals(counted, {"vowels": ["e", "a"], "marks": ["e", "a", "dot"]}).select("doc_id", "vowels", "marks")
 
 
@@ -362,14 +362,14 @@ select page_id, list_reduce(steps, lambda a, x: {{
 from s""")
 def x10_nesting_depth(t: Tables) -> DataFrame:
     """Depth of block elements: an opener, the end of its tag, and the closing tag."""
-    return t.pages.select("page_id", nesting_depth("html", f"<{TAGS}", ">", f"</{TAGS}>").alias("depth"))
+    return t.spread("pages", "page_id", "html").select("page_id", nesting_depth("html", f"<{TAGS}", ">", f"</{TAGS}>").alias("depth"))
 
 
 @query("x11_count_lines", f"""
 select doc_id, {lines_sql('text')}::bigint as lines, {lines_sql('text', "not starts_with(ltrim(x), 'E')")}::bigint as kept
 from documents""")
 def x11_count_lines(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", count_lines("text").alias("lines"), count_lines("text", "E").alias("kept"))
+    return t.spread("documents", "doc_id", "text").select("doc_id", count_lines("text").alias("lines"), count_lines("text", "E").alias("kept"))
 
 
 VIOLATION_SQL = ("contains(lower(x), 'violation') or (contains(lower(x), 'drc') and (contains(lower(x), 'error') "
@@ -383,7 +383,7 @@ select doc_id, {lines_sql('text', GUIDE_SQL)}::bigint as guide_lines,
 from documents""")
 def x12_line_predicates(t: Tables) -> DataFrame:
     text = F.replace(F.replace("text", F.lit("token"), F.lit("drc error")), F.lit("de "), F.lit("violation "))
-    return t.documents.select(
+    return t.spread("documents", "doc_id", "text").select(
         "doc_id", count_lines_where("text", guide_line).alias("guide_lines"),
         count_lines_where(text, violation_line).alias("violation_lines"),
     )
@@ -406,12 +406,13 @@ select run, coalesce(n, 0) as report_count, coalesce(l, 0) as nonempty_lines, co
        when h = 0 then 'no_violation_keywords' else 'possible_violations' end as status
 from runs left join g using (run)""")
 def x13_classify_reports(t: Tables) -> DataFrame:
-    files = t.documents.select(F.expr(RUN_NAME).alias("run"), F.expr(REPORT_TEXT).alias("text"))
+    files = t.spread("documents", "doc_id", "source", "lang", "text").select(F.expr(RUN_NAME).alias("run"), F.expr(REPORT_TEXT).alias("text"))
     absent = t.documents.select(F.concat("lang", F.lit("-none")).alias("run"))
     runs = t.documents.select(F.expr(RUN_NAME).alias("run")).union(absent).distinct()
     return classify_reports(files, runs, "run", "text")
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus"]
 LAYOUT = """concat('UNITS DISTANCE MICRONS 100 ;', chr(10), 'NETS 3 ;', chr(10),
   ' - a + ROUTED m1 ( ', l_partkey, ' ', l_suppkey, ' ) ( * ', cast(l_quantity as bigint), ' ) v ( ', l_linenumber, ' * ) ( * * )', chr(10),
   ' - b + USE SIGNAL ( 1 2 ) ( 3 4 )', chr(10),
@@ -427,7 +428,7 @@ select l_returnflag, l_linestatus, 100::bigint as units_per_micron, sum(len)::bi
 from p group by l_returnflag, l_linestatus""")
 def x14_path_length(t: Tables) -> DataFrame:
     """A layout text per line item: routed, unrouted and fixed records with repeated and unresolved coordinates."""
-    texts = t.lineitem.select("l_returnflag", "l_linestatus", F.expr(LAYOUT).alias("text"))
+    texts = t.spread("lineitem", *LINE).select("l_returnflag", "l_linestatus", F.expr(LAYOUT).alias("text"))
     return rounded(path_length(texts, "text", ["l_returnflag", "l_linestatus"]))
 
 
@@ -440,7 +441,7 @@ MODULES = """concat('{"modules": {"\\\\\\\\top": {"num_cells": ', cast(l_quantit
 def _module_reports(t: Tables) -> DataFrame:
     text = F.expr(MODULES)
     cut = F.when(F.col("l_orderkey") % 50 == 1, F.substring(text, 1, 30)).otherwise(text)
-    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_returnflag", cut.alias("text"))
+    rows = t.spread("lineitem", *LINE).select("l_orderkey", "l_linenumber", "l_returnflag", cut.alias("text"))
     return read_json_reports(rows, "text", REPORT_SCHEMA)
 
 

@@ -16,7 +16,7 @@ def path_points(record: Column | str) -> Column:
     record = F.col(record) if isinstance(record, str) else record
     xs = F.regexp_extract_all(record, F.lit(POINT), F.lit(1))
     ys = F.regexp_extract_all(record, F.lit(POINT), F.lit(2))
-    return F.arrays_zip(xs.alias("x"), ys.alias("y"))
+    return F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
 
 
 def fold_path(points: Column) -> Column:
@@ -68,31 +68,34 @@ def sections(text: Column | str, names=("SPECIALNETS", "NETS"), whole_word: bool
     return F.when(F.size(bodies) > 0, bodies).otherwise(F.array(text))
 
 
-def path_records(df: DataFrame, text: Column | str, whole_word: bool = True) -> DataFrame:
-    """One row per routed record with ``points`` and ``length``."""
-    records = df.withColumn("_section", F.explode(sections(text, whole_word=whole_word)))
-    records = records.withColumn("_record", F.explode(F.split("_section", RECORD_START)))
-    routed = records.filter(F.col("_record").rlike("ROUTED|FIXED|COVER"))
-    path = fold_path(path_points("_record"))
-    return (
-        routed.withColumn("_path", path)
-        .withColumns({"points": F.col("_path.points"), "length": F.col("_path.length")})
-        .drop("_section", "_record", "_path")
+def path_sums(text: Column | str, whole_word: bool = True) -> Column:
+    """Struct ``(length, points, records)`` over all routed records of one text."""
+    records = F.flatten(F.transform(sections(text, whole_word=whole_word), lambda part: F.split(part, RECORD_START)))
+    routed = F.filter(records, lambda r: r.rlike("ROUTED|FIXED|COVER"))
+    paths = F.transform(routed, lambda r: fold_path(path_points(r)))
+    zero = F.lit(0).cast("bigint")
+    return F.aggregate(
+        paths, F.struct(zero.alias("length"), zero.alias("points"), zero.alias("records")),
+        lambda acc, p: F.struct(
+            (acc["length"] + p["length"]).alias("length"), (acc["points"] + p["points"]).alias("points"),
+            (acc["records"] + 1).alias("records"),
+        ),
     )
 
 
 def path_length(df: DataFrame, text: str, by: list[str], whole_word: bool = True) -> DataFrame:
     """Σ length, points and routed records per ``by``; length also in microns.
 
-    Runs without a routed record keep a row with zeros.
+    Every text is folded where it lies, so only its sums are shuffled. A run
+    without a routed record keeps a row with zeros.
     """
-    units = df.groupBy(*by).agg(F.max(extract_first(text, UNITS_PATTERN, "bigint")).alias("units_per_micron"))
-    sums = path_records(df, text, whole_word).groupBy(*by).agg(
-        F.sum("length").alias("length"),
-        F.sum("points").alias("points"),
-        F.count(F.lit(1)).alias("records"),
+    per_text = df.select(
+        *by, extract_first(text, UNITS_PATTERN, "bigint").alias("_units"), path_sums(text, whole_word).alias("_sums")
+    )
+    sums = per_text.groupBy(*by).agg(
+        F.max("_units").alias("units_per_micron"),
+        *[F.sum(f"_sums.{c}").alias(c) for c in ("length", "points", "records")],
     )
-    joined = units.join(sums, by, "left").fillna(0, ["length", "points", "records"])
-    return joined.withColumn(
+    return sums.withColumn(
         "length_microns", F.col("length") / F.nullif(F.col("units_per_micron"), F.lit(0))
     )

@@ -22,7 +22,7 @@ from featureforge.operators.moments import (
 )
 from featureforge.operators.scaling import fold_names
 from featureforge.operators.solvers import reduction_basis
-from featureforge.staging import stage
+from featureforge.staging import spread, stage
 
 NOISE = 1e-3 + 1e-6
 # Doubles of moment accumulators that a task may hold; more folds take more passes.
@@ -89,7 +89,7 @@ def fit_rff(
     noise: float = NOISE, extra: Sequence[str] = (),
 ) -> DataFrame:
     """Out-of-fold table of the kernel regression."""
-    prepared = stage(prepare(df, features, y, fold, extra), "prepared")
+    prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
     folds = fold_names(prepared)
     design = make_design(prepared, features, log)
     moments = stage(fold_moments(prepared, design), "moments")

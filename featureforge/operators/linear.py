@@ -15,7 +15,7 @@ from featureforge.operators.moments import (
 from featureforge.operators.quantiles import exact_quantiles
 from featureforge.operators.scaling import TRAIN_ONLY, fold_names
 from featureforge.operators.solvers import LINEAR, reduction_basis, f_scores, best_k, capped, principal_axes
-from featureforge.staging import stage
+from featureforge.staging import spread, stage
 
 
 @dataclass(frozen=True)
@@ -162,7 +162,7 @@ def fit_predict(
     log: bool = False, extra: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold table and solutions of all configurations."""
-    prepared = stage(prepare(df, features, y, fold, extra), "prepared")
+    prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
     folds = fold_names(prepared)
     design = make_design(prepared, features, log)
     robust = any(c.scaler == "robust" for c in configs) and not log
@@ -200,7 +200,7 @@ def _whole_table_moments(df: DataFrame, features: Sequence[str], y: str | None):
     """Design and moments of all rows: the held-out part is an empty fold."""
     source = df if y is not None else df.withColumn("_zero", F.lit(0.0))
     marked = source.withColumn("_fold", F.lit(TRAIN_ONLY))
-    prepared = stage(prepare(marked, features, y or "_zero", "_fold"), "prepared")
+    prepared = spread(stage(prepare(marked, features, y or "_zero", "_fold"), "prepared"))
     design = make_design(prepared, features)
     rows = prepared.select("fold", *design_columns(design))
     total = sum_vectors(gram_partials(rows, "fold", [c for c in rows.columns if c != "fold"]), ["fold"]).first()

@@ -11,11 +11,13 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featureforge.functions.columns import number
 from featureforge.operators.clean import numeric_columns
 from featureforge.operators.dedupe import duplicate_report
+from featureforge.operators.moments import gram_partials, sum_vectors
 from featureforge.operators.quantiles import exact_quantiles
 from featureforge.staging import stage
 
@@ -181,8 +183,14 @@ def _pair_moments(a: Column, b: Column, tag: str) -> list[Column]:
     ]
 
 
+# Up to this many pairs are aggregated as SQL expressions; more go through matrix products.
+MAX_PAIR_EXPRESSIONS = 40
+
+
 def _pair_grid(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows ``(a, b, n, varies, r)``; one aggregation for all pairs of up to ~60 columns."""
+    """Rows ``(a, b, n, varies, r)`` over the complete pairs of two columns, in one pass."""
+    if len(pairs) > MAX_PAIR_EXPRESSIONS:
+        return _pair_grid_by_moments(df, pairs)
     aggs = [x for i, (a, b) in enumerate(pairs) for x in _pair_moments(number(a), number(b), str(i))]
     wide = df.agg(*aggs)
     rows = []
@@ -196,6 +204,40 @@ def _pair_grid(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     return wide.select(F.inline(F.array(*rows)))
 
 
+def _pair_grid_by_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """As :func:`_pair_grid`, from the matrix of values, presence marks and squares.
+
+    With zero-filled values z and marks m, the products zᵀm, z²ᵀm, mᵀm and zᵀz
+    hold the moments of every complete pair. The matrix is columns × columns.
+    """
+    names = list(dict.fromkeys(c for pair in pairs for c in pair))
+    p = len(names)
+    scale = df.agg(*[x for i, c in enumerate(names) for x in (
+        F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}"))]).first()
+    columns = []
+    for i, c in enumerate(names):
+        z = F.coalesce((number(c) - F.lit(scale[f"m{i}"] or 0.0)) / F.lit(scale[f"s{i}"] or 1.0), F.lit(0.0))
+        columns.append((z.alias(f"z{i}"), number(c).isNotNull().cast("double").alias(f"o{i}"), (z * z).alias(f"q{i}")))
+    rows = df.select(F.lit("all").alias("g"), *[part[k] for k in range(3) for part in columns])
+    summed = sum_vectors(gram_partials(rows, "g", rows.columns[1:], "g"), ["g"]).first()
+    gram = np.asarray(summed["v"] if summed else [0.0] * (3 * p) ** 2).reshape(3 * p, 3 * p)
+    zz, zo, oo, qo = gram[:p, :p], gram[:p, p:2 * p], gram[p:2 * p, p:2 * p], gram[2 * p:, p:2 * p]
+    at = {c: i for i, c in enumerate(names)}
+    out = []
+    for a, b in pairs:
+        i, j = at[a], at[b]
+        n = oo[i, j]
+        r, varies = None, False
+        if n > 0:
+            mean = zo[i, j] / n, zo[j, i] / n
+            var = qo[i, j] / n - mean[0] ** 2, qo[j, i] / n - mean[1] ** 2
+            varies = all(v > 1e-12 * max(m * m, 1e-6) for v, m in zip(var, mean))
+            if varies:
+                r = float(np.clip((zz[i, j] / n - mean[0] * mean[1]) / np.sqrt(var[0] * var[1]), -1.0, 1.0))
+        out.append((a, b, int(round(n)), varies, r))
+    return df.sparkSession.createDataFrame(out, "a string, b string, n bigint, varies boolean, r double")
+
+
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of complete pairs, long: ``(column_a, column_b, correlation)``.
 

@@ -31,7 +31,7 @@ def _brackets(
     df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str],
     accuracy: int, dtype: str,
 ) -> DataFrame:
-    """One row per group and column: ``n`` and the list of ``(lo, hi)`` brackets."""
+    """One row per group and column: ``n`` and a bracket ``lo, hi`` per probability."""
     margin = 4.0 / accuracy + 2.0 / SMALL_GROUP
     points = [p + d for p in probs for d in (-margin, margin)]
     inner = F.array(*[F.lit(min(max(p, 0.0), 1.0)) for p in points])
@@ -45,18 +45,17 @@ def _brackets(
         ]
     wide = df.groupBy(*by).agg(*aggs)
 
-    def bounds(i: int) -> Column:
-        pairs = []
+    def bounds(i: int) -> list[Column]:
+        out = []
+        small = F.col(f"n{i}") <= SMALL_GROUP
         for j, p in enumerate(probs):
-            small = F.col(f"n{i}") <= SMALL_GROUP
             lo = F.when(small | F.lit(p - margin <= 0), F.col(f"a{i}")).otherwise(F.col(f"q{i}")[2 * j])
             hi = F.when(small | F.lit(p + margin >= 1), F.col(f"z{i}")).otherwise(F.col(f"q{i}")[2 * j + 1])
-            pairs.append(F.struct(lo.alias("lo"), hi.alias("hi")))
-        return F.array_distinct(F.array(*pairs))
+            out += [lo.alias(f"lo{j}"), hi.alias(f"hi{j}")]
+        return out
 
     rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), bounds(i).alias("brackets"))
-        for i, c in enumerate(columns)
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), *bounds(i)) for i, c in enumerate(columns)
     ])
     return wide.select(*by, F.inline(rows))
 
@@ -73,8 +72,11 @@ def _ranked_values(
         [F.col(f"v.{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys],
     )
     value = F.col("raw")
-    inside = F.exists("brackets", lambda b: value.between(b["lo"], b["hi"]))
-    below = F.array_max(F.transform(F.filter("brackets", lambda b: b["hi"] < value), lambda b: b["hi"]))
+    inside, below = F.lit(False), []
+    for j in range(len(probs)):
+        inside = inside | value.between(F.col(f"lo{j}"), F.col(f"hi{j}"))
+        below.append(F.when(F.col(f"hi{j}") < value, F.col(f"hi{j}")))
+    below = F.greatest(*below) if len(below) > 1 else below[0]
     counted = joined.select(
         *[F.col(f"v.{k}") for k in keys], "n",
         F.when(inside, value).otherwise(below).alias("value"),

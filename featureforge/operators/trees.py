@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from featureforge.operators.moments import fold_centres, make_design, prepare
 from featureforge.operators.scaling import fold_names
 from featureforge.operators.solvers import capped
-from featureforge.staging import stage
+from featureforge.staging import spread, stage
 
 
 def forest(trees: int = 200, min_leaf: int = 1, max_depth: int = 30, max_bins: int = 64, seed: int = 42):
@@ -66,7 +66,7 @@ def fit_trees(
     Missing values take the training median of the fold. Folds are fitted side
     by side, ``parallelism`` at a time; each fit is itself distributed.
     """
-    prepared = stage(prepare(df, features, y, fold, extra), "prepared")
+    prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
     folds = fold_names(prepared)
     design = make_design(prepared, features)
     names = [f"x{i}" for i in range(len(features))]

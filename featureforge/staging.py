@@ -34,3 +34,14 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     folder = new_folder(spark, label)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a file scan at least one partition per core.
+
+    A large table has far more splits than cores and is returned as it is; only
+    a table of a few small files is shuffled, so that costly expressions on its
+    rows do not run in one task.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
