@@ -23,7 +23,7 @@ class Tables:
 
     def spread(self, name: str, *columns: str) -> DataFrame:
         """Columns of a table for costly expressions: on all cores also where the table is one small file."""
-        return spread(getattr(self, name).select(*columns))
+        return spread(getattr(self, name).select(*columns), rows_per_task=1_000)
 
 
 def query(name: str, sql: str | None = None):

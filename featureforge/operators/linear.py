@@ -7,8 +7,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from featureforge.operators.metrics import metrics_from_sums, regression_metrics
 from featureforge.operators.moments import (
     Design, design_columns, fold_centres, fold_moments, gram_partials, make_design, prepare, sum_vectors,
 )
@@ -157,18 +159,98 @@ def predict(inputs: DataFrame, solutions: DataFrame) -> DataFrame:
     return inputs.join(fitted, "fold").withColumn("yhat", dot).drop("x", "coef", "intercept")
 
 
-def fit_predict(
+# Coefficients that may travel with the tasks (doubles); more are joined to the rows instead.
+MAX_CARRIED_COEFS = 16_000_000
+
+
+@dataclass(frozen=True)
+class FittedGrid:
+    """Held-out inputs and the solutions of all configurations."""
+
+    inputs: DataFrame
+    solutions: DataFrame
+    width: int
+    size: int
+
+    def out_of_fold(self) -> DataFrame:
+        return predict(self.inputs, self.solutions)
+
+    def fold_metrics(self, y: str = "y", denominator: str | None = None) -> DataFrame:
+        """Metrics per configuration and fold, without a row per held-out row and configuration.
+
+        Every task multiplies its rows with all coefficients and hands on error
+        sums only. Coefficients too many for that are joined to the rows.
+        ``denominator`` turns predictions of a ratio into units of ``y``.
+        """
+        if self.size * (self.width + 1) > MAX_CARRIED_COEFS:
+            oof = self.out_of_fold()
+            if denominator:
+                oof = oof.withColumn("yhat", F.col("yhat") * F.col(denominator))
+            return regression_metrics(oof, ["config_id", "fold"], y)
+        per_fold: dict[str, list] = {}
+        for r in self.solutions.filter("error is null").orderBy("fold", "config_id").collect():
+            per_fold.setdefault(r.fold, []).append(r)
+        weights = {
+            f: (np.array([r.coef for r in rows]).T, np.array([r.intercept for r in rows]))
+            for f, rows in per_fold.items()
+        }
+        p = self.width
+        columns = ["fold", y, "x"] + ([denominator] if denominator else [])
+
+        def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                own = batch.column(0).to_numpy(zero_copy_only=False)
+                target = batch.column(1).to_numpy(zero_copy_only=False)
+                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+                unit = batch.column(3).to_numpy(zero_copy_only=False)[:, None] if denominator else 1.0
+                for f in set(own) & set(weights):
+                    rows = own == f
+                    w, b = weights[f]
+                    part = unit[rows] if denominator else unit
+                    gap = target[rows][:, None] - (x[rows] @ w + b) * part
+                    found = np.concatenate([np.abs(gap).sum(axis=0), (gap * gap).sum(axis=0)])
+                    sums[f] = sums[f] + found if f in sums else found
+            if sums:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))],
+                    ["fold", "v"],
+                )
+
+        totals = sum_vectors(self.inputs.select(*columns).mapInArrow(errors, "fold string, v array<double>"), ["fold"])
+        names = self.solutions.filter("error is null").groupBy("fold").agg(
+            F.array_sort(F.collect_set("config_id")).alias("ids")
+        )
+        long = totals.join(names, "fold").select(
+            "fold", F.posexplode("ids").alias("k", "config_id"), F.size("ids").alias("c"), "v"
+        )
+        summed = long.select(
+            "config_id", "fold", F.get("v", F.col("k")).alias("abs_sum"), F.get("v", F.col("k") + F.col("c")).alias("sq_sum")
+        )
+        return metrics_from_sums(summed, self.inputs, y)
+
+
+def fit_grid(
     df: DataFrame, features: Sequence[str], y: str, fold: str, configs: Sequence[Config],
     log: bool = False, extra: Sequence[str] = (),
-) -> tuple[DataFrame, DataFrame]:
-    """Out-of-fold table and solutions of all configurations."""
+) -> FittedGrid:
+    """Fit all configurations for all folds."""
     prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
     folds = fold_names(prepared)
     design = make_design(prepared, features, log)
     robust = any(c.scaler == "robust" for c in configs) and not log
     centres = fold_centres(prepared, design, folds, robust)
     solutions = stage(solve_grid(fold_moments(prepared, design), centres, design, configs), "solutions")
-    return predict(model_inputs(prepared, centres, design), solutions), solutions
+    return FittedGrid(model_inputs(prepared, centres, design), solutions, len(features), len(configs) * len(folds))
+
+
+def fit_predict(
+    df: DataFrame, features: Sequence[str], y: str, fold: str, configs: Sequence[Config],
+    log: bool = False, extra: Sequence[str] = (),
+) -> tuple[DataFrame, DataFrame]:
+    """Out-of-fold table and solutions of all configurations."""
+    fitted = fit_grid(df, features, y, fold, configs, log, extra)
+    return fitted.out_of_fold(), fitted.solutions
 
 
 def _single(model: str, **params):

@@ -184,7 +184,7 @@ def _pair_moments(a: Column, b: Column, tag: str) -> list[Column]:
 
 
 # Up to this many pairs are aggregated as SQL expressions; more go through matrix products.
-MAX_PAIR_EXPRESSIONS = 40
+MAX_PAIR_EXPRESSIONS = 10
 
 
 def _pair_grid(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

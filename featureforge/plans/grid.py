@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from featureforge.functions.columns import safe_div
+from featureforge.operators.features import reconstruct
 from featureforge.operators.folds import assign_group_folds, assign_kfold, split_holdout
 from featureforge.operators.kernel import fit_rff
-from featureforge.operators.linear import Config, fit_predict
-from featureforge.operators.metrics import METRICS, fold_summary, group_detail, regression_metrics
+from featureforge.operators.linear import Config, FittedGrid, fit_grid
+from featureforge.operators.metrics import fold_summary, regression_metrics
 from featureforge.operators.results import union_all
 from featureforge.operators.scaling import TRAIN_ONLY
 from featureforge.operators.trees import boosting, fit_trees, forest
@@ -107,8 +109,38 @@ def _tree(model: Model):
     return (forest if model.kind == "forest" else boosting)(**model.params)
 
 
-def out_of_fold(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool):
-    """Out-of-fold rows ``(config_id, fold, y, yhat)``, errors, and the attributes of all configurations."""
+@dataclass(frozen=True)
+class Run:
+    """Parts of one target, evaluation and log flag."""
+
+    linear: FittedGrid | None
+    tables: Sequence[DataFrame]
+    errors: Sequence[DataFrame]
+    attributes: DataFrame
+    rows: DataFrame
+    ratio: bool
+
+    def out_of_fold(self) -> DataFrame:
+        """``(config_id, fold, y, yhat)`` of every configuration, in units of the target column."""
+        parts = list(self.tables) + ([self.linear.out_of_fold()] if self.linear else [])
+        return reduce(DataFrame.unionByName, [self._in_units(p) for p in parts])
+
+    def fold_metrics(self) -> DataFrame:
+        parts = [regression_metrics(self._in_units(p), ["config_id", "fold"]) for p in self.tables]
+        if self.linear:
+            y, unit = ("y_original", "denominator") if self.ratio else ("y", None)
+            parts.append(self.linear.fold_metrics(y, unit))
+        return reduce(DataFrame.unionByName, parts)
+
+    def _in_units(self, oof: DataFrame) -> DataFrame:
+        if not self.ratio:
+            return oof.select("config_id", "fold", "y", "yhat")
+        yhat = reconstruct("yhat", "denominator")
+        return oof.select("config_id", "fold", F.col("y_original").alias("y"), yhat.alias("yhat"))
+
+
+def fit(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool) -> Run:
+    """Fit every configuration of one target and validation scheme."""
     spark = df.sparkSession
     sets = {n: list(s(target.column) if callable(s) else s) for n, s in grid.feature_sets.items()}
     union = list(dict.fromkeys(f for s in sets.values() for f in s))
@@ -117,13 +149,12 @@ def out_of_fold(df: DataFrame, grid: Grid, target: Target, evaluation: str, log:
     extra: list[str] = []
     y = target.column
     if target.denominator:
-        y = "_ratio"
-        d = F.nullif(F.col(target.denominator).cast("double"), F.lit(0.0))
+        y, extra = "_ratio", ["y_original", "denominator"]
         rows = rows.withColumns({
-            "_ratio": F.col(target.column).cast("double") / d, "y_original": F.col(target.column).cast("double"),
-            "denominator": d,
+            "_ratio": safe_div(target.column, target.denominator),
+            "y_original": F.col(target.column).cast("double"),
+            "denominator": F.col(target.denominator).cast("double"),
         }).filter(F.col("_ratio").isNotNull())
-        extra = ["y_original", "denominator"]
     rows = stage(with_folds(rows, grid, evaluation).select(
         *[F.col(f"`{f}`") for f in union if f != y], y, "_fold", *extra,
     ), "fold-rows")
@@ -139,11 +170,11 @@ def out_of_fold(df: DataFrame, grid: Grid, target: Target, evaluation: str, log:
         else:
             others.append((config_id, scaler, reduction, model, features))
 
-    parts, errors = [], []
+    fitted, tables, errors = None, [], []
     if linear:
-        oof, solutions = fit_predict(rows, union, y, "_fold", linear, log, extra)
-        parts.append(oof)
-        errors.append(solutions.filter("error is not null").groupBy("config_id").agg(F.min("error").alias("error")))
+        fitted = fit_grid(rows, union, y, "_fold", linear, log, extra)
+        failed = fitted.solutions.filter("error is not null")
+        errors.append(failed.groupBy("config_id").agg(F.min("error").alias("error")))
     for config_id, scaler, reduction, model, features in others:
         try:
             if model.kind == "rff":
@@ -151,16 +182,11 @@ def out_of_fold(df: DataFrame, grid: Grid, target: Target, evaluation: str, log:
                               extra=extra, **model.params)
             else:
                 oof, _ = fit_trees(rows, features, y, "_fold", _tree(model), reduction, extra)
-            parts.append(oof.withColumn("config_id", F.lit(config_id)))
+            tables.append(oof.withColumn("config_id", F.lit(config_id)))
         except Exception as error:  # a failed configuration is a result row, as every other
             errors.append(spark.createDataFrame([(config_id, str(error))], "config_id string, error string"))
-    names = ["config_id", "fold", "y", "yhat", *extra]
-    table = reduce(DataFrame.unionByName, [p.select(*names) for p in parts])
-    if target.denominator:
-        table = table.select(
-            "config_id", "fold", F.col("y_original").alias("y"), (F.col("yhat") * F.col("denominator")).alias("yhat")
-        )
-    return table, reduce(DataFrame.unionByName, errors) if errors else None, spark.createDataFrame(attributes, ATTRIBUTES), rows
+    table = spark.createDataFrame(attributes, ATTRIBUTES)
+    return Run(fitted, tables, errors, table, rows, bool(target.denominator))
 
 
 def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
@@ -172,21 +198,20 @@ def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
     for target in grid.targets:
         for evaluation in grid.evaluations:
             for log in grid.logs:
-                oof, errors, attributes, rows = out_of_fold(df, grid, target, evaluation, log)
+                run = fit(df, grid, target, evaluation, log)
                 tags = {
                     "evaluation": F.lit(evaluation), "target": F.lit(target.column),
                     "normalized_target": F.lit(target.name).cast("string"), "use_log_transform": F.lit(log),
                 }
+                per_fold = run.fold_metrics()
                 if detail:
-                    results.append(group_detail(oof, ["config_id"]).join(attributes, "config_id").withColumns(tags))
+                    held_out = per_fold.withColumnRenamed("fold", "heldout_group")
+                    results.append(stage(held_out.join(run.attributes, "config_id").withColumns(tags), "result"))
                     continue
-                per_fold = regression_metrics(oof, ["config_id", "fold"])
                 summary = fold_summary(per_fold, ["config_id"]).withColumnRenamed("rows", "test_rows")
-                summary = summary.withColumn("rows", rows.agg(F.count(F.lit(1))).scalar())
-                done = attributes.join(summary, "config_id")
-                parts = [done]
-                if errors is not None:
-                    parts.append(attributes.join(errors, "config_id"))
+                summary = summary.withColumn("rows", run.rows.agg(F.count(F.lit(1))).scalar())
+                parts = [run.attributes.join(summary, "config_id")]
+                parts += [run.attributes.join(e, "config_id") for e in run.errors]
                 results.append(stage(union_all(parts).withColumns(tags), "result"))
     out = union_all(results)
     if not detail and "error" not in out.columns:
@@ -194,4 +219,4 @@ def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
     return out
 
 
-__all__ = ["Grid", "Model", "Target", "METRICS", "run_grid", "out_of_fold", "with_folds"]
+__all__ = ["Grid", "Model", "Target", "run_grid", "fit", "with_folds"]

@@ -36,12 +36,15 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a file scan at least one partition per core.
+def spread(scan: DataFrame, rows_per_task: int = 50_000) -> DataFrame:
+    """Give a small file scan about one partition per ``rows_per_task`` rows, up to one per core.
 
-    A large table has far more splits than cores and is returned as it is; only
-    a table of a few small files is shuffled, so that costly expressions on its
+    A large table has more splits than cores and is returned as it is. Only a
+    table of a few small files is shuffled, so that costly expressions on its
     rows do not run in one task.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() > cores else scan.repartition(cores)
+    if scan.rdd.getNumPartitions() > cores:
+        return scan
+    tasks = min(cores, scan.count() // rows_per_task + 1)
+    return scan.repartition(tasks) if tasks > 1 else scan
