@@ -9,6 +9,11 @@ def as_column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def stripped(c: Column | str) -> Column:
+    """Text without blanks, tabs and line ends at both sides."""
+    return F.btrim(as_column(c), F.lit(" \t\n\r\x0b\x0c"))
+
+
 def number(c: Column | str) -> Column:
     """Double where NULL is the only missing marker (NaN becomes NULL)."""
     c = as_column(c).cast("double")

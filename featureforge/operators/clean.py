@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from featureforge.functions.columns import number
+from featureforge.functions.columns import number, stripped
 
 
 def normalize_keys(
@@ -14,7 +14,7 @@ def normalize_keys(
 ) -> DataFrame:
     """Trim text keys and cast numeric keys; a value that does not cast becomes null."""
     present = set(df.columns)
-    out: dict[str, Column] = {c: F.trim(F.col(c).cast("string")) for c in text if c in present}
+    out: dict[str, Column] = {c: stripped(F.col(c).cast("string")) for c in text if c in present}
     out |= {c: F.col(c).try_cast("double").try_cast("bigint") for c in ints if c in present}
     out |= {c: number(F.col(c).try_cast("double")) for c in floats if c in present}
     return df.withColumns(out) if out else df

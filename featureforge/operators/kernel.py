@@ -89,6 +89,7 @@ def fit_rff(
     noise: float = NOISE, extra: Sequence[str] = (),
 ) -> DataFrame:
     """Out-of-fold table of the kernel regression."""
+    frequencies(kernel, 1, 1, seed)  # an unknown kernel fails here, not in a task
     prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
     folds = fold_names(prepared)
     design = make_design(prepared, features, log)

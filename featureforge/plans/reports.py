@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featureforge.functions import fixed_values as fixed
+from featureforge.functions.columns import stripped
 from featureforge.functions.jsonmaps import REPORT_SCHEMA, map_rollup, pick_entry
 from featureforge.functions.keys import LABEL_KEY, LOG_KEY, REPORT_KEY, parse_key
 from featureforge.functions.paths import path_length
@@ -108,7 +109,7 @@ def final_report_metrics(files: DataFrame, runs: DataFrame, run: str = "config_n
         out = out.join(part, run, "left")
     out = extract_metrics(out, "_route", fixed.TIMING_METRICS, which="first")
     out = extract_metrics(out, F.when(F.col("_route").isNotNull(), F.col("_synth")), fixed.AREA_METRICS, "first")
-    out = out.withColumn("run_status", F.coalesce(F.trim("_status"), F.lit("unknown")))
+    out = out.withColumn("run_status", F.coalesce(stripped("_status"), F.lit("unknown")))
     out = with_parse_status(out, [(F.col("_route").isNull(), "missing_global_route_report")])
     return out.drop("_route", "_synth", "_status")
 

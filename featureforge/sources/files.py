@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from featureforge.functions.columns import number
+from featureforge.functions.columns import number, stripped
 from featureforge.operators.dedupe import first_per_key
 
 
@@ -52,10 +52,10 @@ def coerce(df: DataFrame, schema: Mapping[str, str] | T.StructType) -> DataFrame
         c = F.col(f"`{f.name}`")
         if f.name in schema and schema[f.name] != "string":
             kind = schema[f.name]
-            text = F.trim(c) if isinstance(f.dataType, T.StringType) else c
+            text = stripped(c) if isinstance(f.dataType, T.StringType) else c
             c = number(text.try_cast("double")) if kind == "double" else text.try_cast("double").try_cast(kind)
         elif isinstance(f.dataType, T.StringType):
-            c = F.trim(c)
+            c = stripped(c)
         out.append(c.alias(f.name))
     return df.select(*out)
 
