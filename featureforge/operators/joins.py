@@ -8,12 +8,22 @@ adaptive execution splits skewed partitions of the left side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featureforge.operators.dedupe import first_per_key
 
 
+def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool) -> DataFrame:
+    """Equi-join that keeps the key columns of ``left`` only."""
+    if not null_safe:
+        return left.join(right, list(on), how)
+    renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in on})
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in on])
+    return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in on])
+
+
 def enrich(
     df: DataFrame, dim: DataFrame, on: Sequence[str] | str, null_safe: bool = False
 ) -> DataFrame:
@@ -21,15 +31,7 @@ def enrich(
 
     ``null_safe`` lets null keys match each other.
     """
-    on = [on] if isinstance(on, str) else list(on)
-    if not null_safe:
-        return df.join(dim, on, "left")
-    renamed = dim.withColumnsRenamed({k: f"_r_{k}" for k in on})
-    condition = None
-    for k in on:
-        part = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        condition = part if condition is None else condition & part
-    return df.join(renamed, condition, "left").drop(*[f"_r_{k}" for k in on])
+    return _join(df, dim, [on] if isinstance(on, str) else on, "left", null_safe)
 
 
 def enrich_unique(
@@ -46,12 +48,19 @@ def attach_labels(
 ) -> DataFrame:
     """Left join against every label row of a key; the fan-out is kept.
 
+    One key may hold a large part of the labels. The matching rows therefore
+    come from an inner join, whose skewed partitions adaptive execution splits
+    on either side; a left join could only split the left one. Rows without a
+    label are added by an anti join against the distinct keys.
+
     With ``status``, only labels of that status take part and the filter runs
     before the join.
     """
     if status is not None and status in labels.columns:
         labels = labels.filter(F.col(status) == ok)
-    return enrich(df, labels, keys, null_safe)
+    matched = _join(df, labels, keys, "inner", null_safe)
+    unmatched = _join(df, labels.select(*keys).distinct(), keys, "left_anti", null_safe)
+    return matched.unionByName(unmatched, allowMissingColumns=True)
 
 
 def join_via(df: DataFrame, bridge: DataFrame | None, other: DataFrame, key: str,

@@ -94,7 +94,7 @@ def fit_rff(
     folds = fold_names(prepared)
     design = make_design(prepared, features, log)
     moments = stage(fold_moments(prepared, design), "moments")
-    centres = fold_centres(prepared, design, folds, scaler == "robust")
+    centres = fold_centres(prepared, design, scaler == "robust")
     scalers = _fold_scalers(moments, centres, design, scaler, reduction)
     p = len(features)
     xs = [f"x{i}" for i in range(p)]

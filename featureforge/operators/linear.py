@@ -15,7 +15,7 @@ from featureforge.operators.moments import (
     Design, design_columns, fold_centres, fold_moments, gram_partials, make_design, prepare, sum_vectors,
 )
 from featureforge.operators.quantiles import exact_quantiles
-from featureforge.operators.scaling import TRAIN_ONLY, fold_names
+from featureforge.operators.scaling import TRAIN_ONLY
 from featureforge.operators.solvers import LINEAR, reduction_basis, f_scores, best_k, capped, principal_axes
 from featureforge.staging import spread, stage
 
@@ -236,12 +236,11 @@ def fit_grid(
 ) -> FittedGrid:
     """Fit all configurations for all folds."""
     prepared = spread(stage(prepare(df, features, y, fold, extra), "prepared"))
-    folds = fold_names(prepared)
     design = make_design(prepared, features, log)
     robust = any(c.scaler == "robust" for c in configs) and not log
-    centres = fold_centres(prepared, design, folds, robust)
+    centres = fold_centres(prepared, design, robust)
     solutions = stage(solve_grid(fold_moments(prepared, design), centres, design, configs), "solutions")
-    return FittedGrid(model_inputs(prepared, centres, design), solutions, len(features), len(configs) * len(folds))
+    return FittedGrid(model_inputs(prepared, centres, design), solutions, len(features), len(configs) * centres.count())
 
 
 def fit_predict(

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from featureforge.staging import stage
+
 METRICS = ("mae", "rmse", "r2", "relative_mae")
 
 
@@ -81,6 +83,6 @@ def mean_of_other_groups(df: DataFrame, group: str, y: str) -> DataFrame:
         group,
         F.try_divide(total.select("_s").scalar() - F.col("_s"), total.select("_n").scalar() - F.col("_n")).alias("yhat"),
     )
-    return kept.join(others, group).select(
+    return kept.join(stage(others, "others"), group).select(
         F.col(group).cast("string").alias("fold"), F.col(y).cast("double").alias("y"), "yhat"
     )

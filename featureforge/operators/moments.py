@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from featureforge.functions.columns import number
 from featureforge.operators.quantiles import exact_quantiles
-from featureforge.operators.scaling import TRAIN_ONLY, fold_moment_stats, fold_quantiles, train_rows
+from featureforge.operators.scaling import TRAIN_ONLY, fold_moment_stats, fold_names, fold_quantiles, train_rows
 from featureforge.staging import stage
 
 SALTS = 64
@@ -146,8 +146,9 @@ def gram_partials(
             data = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]])
             codes = batch.column(0).dictionary_encode()
             index = codes.indices.to_numpy(zero_copy_only=False)
-            for k, name in enumerate(codes.dictionary.to_pylist()):
-                part = data[index == k]
+            order = np.argsort(index, kind="stable")
+            parts = np.split(data[order], np.flatnonzero(np.diff(index[order])) + 1)
+            for name, part in zip(codes.dictionary.to_pylist(), parts):
                 gram = part.T @ part
                 open_sums[name] = open_sums[name] + gram if name in open_sums else gram
             if len(open_sums) > MAX_OPEN_FOLDS:
@@ -180,14 +181,16 @@ def fold_moments(prepared: DataFrame, design: Design) -> DataFrame:
     )
 
 
-def fold_centres(prepared: DataFrame, design: Design, folds: Sequence[str], robust: bool = False) -> DataFrame:
+def fold_centres(prepared: DataFrame, design: Design, robust: bool = False) -> DataFrame:
     """Per fold the imputation value of every masked feature, and quartiles of the imputed train rows.
 
     Columns ``medians``, ``q1``, ``q3`` are maps from feature number to value.
+    Without missing values and robust scaling no row is repeated, and the
+    number of folds is not limited.
     """
-    spark = prepared.sparkSession
-    base = spark.createDataFrame([(f,) for f in folds], "fold string")
+    base = prepared.select("fold").distinct().filter(F.col("fold") != TRAIN_ONLY)
     empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
+    folds = fold_names(prepared) if design.masked or robust else []
 
     def as_map(stats: DataFrame, value: str, name: str) -> DataFrame:
         key = F.substring("column", 2, 10).cast("int")

@@ -70,7 +70,7 @@ def fit_trees(
     folds = fold_names(prepared)
     design = make_design(prepared, features)
     names = [f"x{i}" for i in range(len(features))]
-    medians = {r.fold: r.medians or {} for r in fold_centres(prepared, design, folds).collect()}
+    medians = {r.fold: r.medians or {} for r in fold_centres(prepared, design).collect()}
     sizes = {r.fold: r["count"] for r in prepared.groupBy("fold").count().collect()}
     total = sum(sizes.values())
 
