@@ -69,6 +69,8 @@ CONFIG_FULL = [
     ("mem_policy", r"mem([A-Z_]+)_"),
     ("dsp_coeff", r"dsp([\d.]+)_"),
 ]
+# Fixed value: what a report file name carries after the configuration.
+REPORT_SUFFIX = "_yosys"
 DATASET_SIZES = ("SMALL", "MEDIUM", "MINI", "LARGE")
 
 # Composite key and column groups of the integrated table.

@@ -142,7 +142,7 @@ class Run:
 def fit(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool) -> Run:
     """Fit every configuration of one target and validation scheme."""
     spark = df.sparkSession
-    sets = {n: list(s(target.column) if callable(s) else s) for n, s in grid.feature_sets.items()}
+    sets = _feature_sets(grid, target)
     union = list(dict.fromkeys(f for s in sets.values() for f in s))
     position = {f: i for i, f in enumerate(union)}
     rows = df.filter(F.col(target.column).isNotNull())
@@ -155,9 +155,9 @@ def fit(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool) -
             "y_original": F.col(target.column).cast("double"),
             "denominator": F.col(target.denominator).cast("double"),
         }).filter(F.col("_ratio").isNotNull())
-    rows = stage(with_folds(rows, grid, evaluation).select(
+    rows = with_folds(rows, grid, evaluation).select(
         *[F.col(f"`{f}`") for f in union if f != y], y, "_fold", *extra,
-    ), "fold-rows")
+    )
 
     attributes, linear, others = [], [], []
     for (set_name, scaler, reduction, name, p), model, features in _configs(grid, sets):
@@ -189,11 +189,26 @@ def fit(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool) -
     return Run(fitted, tables, errors, table, rows, bool(target.denominator))
 
 
+def _feature_sets(grid: Grid, target: Target) -> dict[str, list[str]]:
+    return {n: list(s(target.column) if callable(s) else s) for n, s in grid.feature_sets.items()}
+
+
+def _needed(grid: Grid) -> list[str]:
+    """Columns the grid reads, each once."""
+    names = [grid.id_col] + ([grid.group_col] if grid.group_col else [])
+    for target in grid.targets:
+        names += [target.column] + ([target.denominator] if target.denominator else [])
+        names += [f for s in _feature_sets(grid, target).values() for f in s]
+    return list(dict.fromkeys(names))
+
+
 def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
     """Result table: one row per target, evaluation, log flag and configuration; failures carry ``error``.
 
     ``detail`` gives one row per held-out fold instead.
     """
+    # Every target and scheme reads the table several times; it is computed and written once.
+    df = stage(df.select(*[F.col(f"`{c}`") for c in _needed(grid)]), "grid-input")
     results = []
     for target in grid.targets:
         for evaluation in grid.evaluations:

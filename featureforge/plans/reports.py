@@ -73,7 +73,7 @@ def synthesis_metrics(corpus: DataFrame, prefix: str = "synth_") -> DataFrame:
     Reports whose file name does not parse are left out; corrupt reports keep
     their key and get the status ``failed``.
     """
-    stem = F.replace(file_stem("file_name"), F.lit("_yosys"), F.lit(""))
+    stem = F.replace(file_stem("file_name"), F.lit(fixed.REPORT_SUFFIX), F.lit(""))
     keyed = parse_key(corpus, stem, REPORT_KEY, mode="drop")
     parsed = read_json_reports(keyed, "text", REPORT_SCHEMA, "_report", f"{prefix}parse_status")
     ok = F.col(f"{prefix}parse_status") == "ok"
