@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import mixing, sharding, sql, streaming_dedup
-from featureforge.llm.common import documents
+from featureforge.llm import mixing, secrets, sharding, sql, streaming_dedup
+from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,17 @@ def op4_dedup_stream(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@with_sql(sql.SECRETS)
+def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.find_secrets(documents(spark, folder))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        sha256_text(secrets.span_text(F.filter("spans", lambda s: s["base"]))).alias("base_sha256"),
+        secrets.span_text(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op10_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = sharding.even_tree(regions=4, racks=2, shards=5)

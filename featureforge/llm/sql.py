@@ -10,3 +10,41 @@ with t as (
 )
 select doc_id, keep_id, group_size, doc_id = keep_id as kept, text_sha256 from g
 """
+
+
+def _spans(kind: str, pattern: str, order: int, group: int = 0, least: int = 0) -> str:
+    p = pattern.replace("'", "''")
+    return f"""
+    select doc_id, n, {order} as kind_order, '{kind}' as kind,
+           (list_sum([length(x) for x in gaps[1:i + 1]]) + coalesce(list_sum([length(x) for x in found[1:i]]), 0))::bigint as start,
+           length(found[i + 1]) as size
+    from (
+        select *, unnest(range(len(found))) as i from (
+            select doc_id, n, regexp_extract_all(body, '{p}') as found, regexp_extract_all(body, '{p}', {group}) as parts,
+                   regexp_split_to_array(body, '{p}') as gaps
+            from t where regexp_matches(body, '{p}')
+        )
+    ) where length(parts[i + 1]) >= {least}
+    """
+
+
+# The patterns of the secret kinds.
+SECRETS = f"""
+with t as (
+    select row_number() over () as n, doc_id, coalesce(text, '') as body from documents
+), s as (
+    {_spans("assign", '(?i)(password|passwd|secret|token|api_?key)["\']?\\x20*[:=]\\x20*["\']?([A-Za-z0-9+/_.=-]+)', 0, 2, 6)}
+    union all {_spans("access", "AKIA[A-Z0-9]{16,}", 1)}
+    union all {_spans("hex", "[0-9a-f]{24,}", 2)}
+    union all {_spans("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 3)}
+), g as (
+    select n, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+           count(*) filter (kind = 'hex') as n_hex,
+           string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, kind_order) filter (kind <> 'pem') as base,
+           string_agg(kind || ':' || start || ':' || (start + size), ',' order by start, kind_order) as spans
+    from s group by n
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from t left join g using (n)
+"""
