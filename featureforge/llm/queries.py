@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import mixing, secrets, sharding, sql, streaming_dedup
+from featureforge.llm import bpe, chosen_path, mixing, secrets, sharding, sql, streaming_dedup
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,26 @@ def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Where the vocabulary is; a parameter of the operator.
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    coded = bpe.decode(bpe.encode(docs, vocabulary()), vocabulary())
+    return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), sha256_text(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    found = chosen_path.near_duplicates(documents(spark, folder))
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 @query
 def op10_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = sharding.even_tree(regions=4, racks=2, shards=5)
