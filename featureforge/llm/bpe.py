@@ -145,7 +145,7 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
         def one(word: Column) -> Column:
             bucket = tables["words"][bucket_of(word, WORD_BUCKETS)]
             entry = F.concat(F.lit(ENTRY), word, F.lit(FIELD))
-            return F.when(F.contains(bucket, entry), F.substring_index(F.substring_index(bucket, entry, -1), ENTRY, 1)).otherwise(fold_word(word, tables["ranks"]))
+            return F.when(F.contains(bucket, entry), F.substring_index(F.call_function("substring_index", bucket, entry, F.lit(-1)), ENTRY, 1)).otherwise(fold_word(word, tables["ranks"]))
 
         return F.array_join(F.transform(words(whole_text(F.col(text_col))), one), ",")
 
