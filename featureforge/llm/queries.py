@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import bpe, chosen_path, mixing, secrets, sharding, sql, streaming_dedup
+from featureforge.llm import bpe, chosen_path, mixing, secrets, sharding, sql, streaming_dedup, toxicity
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,6 +62,12 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), sha256_text(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query
+def op8_kneser_ney_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    return toxicity.score_toxicity(documents(spark, folder), labels).select("doc_id", "held_out", "score", "predicted", "statistic")
+
+
 @query
 def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     found = chosen_path.near_duplicates(documents(spark, folder))
