@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import bpe, chosen_path, mixing, secrets, sharding, sql, streaming_dedup, toxicity
+from featureforge.llm import bpe, chosen_path, html_text, mixing, secrets, sharding, sql, streaming_dedup, toxicity
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,6 +48,12 @@ def op5_trigram_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op6_consensus_paths(spark: SparkSession, folder: str) -> DataFrame:
+    found = html_text.extract_pages(spark.read.parquet(f"{folder}/pages.parquet"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: Where the vocabulary is; a parameter of the operator.
 def vocabulary() -> str:
     import public_tokenizers
