@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import bpe, chosen_path, html_text, mixing, secrets, sharding, sql, streaming_dedup, toxicity
+from featureforge.llm import bpe, chosen_path, fingerprints, html_text, mixing, secrets, sharding, sql, streaming_dedup, toxicity
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,11 @@ def with_sql(text: str):
     return register
 
 
+@query
+def op1_bloom_sketches(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(documents(spark, folder))
+
+
 @query
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "copies")
