@@ -108,8 +108,9 @@ def needed_trigrams(rules: Sequence[Rule]) -> list[str]:
 
 def build_index(docs: DataFrame, trigrams: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings ``(trigram, doc_id)`` of the wanted trigrams, one per document that has it."""
-    low = F.lower(whole_text(F.col(text_col)))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
+    # inside the lambda the text is in lower case once, not once for each trigram
+    found = F.transform(F.array(F.lower(whole_text(F.col(text_col)))), lambda low: F.array_compact(F.array(
+        *[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)])))[0]
     names = F.array(*[F.lit(t) for t in trigrams])
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), found.alias("_found"))
     return rows.select("doc_id", F.explode("_found").alias("_i")).select(F.element_at(names, F.col("_i") + 1).alias("trigram"), "doc_id")
