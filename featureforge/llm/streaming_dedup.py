@@ -78,9 +78,9 @@ def run_state(
 
 def dedup_stream(
     spark: SparkSession, path: str, id_col: str = "doc_id", text_col: str = "text",
-    digest: Callable[[Column], Column] = sha256_text, state: str | None = None, files_per_trigger: int | None = None,
+    digest: Callable[[Column], Column] = sha256_text, state: str | None = None, files_per_trigger: int | None = None, carry: bool = False,
 ) -> DataFrame:
-    """``(doc_id, keep_id, group_size, kept, text_sha256, file, row)``, one row per document under ``path``.
+    """``(doc_id, keep_id, group_size, kept, text_sha256, file, row)``, one row per document under ``path``; with ``carry`` also all columns as ``whole``.
 
     ``kept`` is the row at the locator in the state. Rows of a hit digest whose
     bytes differ from its first row's are grouped by their full text instead.
@@ -96,6 +96,7 @@ def dedup_stream(
     rows = docs.select(
         docs[id_col].alias("doc_id"), text.alias("text"), digest(text).alias("digest"), sha256_text(text).alias("text_sha256"),
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+        *([F.struct(*[docs[c] for c in docs.columns]).alias("whole")] if carry else []),
     )
     # full bytes of the hits: equal texts meet as one row per task and text
     hits = state_rows.where(F.col("group_size") > 1).select("digest")
@@ -117,6 +118,6 @@ def dedup_stream(
             F.when(own, F.col("n")).otherwise(F.col("group_size")).cast("long").alias("group_size"),
             F.when(own, (F.col("file") == F.col("_file")) & (F.col("row") == F.col("_row")))
             .otherwise((F.col("file") == F.col("keep_file")) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            "text_sha256", "file", "row",
+            "text_sha256", "file", "row", *(["whole"] if carry else []),
         )
     )

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featureforge.llm.common import id_text, whole_text
 from featureforge.staging import stage
@@ -131,7 +131,7 @@ def dense(values: DataFrame, bits: int) -> np.ndarray:
 
 
 def statistic_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    """(…, text) to (…, statistic)."""
+    """(…, text) to (…, statistic): the last column is scored and replaced."""
     import xxhash
 
     grams, contexts = model.value
@@ -171,8 +171,8 @@ def statistic_rows(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.Reco
 def statistics(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """``docs``, whose last column is a text, with the statistic in its place."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(lambda it: statistic_rows(it, sent), f"{kinds}, statistic double")
+    out = T.StructType([*docs.schema.fields[:-1], T.StructField("statistic", T.DoubleType())])
+    return docs.mapInArrow(lambda it: statistic_rows(it, sent), out)
 
 
 def fit_curve(rows: list) -> tuple[float, float]:
@@ -202,8 +202,9 @@ def fit_curve(rows: list) -> tuple[float, float]:
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.7,
+    carry: bool = False,
 ) -> DataFrame:
-    """``(doc_id, held_out, statistic, score, predicted)``, one row per document.
+    """``(doc_id, held_out, statistic, score, predicted)``, one row per document; with ``carry`` also the whole ``row``.
 
     Rows whose CRC of the identifier leaves 1 modulo 3 are held out.
     """
@@ -224,7 +225,9 @@ def score_toxicity(
         intercept, slope = fit_curve([r for r in bins if r["toxic"] in (0, 1)])
     else:
         intercept, slope = float(np.log(1 / 3)), 0.0
-    found = statistics(rows, fit(words.select("word", "c0", "c1")))
+    scored = docs.select(F.col(id_col).alias("doc_id"), *([F.struct("*").alias("row")] if carry else []), whole_text(F.col(text_col)).alias("text"))
+    found = statistics(scored, fit(words.select("word", "c0", "c1")))
     score = 1 / (1 + F.exp(-(F.lit(intercept) + F.lit(slope) * F.col("statistic"))))
     return found.select(
-        "doc_id", (code % 3 == 1).alias("held_out"), "statistic", score.alias("score"), (score >= threshold).cast("int").alias("predicted"))
+        "doc_id", (code % 3 == 1).alias("held_out"), "statistic", score.alias("score"), (score >= threshold).cast("int").alias("predicted"),
+        *(["row"] if carry else []))
