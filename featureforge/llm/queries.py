@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import bpe, chosen_path, fingerprints, html_text, mixing, secrets, sharding, sql, streaming_dedup, toxicity
+from featureforge.llm import bpe, chosen_path, fingerprints, html_text, mixing, perplexity, secrets, sharding, sql, streaming_dedup, toxicity
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,12 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query
+def op3_kneser_ney_quality(spark: SparkSession, folder: str) -> DataFrame:
+    trusted = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id")
+    return perplexity.score_perplexity(documents(spark, folder), trusted)
+
+
 @with_sql(sql.DEDUP)
 def op4_dedup_stream(spark: SparkSession, folder: str) -> DataFrame:
     found = streaming_dedup.dedup_stream(spark, f"{folder}/documents.parquet")
