@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from featureforge.llm.common import id_text, uniform, whole_text, word_count
 from featureforge.staging import stage
 
-#: Slices of the random number per source. A slice holds 1 / SLICES of the rows of its source.
-SLICES = 65_536
+#: Slices of the random number in each of two steps. The last slice holds 1 / SLICES ** 2 of the rows of its source.
+SLICES = 256
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], most: int) -> DataFrame:
@@ -52,6 +52,24 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], most: int) -> Dat
     )
 
 
+def narrowed(rows: DataFrame, plan: DataFrame, slices: int) -> DataFrame:
+    """``plan`` with the slice of the random number, of ``slices`` ones, in which the words left to a source run out.
+
+    A slice that the plan already has is cut further, so that a source never has more than ``SLICES`` sums.
+    """
+    known = plan.withColumnRenamed("source", "_source")
+    piece = F.floor(F.col("u") * slices)
+    inside = F.col("slice").isNull() | (F.floor(F.col("u") * (slices // SLICES)) == F.col("slice"))
+    sums = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).where(inside & (F.col("left") > 0)).groupBy("source", piece.alias("piece")).agg(
+        F.sum("size").alias("words"), F.first("left").alias("left"), F.first("taken_before").alias("before"))
+    upto = W.partitionBy("source").orderBy("piece").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = F.col("before") + F.sum("words").over(upto)
+    cuts = sums.withColumn("reached", reached).where(F.col("reached") >= F.col("left")).groupBy("source").agg(
+        F.min(F.struct("piece", (F.col("reached") - F.col("words")).alias("taken_before"))).alias("cut"))
+    return known.drop("slice", "taken_before").join(cuts, F.col("_source").eqNullSafe(F.col("source")), "left").select(
+        F.col("_source").alias("source"), "source_size", "target", "sure", "left", F.col("cut.piece").alias("slice"), F.col("cut.taken_before").alias("taken_before"))
+
+
 def mix_sources(
     docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: str = "mix",
     id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
@@ -67,19 +85,15 @@ def mix_sources(
     targets = source_targets(sizes, weights, most).withColumn("sure", F.least(F.floor(rate + 1e-12), F.lit(most)))
     targets = stage(targets.withColumn("left", F.greatest(F.lit(0.0), F.col("target") - F.col("sure") * F.col("source_size"))), "targets")
 
-    piece = F.floor(F.col("u") * SLICES)
-    slices = rows.groupBy("source", piece.alias("slice")).agg(F.sum("size").alias("words"))
-    slices = slices.join(targets, slices["source"].eqNullSafe(targets["source"])).select(slices["source"], "slice", "words", "left")
-    upto = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cuts = slices.withColumn("sum", F.sum("words").over(upto)).where(F.col("sum") >= F.col("left")).groupBy("source").agg(
-        F.min(F.struct("slice", (F.col("sum") - F.col("words")).alias("taken_before"))).alias("cut"))
-    plan = stage(
-        targets.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
-        .select(F.col("source").alias("_source"), "source_size", "target", "sure", "left", "cut.slice", "cut.taken_before"), "plan")
+    plan = targets.withColumn("slice", F.lit(None).cast("long")).withColumn("taken_before", F.lit(0).cast("long"))
+    for slices in (SLICES, SLICES**2):
+        plan = stage(narrowed(rows, plan, slices), "plan")
+    plan = plan.withColumnRenamed("source", "_source")
 
+    piece = F.floor(F.col("u") * SLICES**2)
     ranked = rows.withColumn("_slice", piece).join(plan, F.col("source").eqNullSafe(F.col("_source")))
-    inclusion = F.col("left") / F.col("source_size")
-    pareto = (F.col("u") / (1 - F.col("u"))) / (inclusion / (1 - inclusion))
+    inclusion = F.try_divide(F.col("left"), F.col("source_size"))
+    pareto = F.try_divide(F.col("u") / (1 - F.col("u")), F.try_divide(inclusion, 1 - inclusion))
     at_cut = F.col("_slice") == F.col("slice")
     sure = ranked.where(F.col("slice").isNull() | (F.col("_slice") != F.col("slice"))).withColumn("extra", F.when(F.col("_slice") < F.col("slice"), 1).otherwise(0))
     # a document at the cut is taken if at least half of its words are below the cut
