@@ -13,7 +13,8 @@ threshold out are dropped; the others are confirmed on the full sets: first the
 likeliest link of each set, then every pair that the first links have not joined.
 
 A pair at the threshold survives ``STEP`` levels of one tree with probability
-0.64, twelve levels with 0.3; ``TREES`` trees miss it with 1e-6 and 0.007.
+0.64, nine levels with 0.37; ``TREES`` trees miss it with 5e-6 and 0.004. Levels
+beyond the first three are only reached inside crowded tree nodes.
 
 Defined results: null or empty text, and text without words, is linked with
 nothing and is its own component; a null identifier counts as larger than all
@@ -37,7 +38,7 @@ from featureforge.staging import stage
 COORDINATES, BITS = 64, 128
 #: Bits in which sketches of a pair at the threshold may differ: mean 12.8, standard deviation 3.4.
 MOST_DIFFERENT = 30
-TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
+TREES, STEP, DEPTH, LEAF = 12, 3, 9, 50
 PERCENT = 80
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Rows of a block in which minima are taken.
@@ -151,12 +152,16 @@ def confirm_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of ``pairs(a, b)`` that reach the threshold on the full sets of their texts; staged."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` of every node in ``pairs(a, b)``; staged, as the one time that texts cross an exchange whole."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stage(classes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "wanted")
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    texts = stage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
+    return stage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` that reach the threshold on the full sets of their texts; staged."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
@@ -173,7 +178,10 @@ def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> DataFrame:
         a = small.select("path", *[F.col(c).alias(f"{c}_a") for c in known.columns])
         b = small.select("path", *[F.col(c).alias(f"{c}_b") for c in known.columns])
         found.append(a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent)))
-        large = rows.join(sizes.where(F.col("size") > LEAF).select("path", "leader"), "path")
+        crowded = sizes.where(F.col("size") > LEAF).select("path", "leader")
+        if crowded.isEmpty():
+            break
+        large = rows.join(crowded, "path")
         if level + STEP > DEPTH:
             large = stage(large.where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "large")
             a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
@@ -183,10 +191,10 @@ def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> DataFrame:
         else:
             deeper = large.select("path", "node").join(classes.select("node", "signature"), "node").select("node", "signature", "path")
             rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
-    pairs = [stage(f.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far")).distinct(), "pairs") for f in found]
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
+    out = None
+    for f in found:
+        part = f.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far"))
+        out = part if out is None else out.unionByName(part)
     return stage(out.distinct(), "pairs")
 
 
@@ -223,13 +231,15 @@ def near_duplicates(
     ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
     best = pairs.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
     first_pairs = stage(best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct(), "first")
-    links = confirmed(first_pairs, classes, source, size, percent)
+    texts = texts_of(pairs, classes, source)
+    links = confirmed(first_pairs, texts, size, percent)
     joined = stage(components(links), "components")
     ca, cb = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     rest = pairs.select("a", "b").join(first_pairs, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
     rest = stage(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    more = confirmed(rest, classes, source, size, percent)
-    joined = stage(components(links.unionByName(more)), "components")
+    if not rest.isEmpty():
+        more = confirmed(rest, texts, size, percent)
+        joined = stage(components(links.unionByName(more)), "components")
 
     member = classes.select("digest", "node", "id", "text_key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     head = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("text_key")))
