@@ -17,8 +17,8 @@ from featureforge.functions.columns import number
 from featureforge.staging import stage
 
 ACCURACY = 100_000
-# Groups up to this size are counted value by value, without a bracket.
-SMALL_GROUP = 200_000
+# Widths of a bracket around a probability; a group takes the first that surely holds its rank.
+WIDTHS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 
 
 def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], dtype: str) -> DataFrame:
@@ -32,9 +32,9 @@ def _brackets(
     accuracy: int, dtype: str,
 ) -> DataFrame:
     """One row per group and column: ``n`` and a bracket ``lo, hi`` per probability."""
-    margin = 4.0 / accuracy + 2.0 / SMALL_GROUP
-    points = [p + d for p in probs for d in (-margin, margin)]
-    inner = F.array(*[F.lit(min(max(p, 0.0), 1.0)) for p in points])
+    ends = [(p, w, d) for p in probs for w in WIDTHS for d in (-w, w) if 0 < p + d < 1]
+    inner = F.array(*[F.lit(p + d) for p, _, d in ends] or [F.lit(0.5)])
+    at = {end: k for k, end in enumerate(ends)}
     value = number if dtype == "double" else (lambda c: F.col(c).cast(dtype))
     aggs = []
     for i, c in enumerate(columns):
@@ -45,15 +45,18 @@ def _brackets(
         ]
     wide = df.groupBy(*by).agg(*aggs)
 
-    def bounds(i: int) -> list[Column]:
-        out = []
-        small = F.col(f"n{i}") <= SMALL_GROUP
-        for j, p in enumerate(probs):
-            lo = F.when(small | F.lit(p - margin <= 0), F.col(f"a{i}")).otherwise(F.col(f"q{i}")[2 * j])
-            hi = F.when(small | F.lit(p + margin >= 1), F.col(f"z{i}")).otherwise(F.col(f"q{i}")[2 * j + 1])
-            out += [lo.alias(f"lo{j}"), hi.alias(f"hi{j}")]
+    def end(i: int, p: float, sign: int) -> Column:
+        """The sketch errs by 1 / accuracy of the ranks; two more ranks are needed to interpolate."""
+        out = F.col(f"a{i}" if sign < 0 else f"z{i}")
+        needed = F.lit(4.0 / accuracy) + F.lit(2.0) / F.greatest(F.col(f"n{i}"), F.lit(1))
+        for w in reversed(WIDTHS):
+            if (k := at.get((p, w, sign * w))) is not None:
+                out = F.when(needed <= w, F.col(f"q{i}")[k]).otherwise(out)
         return out
 
+    def bounds(i: int) -> list[Column]:
+        return [end(i, p, sign).alias(f"{name}{j}") for j, p in enumerate(probs) for name, sign in (("lo", -1), ("hi", 1))]
+
     rows = F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), *bounds(i)) for i, c in enumerate(columns)
     ])

@@ -17,9 +17,8 @@ from featureforge.sources.files import coerce, read_optional
 from featureforge.staging import new_folder
 
 
-def test_quantiles_through_brackets(spark, monkeypatch):
-    """Small limits force the sketch brackets; ties, groups, nulls and NaN are in the data."""
-    monkeypatch.setattr(quantiles, "SMALL_GROUP", 200)
+def test_quantiles_through_brackets(spark):
+    """Narrow brackets for large groups, wider ones for small; ties, groups, nulls and NaN are in the data."""
     rng = np.random.default_rng(1)
     n = 20_000
     pdf = pd.DataFrame({
