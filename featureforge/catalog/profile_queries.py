@@ -52,6 +52,22 @@ def a2_constant_report(t: Tables) -> DataFrame:
     )
 
 
+@query("a2_constant_floats", """
+with s as (select case when l_linenumber % 2 = 0 then 0.0 else l_tax * 0 end as zero,
+   case when l_linenumber % 2 = 0 then l_tax + 1 end as gaps from lineitem)
+select 'zero' as column, count(distinct zero) as unique_values, true as is_constant from s
+union all select 'nothing', 1, true
+union all select 'gaps', count(distinct gaps) + 1, false from s""")
+def a2_constant_floats(t: Tables) -> DataFrame:
+    """Signed zeros are one value, and so are NaN and null."""
+    even = F.col("l_linenumber") % 2 == 0
+    return profile.constant_report(t.lineitem.select(
+        F.when(even, F.lit(0.0)).otherwise(F.lit(-0.0)).alias("zero"),
+        F.when(even, F.lit(float("nan"))).alias("nothing"),
+        F.when(even, F.col("l_tax") + 1).when(F.col("l_linenumber") == 1, F.lit(float("nan"))).alias("gaps"),
+    ))
+
+
 @query("a3_outlier_report", """
 with v as (select 'value' as "column", value::double as v from events union all select 'user_id', user_id from events
   union all select 'n_chars', n_chars from documents),
@@ -119,6 +135,19 @@ def a8_corr_matrix(t: Tables) -> DataFrame:
     return rounded(profile.corr_matrix(t.lineitem.withColumn("one", F.lit(1)), CORR))
 
 
+WIDE = {
+    "wa": "l_quantity", "wb": "l_extendedprice * 1e6", "wc": "case when l_linenumber = 1 then l_discount end",
+    "wd": "case when l_linenumber <> 1 then l_tax end", "we": "1e6 + l_discount", "wf": "cast(l_linenumber as double)",
+}
+
+
+@query("a8_corr_wide", "with s as (select " + ", ".join(f"{e} as {c}" for c, e in WIDE.items()) + " from lineitem) " + " union all ".join(
+    _corr(a, b) for a in WIDE for b in WIDE))
+def a8_corr_wide(t: Tables) -> DataFrame:
+    """Many pairs, with unequal scales and two columns that never meet (null)."""
+    return rounded(profile.corr_matrix(t.lineitem.selectExpr(*[f"{e} as {c}" for c, e in WIDE.items()]), list(WIDE)))
+
+
 @query("a9_corr_with", " union all ".join(
     f"select '{c}' as feature, round(corr({c}, l_extendedprice), 6) as correlation from lineitem"
     for c in ("l_quantity", "l_discount", "l_tax", "l_extendedprice")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def as_column(c: Column | str) -> Column:
@@ -20,6 +20,24 @@ def number(c: Column | str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def canonical(df: DataFrame, c: str) -> Column:
+    """The column with one form of each value: no signed zero, and NaN as NULL."""
+    col = F.col(f"`{c}`")
+    if isinstance(df.schema[c].dataType, T.FractionalType) and not isinstance(df.schema[c].dataType, T.DecimalType):
+        return F.when(~F.isnan(col), col + F.lit(0.0).cast(df.schema[c].dataType))
+    return col
+
+
+def whole(c: Column, given: T.DataType, kind: str) -> Column:
+    """An integer of type ``kind``, without a way through double; null where the value is not whole or does not fit."""
+    if isinstance(given, T.IntegralType):
+        return c.try_cast(kind)
+    if isinstance(given, (T.FloatType, T.DoubleType)):
+        return F.when(c == F.floor(c), c.try_cast(kind))
+    exact = c.try_cast("decimal(38,9)")
+    return F.when(exact == F.floor(exact), exact.try_cast(kind))
+
+
 def safe_div(a: Column | str, b: Column | str) -> Column:
     """``a / b``; null where ``b`` is zero."""
     b = as_column(b).cast("double")

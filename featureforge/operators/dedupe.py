@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from featureforge.functions.columns import canonical
 from featureforge.staging import stage
 
 
@@ -24,9 +25,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def fingerprint(columns: Sequence[str]) -> Column:
-    """Digest of several columns; null differs from every text."""
-    texts = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> Column:
+    """Digest of several columns; null differs from every text, signed zeros are equal, and NaN is null."""
+    texts = F.struct(*[canonical(df, c).cast("string").alias(c) for c in columns])
     return F.sha2(F.to_json(texts, {"ignoreNullFields": "false"}), 256)
 
 
@@ -36,7 +37,7 @@ def duplicate_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     Groups are counted with map-side aggregation and joined back on a digest of
     the columns; rows of one group may be spread over many tasks.
     """
-    marked = df.withColumn("_fp", fingerprint(columns))
+    marked = df.withColumn("_fp", fingerprint(df, columns))
     repeated = marked.groupBy("_fp").count().filter("count > 1").select("_fp")
     return marked.join(stage(repeated, "duplicates"), "_fp", "left_semi").drop("_fp")
 

@@ -11,13 +11,11 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 from itertools import combinations_with_replacement
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from featureforge.functions.columns import number
+from featureforge.functions.columns import canonical, number
 from featureforge.operators.clean import numeric_columns
 from featureforge.operators.dedupe import duplicate_report
-from featureforge.operators.moments import gram_partials, sum_vectors
 from featureforge.operators.quantiles import exact_quantiles
 from featureforge.staging import stage
 
@@ -59,7 +57,7 @@ def missing_report(df: DataFrame) -> DataFrame:
 
 def _identity(df: DataFrame, c: str) -> Column:
     """Text that is equal exactly for equal values; long texts shuffle as a digest."""
-    text = F.col(c).cast("string")
+    text = canonical(df, c).cast("string")
     if not isinstance(df.schema[c].dataType, T.StringType):
         return text
     return F.when(F.length(text) < 64, text).otherwise(F.sha2(text, 256))
@@ -172,70 +170,28 @@ def group_mean(df: DataFrame, group: str, value: str) -> DataFrame:
     return means.orderBy("mean", group)
 
 
-def _pair_moments(a: Column, b: Column, tag: str) -> list[Column]:
-    """Moments of the complete pairs of two columns."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a), F.when(both, b)
-    return [
-        F.count(x).alias(f"n{tag}"), F.covar_samp(x, y).alias(f"c{tag}"),
-        F.stddev_samp(x).alias(f"s{tag}"), F.stddev_samp(y).alias(f"t{tag}"),
-        (F.min(x) < F.max(x)).alias(f"u{tag}"), (F.min(y) < F.max(y)).alias(f"v{tag}"),
-    ]
-
-
-# Up to this many pairs are aggregated as SQL expressions; more go through matrix products.
-MAX_PAIR_EXPRESSIONS = 10
-
-
 def _pair_grid(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows ``(a, b, n, varies, r)`` over the complete pairs of two columns, in one pass."""
-    if len(pairs) > MAX_PAIR_EXPRESSIONS:
-        return _pair_grid_by_moments(df, pairs)
-    aggs = [x for i, (a, b) in enumerate(pairs) for x in _pair_moments(number(a), number(b), str(i))]
-    wide = df.agg(*aggs)
-    rows = []
-    for i, (a, b) in enumerate(pairs):
-        varies = F.coalesce(F.col(f"u{i}") & F.col(f"v{i}"), F.lit(False))
-        r = F.try_divide(F.col(f"c{i}"), F.col(f"s{i}") * F.col(f"t{i}"))
-        rows.append(F.struct(
-            F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{i}").alias("n"), varies.alias("varies"),
-            F.when(varies, F.greatest(F.least(r, F.lit(1.0)), F.lit(-1.0))).alias("r"),
-        ))
-    return wide.select(F.inline(F.array(*rows)))
-
-
-def _pair_grid_by_moments(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """As :func:`_pair_grid`, from the matrix of values, presence marks and squares.
+    """Rows ``(a, b, n, varies, r)`` over the complete pairs of two columns, in one pass.
 
-    With zero-filled values z and marks m, the products zᵀm, z²ᵀm, mᵀm and zᵀz
-    hold the moments of every complete pair. The matrix is columns × columns.
+    Every task unrolls its rows by pair and hands on one row of moments per
+    pair, so that the shuffle depends on the number of pairs only.
     """
     names = list(dict.fromkeys(c for pair in pairs for c in pair))
-    p = len(names)
-    scale = df.agg(*[x for i, c in enumerate(names) for x in (
-        F.avg(number(c)).alias(f"m{i}"), F.stddev_pop(number(c)).alias(f"s{i}"))]).first()
-    columns = []
-    for i, c in enumerate(names):
-        z = F.coalesce((number(c) - F.lit(scale[f"m{i}"] or 0.0)) / F.lit(scale[f"s{i}"] or 1.0), F.lit(0.0))
-        columns.append((z.alias(f"z{i}"), number(c).isNotNull().cast("double").alias(f"o{i}"), (z * z).alias(f"q{i}")))
-    rows = df.select(F.lit("all").alias("g"), *[part[k] for k in range(3) for part in columns])
-    summed = sum_vectors(gram_partials(rows, "g", rows.columns[1:], "g"), ["g"]).first()
-    gram = np.asarray(summed["v"] if summed else [0.0] * (3 * p) ** 2).reshape(3 * p, 3 * p)
-    zz, zo, oo, qo = gram[:p, :p], gram[:p, p:2 * p], gram[p:2 * p, p:2 * p], gram[2 * p:, p:2 * p]
     at = {c: i for i, c in enumerate(names)}
-    out = []
-    for a, b in pairs:
-        i, j = at[a], at[b]
-        n = oo[i, j]
-        r, varies = None, False
-        if n > 0:
-            mean = zo[i, j] / n, zo[j, i] / n
-            var = qo[i, j] / n - mean[0] ** 2, qo[j, i] / n - mean[1] ** 2
-            varies = all(v > 1e-12 * max(m * m, 1e-6) for v, m in zip(var, mean))
-            if varies:
-                r = float(np.clip((zz[i, j] / n - mean[0] * mean[1]) / np.sqrt(var[0] * var[1]), -1.0, 1.0))
-        out.append((a, b, int(round(n)), varies, r))
-    return df.sparkSession.createDataFrame(out, "a string, b string, n bigint, varies boolean, r double")
+    side = lambda k: F.array(*[F.lit(at[pair[k]]) for pair in pairs])
+    values = df.select(F.array(*[number(c) for c in names]).alias("_v")).select(
+        "_v", F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("_pair"))
+    both = values.select(
+        "_pair", F.get("_v", F.get(side(0), F.col("_pair"))).alias("x"), F.get("_v", F.get(side(1), F.col("_pair"))).alias("y"),
+    ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    r = F.try_divide(F.covar_samp("x", "y"), F.stddev_samp("x") * F.stddev_samp("y"))
+    found = both.groupBy("_pair").agg(
+        F.count(F.lit(1)).alias("n"), ((F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))).alias("varies"), r.alias("r"))
+    labels = df.sparkSession.createDataFrame([(k, a, b) for k, (a, b) in enumerate(pairs)], "_pair int, a string, b string")
+    varies = F.coalesce("varies", F.lit(False))
+    return labels.join(found, "_pair", "left").select(
+        "a", "b", F.coalesce("n", F.lit(0)).alias("n"), varies.alias("varies"),
+        F.when(varies, F.greatest(F.least("r", F.lit(1.0)), F.lit(-1.0))).alias("r"))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
