@@ -36,6 +36,18 @@ def p1_normalize_keys(t: Tables) -> DataFrame:
     return normalize_keys(raw, text=["priority"], ints=["cust"], floats=["coeff"])
 
 
+@query("p1_exact_keys", """
+select o_orderkey, 9007199254740993 + o_orderkey as big, 9007199254740993 + o_orderkey as kept,
+   case when o_orderkey % 3 = 0 then o_orderkey end as part from orders""")
+def p1_exact_keys(t: Tables) -> DataFrame:
+    """Keys beyond the whole numbers of a double; values that are not whole become null."""
+    big = F.lit(9007199254740993) + F.col("o_orderkey")
+    tail = F.when(F.col("o_orderkey") % 3 == 0, F.lit(".0 ")).when(F.col("o_orderkey") % 3 == 1, F.lit(".7")).otherwise(F.lit("x"))
+    raw = t.orders.select(
+        "o_orderkey", big.cast("string").alias("big"), big.alias("kept"), F.concat(F.col("o_orderkey").cast("string"), tail).alias("part"))
+    return normalize_keys(raw, ints=["big", "kept", "part"])
+
+
 @query("p2_select_existing", "select l_orderkey, l_linenumber, l_quantity from lineitem")
 def p2_select_existing(t: Tables) -> DataFrame:
     return select_existing(t.lineitem, ["l_orderkey", "not_there", "l_linenumber", "l_quantity"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from featureforge.functions.fixed_values import CONFIG_FULL, CONFIG_HEAD, DATASET_SIZES
 
@@ -87,16 +87,21 @@ def _token_fallback(key: Column, spec: KeySpec) -> dict[str, Column]:
     return out
 
 
-def parse_key(df: DataFrame, key: Column | str, spec: KeySpec, mode: str = "lenient") -> DataFrame:
+def parse_key(
+    df: DataFrame, key: Column | str, spec: KeySpec, mode: str = "lenient", rejects: Observation | None = None,
+) -> DataFrame:
     """Add one column per part of the key.
 
     ``lenient`` falls back to tokens and defaults; ``null`` gives nulls and a
-    ``config_parse_status``; ``drop`` keeps only rows whose key parses.
+    ``config_parse_status``; ``drop`` keeps only rows whose key parses and, with
+    ``rejects``, observes the number of others as ``rejected``.
     """
     key = F.col(key) if isinstance(key, str) else key
     matched = key.rlike(spec.pattern)
     captured = _captured(key, spec)
     if mode == "drop":
+        if rejects is not None:
+            df = df.observe(rejects, F.count_if(~F.coalesce(matched, F.lit(False))).alias("rejected"))
         return df.filter(matched).withColumns(_typed(captured, spec))
     if mode == "null":
         status = F.when(matched, F.lit("ok")).otherwise(F.lit("failed"))

@@ -6,16 +6,17 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from featureforge.functions.columns import number, stripped
+from featureforge.functions.columns import number, stripped, whole
 
 
 def normalize_keys(
     df: DataFrame, text: Sequence[str] = (), ints: Sequence[str] = (), floats: Sequence[str] = ()
 ) -> DataFrame:
-    """Trim text keys and cast numeric keys; a value that does not cast becomes null."""
+    """Trim text keys and cast numeric keys; a value that does not cast, or an integer key that is not whole, becomes null."""
     present = set(df.columns)
+    kinds = {f.name: f.dataType for f in df.schema}
     out: dict[str, Column] = {c: stripped(F.col(c).cast("string")) for c in text if c in present}
-    out |= {c: F.col(c).try_cast("double").try_cast("bigint") for c in ints if c in present}
+    out |= {c: whole(stripped(F.col(c)) if isinstance(kinds[c], T.StringType) else F.col(c), kinds[c], "bigint") for c in ints if c in present}
     out |= {c: number(F.col(c).try_cast("double")) for c in floats if c in present}
     return df.withColumns(out) if out else df
 

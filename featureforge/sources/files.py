@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from featureforge.functions.columns import number, stripped
+from featureforge.functions.columns import number, stripped, whole
 from featureforge.operators.dedupe import first_per_key
 
 
@@ -53,7 +53,10 @@ def coerce(df: DataFrame, schema: Mapping[str, str] | T.StructType) -> DataFrame
         if f.name in schema and schema[f.name] != "string":
             kind = schema[f.name]
             text = stripped(c) if isinstance(f.dataType, T.StringType) else c
-            c = number(text.try_cast("double")) if kind == "double" else text.try_cast("double").try_cast(kind)
+            if kind in ("tinyint", "smallint", "int", "bigint"):
+                c = whole(text, f.dataType, kind)
+            else:
+                c = number(text.try_cast("double")) if kind == "double" else text.try_cast(kind)
         elif isinstance(f.dataType, T.StringType):
             c = stripped(c)
         out.append(c.alias(f.name))
