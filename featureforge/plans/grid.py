@@ -205,7 +205,7 @@ def _needed(grid: Grid) -> list[str]:
 def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
     """Result table: one row per target, evaluation, log flag and configuration; failures carry ``error``.
 
-    ``detail`` gives one row per held-out fold instead.
+    ``detail`` gives one row per held-out fold instead, and one per configuration that failed in any.
     """
     # Every target and scheme reads the table several times; it is computed and written once.
     df = stage(df.select(*[F.col(f"`{c}`") for c in _needed(grid)]), "grid-input")
@@ -218,15 +218,22 @@ def run_grid(df: DataFrame, grid: Grid, detail: bool = False) -> DataFrame:
                     "evaluation": F.lit(evaluation), "target": F.lit(target.column),
                     "normalized_target": F.lit(target.name).cast("string"), "use_log_transform": F.lit(log),
                 }
+                # a configuration that failed in one fold has no score, whatever its other folds gave
+                failed = union_all(run.errors).groupBy("config_id").agg(F.min("error").alias("error")) if run.errors else None
                 per_fold = run.fold_metrics()
+                if failed is not None:
+                    failed = stage(failed, "failed")
+                    per_fold = per_fold.join(failed.select("config_id"), "config_id", "left_anti")
                 if detail:
                     held_out = per_fold.withColumnRenamed("fold", "heldout_group")
-                    results.append(stage(held_out.join(run.attributes, "config_id").withColumns(tags), "result"))
+                    parts = [held_out.join(run.attributes, "config_id")]
+                    parts += [run.attributes.join(failed, "config_id")] if failed is not None else []
+                    results.append(stage(union_all(parts).withColumns(tags), "result"))
                     continue
                 summary = fold_summary(per_fold, ["config_id"]).withColumnRenamed("rows", "test_rows")
                 summary = summary.withColumn("rows", run.rows.agg(F.count(F.lit(1))).scalar())
                 parts = [run.attributes.join(summary, "config_id")]
-                parts += [run.attributes.join(e, "config_id") for e in run.errors]
+                parts += [run.attributes.join(failed, "config_id")] if failed is not None else []
                 results.append(stage(union_all(parts).withColumns(tags), "result"))
     out = union_all(results)
     if not detail and "error" not in out.columns:
