@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from featureforge.llm.common import BLANKS, sha256_text, whole_text
+from featureforge.llm.common import BLANKS, FILTER_SETTINGS, settings, sha256_text, whole_text
 from featureforge.staging import new_folder, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -58,15 +58,9 @@ def run_state(
         ).alias("first"),
     )
     kept = rows.groupBy("digest").agg(F.min("first").alias("first"), F.count("*").alias("group_size"))
-    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
-    try:
-        for k, v in STATE_SETTINGS.items():
-            spark.conf.set(k, v)
+    with settings(spark, STATE_SETTINGS):
         query = kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     store = spark.read.format("statestore").load(state)
     first, count = store.schema["value"].dataType.names[-2:]
     return store.select(
@@ -103,7 +97,8 @@ def dedup_stream(
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("file"), F.col("row"))
     texts = rows.join(hits, "digest", "left_semi").groupBy("digest", "text").agg(
         F.min(order).alias("first"), F.count("*").alias("n"), F.first("text_sha256").alias("text_sha256"))
-    texts = stage(texts.select("digest", "text_sha256", "n", F.col("first.id").alias("id"), F.col("first.file").alias("file"), F.col("first.row").alias("row")), "texts")
+    with settings(spark, FILTER_SETTINGS):
+        texts = stage(texts.select("digest", "text_sha256", "n", F.col("first.id").alias("id"), F.col("first.file").alias("file"), F.col("first.row").alias("row")), "texts")
     shared = texts.groupBy("digest").agg(F.count("*").alias("texts")).where(F.col("texts") > 1)
     apart = stage(texts.join(shared.select("digest"), "digest", "left_semi"), "collisions").select(
         F.col("digest").alias("_digest"), F.col("text_sha256").alias("_sha"), F.col("id").alias("_id"),
