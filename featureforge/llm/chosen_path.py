@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from featureforge.llm.common import whole_text
+from featureforge.llm.common import FILTER_SETTINGS, settings, whole_text
 from featureforge.llm.links import components
 from featureforge.staging import stage
 
@@ -156,8 +156,10 @@ def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     """``(node, text)`` of every node in ``pairs(a, b)``; staged, as the one time that texts cross an exchange whole."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = stage(classes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "wanted")
+    wanted = wanted.where(F.col("node") >= 0)  # a condition, which Spark asks of the side that it makes a filter from
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
-    return stage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
+    with settings(docs.sparkSession, FILTER_SETTINGS):
+        return stage(found.dropDuplicates(["node"]).select("node", "text"), "texts")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
