@@ -6,7 +6,9 @@ documents a word occurs. Counts, contexts and continuations are tables keyed
 by language and n-gram; the distinct n-grams of all documents are joined with
 them level by level, so that no task holds the model.
 
-Documents are dealt out to blocks by a hash. A block asks for its own distinct
+Trusted are at most ``TRAINING_ROWS`` of the given documents, those with the
+smallest hash of the identifier; this bounds the table of their identifiers,
+which is broadcast. Documents are dealt out to blocks by a hash. A block asks for its own distinct
 n-grams, and its documents are scored with the answers. A document is kept if its
 perplexity is not above a quantile of the trusted documents of its language.
 
@@ -32,6 +34,8 @@ from featureforge.llm.toxicity import PAD, discount, discounts
 from featureforge.staging import stage
 
 ORDER = 5
+#: Most trusted documents: an identifier each, at most some 32 MB to broadcast.
+TRAINING_ROWS = 1 << 20
 #: Characters of text that a block should hold.
 BLOCK_CHARS = 24_000_000
 #: Likelihood of a character that no model has, spread over as many.
@@ -59,7 +63,7 @@ def trusted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, compressed: it crosses one exchange."""
     for batch in batches:
-        packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in batch.column(batch.num_columns - 1).to_pylist()]
+        packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 6) for t in batch.column(batch.num_columns - 1).to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary())], [*batch.schema.names[:-1], "packed"])
 
 
@@ -135,7 +139,8 @@ def score_perplexity(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
 ) -> DataFrame:
     """``(doc_id, lang, trusted, perplexity, threshold, kept)``, one row per document; ``trusted`` has the identifiers of trusted documents."""
-    marks = stage(trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct(), "trusted")
+    marks = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
+    marks = F.broadcast(stage(marks.orderBy(F.xxhash64("_id")).limit(TRAINING_ROWS), "trusted"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang_was"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), whole_text(F.col(text_col)).alias("text"))
@@ -152,7 +157,7 @@ def score_perplexity(
     marked = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").select(
         block.alias("block"), "doc_id", "lang_was", "lang", F.col("_id").isNotNull().alias("trusted"), "text")
     out = T.StructType([*marked.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
-    packed = stage(marked.mapInArrow(packed_rows, out), "packed")
+    packed = marked.mapInArrow(packed_rows, out)
     asked = stage(packed.groupBy("block").applyInArrow(block_grams, "block long, lang string, gram string"), "grams")
     known = likelihoods(counts, stage(asked.select("lang", "gram").distinct(), "asked"))
     answers = asked.join(known, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("v"))
