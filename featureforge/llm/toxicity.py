@@ -11,7 +11,9 @@ windows of ``WINDOW`` words, so that a short insult in a long text shows. A
 logistic curve over that statistic, fitted on documents that the fitted half
 of the training rows did not contain, gives the score.
 
-All counts cover all labelled training rows. The model travels as two arrays
+Learnt from are at most ``TRAINING_ROWS`` labelled rows, those with the smallest
+hash of the identifier; this bounds the table of labels that is broadcast, so
+that no text crosses an exchange. The model travels as two arrays
 of fixed size: differences of grams and of contexts, by hash.
 
 Defined results: null and empty texts have the statistic 0; a document without
@@ -37,6 +39,8 @@ ORDER, WINDOW, LEAST_CHARS = 6, 4, 24
 #: Sizes of the shipped arrays (16 MB and 4 MB); fixed, whatever the corpus.
 GRAM_BITS, CONTEXT_BITS = 22, 20
 PAD = " "
+#: Most labelled rows to learn from: an identifier and a label each, at most some 32 MB to broadcast.
+TRAINING_ROWS = 1 << 20
 #: Words whose sums a task remembers.
 REMEMBERED = 400_000
 #: Width of a bin of the statistic when the curve is fitted.
@@ -211,8 +215,9 @@ def score_toxicity(
     code = F.crc32(id_text(F.col("doc_id")).cast("binary"))
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(F.col(text_col)).alias("text"))
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    marks = stage(marks.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1), "marks")
-    learnt = rows.join(marks, F.col("doc_id") == F.col("_id")).select("text", "toxic", (F.floor(code / 3) % 2).cast("int").alias("half"))
+    marks = marks.where(F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1)
+    marks = stage(marks.orderBy(F.xxhash64("_id")).limit(TRAINING_ROWS), "marks")
+    learnt = rows.join(F.broadcast(marks), F.col("doc_id") == F.col("_id")).select("text", "toxic", (F.floor(code / 3) % 2).cast("int").alias("half"))
     learnt = stage(learnt, "learnt")
     words = learnt.mapInArrow(word_presence, "word string, toxic int, half int, n long")
     times = lambda toxic, half: F.coalesce(F.sum(F.when((F.col("toxic") == toxic) & F.col("half").isin(*half), F.col("n"))), F.lit(0))
