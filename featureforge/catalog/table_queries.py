@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from featureforge.catalog.registry import Tables, query, rounded
 from featureforge.functions.columns import safe_div
+from featureforge.functions.fixed_values import DESCRIPTOR_COLUMNS, DESCRIPTORS, FEATURE_SETS
 from featureforge.operators.clean import (
     drop_existing, drop_null, fill, map_table, normalize_keys, numeric_columns, select_existing,
 )
 from featureforge.operators.dedupe import dedupe, duplicate_report, duplicate_rows, first_per_key
-from featureforge.operators.features import add_ratios, feature_set, from_one_hot, normalize_target, one_hot, reconstruct
+from featureforge.operators.features import (
+    add_descriptors, add_ratios, feature_set, from_one_hot, named_feature_set, normalize_target, one_hot, reconstruct,
+)
 from featureforge.operators.joins import attach_labels, enrich, enrich_unique, join_via, lookup
 from featureforge.operators.results import best_preferred, best_rows, standardize, top_n, union_all
 
@@ -183,6 +186,22 @@ def j5_lookup(t: Tables) -> DataFrame:
     return lookup(t.customer, dim, "c_nationkey", ["n_regionkey", "weight"]).select("c_custkey", "n_regionkey", "weight")
 
 
+# Groups of the descriptor query: listed ones in order, then one that is not listed and a missing one.
+GROUPS = [*DESCRIPTORS, "unlisted"]
+_DESCRIBED = " union all ".join(
+    f"select '{g}' as benchmark, {', '.join(f'{v} as {c}' for c, v in zip(DESCRIPTOR_COLUMNS, values))}" for g, values in DESCRIPTORS.items())
+
+
+@query("j5_descriptors", f"""
+with d as ({_DESCRIBED}),
+p as (select p_partkey, case p_partkey % {len(GROUPS) + 1} {' '.join(f"when {i} then '{g}'" for i, g in enumerate(GROUPS))} end as benchmark from part)
+select p_partkey, p.benchmark, {', '.join(f'coalesce({c}, 0) as {c}' for c in DESCRIPTOR_COLUMNS)} from p left join d on p.benchmark = d.benchmark""")
+def j5_descriptors(t: Tables) -> DataFrame:
+    """Descriptors of the groups of parts; 0 for a group that is not listed, and for none."""
+    group = F.get(F.array(*[F.lit(g) for g in GROUPS]), (F.col("p_partkey") % (len(GROUPS) + 1)).cast("int"))
+    return add_descriptors(t.part.select("p_partkey", group.alias("benchmark"))).select("p_partkey", "benchmark", *DESCRIPTOR_COLUMNS)
+
+
 @query("j6_null_safe_join", """
 with d as (select doc_id, nullif(source, 'src3') as k from documents),
 g as (select k, count(*) as n from d group by k)
@@ -369,6 +388,34 @@ def f6_feature_set(t: Tables) -> DataFrame:
     return rounded(reduce(DataFrame.unionByName, parts), 3)
 
 
+def _named(t: Tables) -> DataFrame:
+    """Columns of every kind under the names that the sets know, from line items."""
+    return t.lineitem.selectExpr(
+        "l_quantity as source_lines", "l_discount as num_mul_ops", "l_tax as control_steps", "l_linenumber as synth_num_cells",
+        "l_quantity / 2 as ratio_mul_density", "cast(l_returnflag = 'R' as int) as opt_level_O2", "cast(l_returnflag = 'A' as int) as benchmark_gemm",
+        "l_extendedprice as synth_chip_area", "l_extendedprice / 3 as total_power")
+
+
+@query("f6_named_sets", """
+with s as (select l_quantity as code1, l_discount as code2, l_tax as hls, l_linenumber as synth, l_quantity / 2 as ratio,
+  (l_returnflag = 'R')::int as opt, (l_returnflag = 'A')::int as grp from lineitem)
+select 'code_only' as set_name, 3 as features, round(sum(code1 + code2 + opt), 3) as total from s
+union all select 'hls_only', 2, round(sum(hls + opt), 3) from s
+union all select 'synth_only', 2, round(sum(synth + opt), 3) from s
+union all select 'hls_plus_synth', 3, round(sum(hls + synth + opt), 3) from s
+union all select 'ratios_only', 2, round(sum(ratio + opt), 3) from s
+union all select 'all_direct_features', 7, round(sum(code1 + code2 + hls + synth + ratio + opt + grp), 3) from s""")
+def f6_named_sets(t: Tables) -> DataFrame:
+    """Row sums over the six named sets; the last with group columns. Results of the final flow are in none."""
+    table = _named(t)
+    parts = []
+    for name in FEATURE_SETS:
+        columns = named_feature_set(table, name, "total_power", with_group=name == "all_direct_features")
+        total = reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+        parts.append(table.agg(F.sum(total).alias("total")).select(F.lit(name).alias("set_name"), F.lit(len(columns)).alias("features"), "total"))
+    return rounded(reduce(DataFrame.unionByName, parts), 3)
+
+
 @query("v8_leakage_modes", """
 select 'full' as mode, round(avg(l_quantity + l_discount + l_tax), 6) as mean_sum from lineitem
 union all select 'no_leakage', round(avg(l_discount + l_tax), 6) from lineitem""")

@@ -108,6 +108,19 @@ TARGET_LABELS = {
     "total_power": "Final total power",
 }
 
+# Named feature sets (all take the configuration columns as well), and the prefixes of those.
+FEATURE_SETS = {
+    "code_only": CODE_FEATURES,
+    "hls_only": HLS_FEATURES,
+    "synth_only": SYNTH_FEATURES,
+    "hls_plus_synth": HLS_FEATURES + SYNTH_FEATURES,
+    "ratios_only": [],
+    "all_direct_features": None,
+}
+CONFIG_PREFIXES = ["dataset_size_", "mem_policy_", "opt_level_"]
+GROUP_PREFIX = "benchmark_"
+RATIO_PREFIX = "ratio_"
+
 # Ratio features (name, numerator, denominator).
 RATIO_FEATURES = [
     ("ratio_compute_to_memory", "num_arithmetic_ops", "num_array_accesses"),

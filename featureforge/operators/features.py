@@ -6,9 +6,11 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from featureforge.functions import fixed_values as fixed
 from featureforge.functions.columns import safe_div
 from featureforge.functions.fixed_values import RATIO_FEATURES, RATIO_TARGETS
 from featureforge.operators.clean import numeric_columns
+from featureforge.operators.joins import lookup
 
 # A category list becomes columns, so it has to fit a table schema.
 MAX_CATEGORIES = 10_000
@@ -94,3 +96,28 @@ def feature_set(
             chosen += [c for c in numeric if is_group(c)]
     dropped = set(leakage) | {target} | set((target_leakage or {}).get(target, ()))
     return [c for c in dict.fromkeys(chosen) if c not in dropped]
+
+
+def named_feature_set(
+    df: DataFrame, name: str, target: str, leakage: Sequence[str] = tuple(fixed.FINAL_OUTPUTS), with_group: bool = False,
+) -> list[str]:
+    """Features of one of the six named sets: its columns, the configuration columns and, on request, the group columns.
+
+    Results of the final flow and the target itself are never features.
+    """
+    if name not in fixed.FEATURE_SETS:
+        raise ValueError(f"Unknown feature set: {name}")
+    names = fixed.FEATURE_SETS[name]
+    if names is None:
+        return feature_set(df, target, leakage, group_prefix=fixed.GROUP_PREFIX, with_group=with_group)
+    if name == "ratios_only":
+        names = [c for c in numeric_columns(df) if c.startswith(fixed.RATIO_PREFIX)]
+    return feature_set(df, target, leakage, names, fixed.CONFIG_PREFIXES, fixed.GROUP_PREFIX, with_group)
+
+
+def add_descriptors(df: DataFrame, group: str = "benchmark") -> DataFrame:
+    """Add the coarse descriptors of each row's group; 0 for groups without any."""
+    rows = [(name, *values) for name, values in fixed.DESCRIPTORS.items()]
+    kinds = ", ".join(f"{c} int" for c in fixed.DESCRIPTOR_COLUMNS)
+    table = df.sparkSession.createDataFrame(rows, f"_group string, {kinds}").withColumnRenamed("_group", group)
+    return lookup(df, table, group, fixed.DESCRIPTOR_COLUMNS)
