@@ -108,3 +108,15 @@ def test_json_maps(spark):
     assert [r.parse_status for r in got] == ["ok", "ok", "ok", "failed", "ok"]
     assert got[0].e.key == "a" and got[1].e is None and got[2].e.key == "_k"
     assert (got[0].cells, got[0].wires, got[0].modules) == (6, 0, 2) and got[1].modules == 0
+
+
+def test_rejected_keys_are_counted(spark):
+    from pyspark.sql import Observation
+
+    from featureforge.functions import keys
+
+    spec = keys.KeySpec(parts=[("name", r"([a-z]+)_"), ("size", r"(\d+)")], types={"size": "int"})
+    df = spark.createDataFrame([("ab_1",), ("cd_22",), ("no key",), (None,)], "k string")
+    seen = Observation("keys")
+    rows = keys.parse_key(df, "k", spec, mode="drop", rejects=seen).collect()
+    assert sorted((r.name, r.size) for r in rows) == [("ab", 1), ("cd", 22)] and seen.get == {"rejected": 2}

@@ -147,6 +147,20 @@ def test_failed_configurations_are_rows(spark):
     assert out["allodd"].error.startswith("Unknown kernel") and out["allok"].folds == 5 and out["allok"].error is None
 
 
+def test_one_failed_fold_fails_the_configuration(spark):
+    """The small group alone has too few rows to train on; the other fold works."""
+    pdf = table().head(40).copy()
+    pdf["grp"] = np.where(pdf.index < 3, "small", "large")
+    wide = Model("pls_wide", "pls", {"components": min(4, len(NAMES))})
+    grid = Grid([Target("y")], {"all": NAMES}, [wide, Model("ok", "ridge", {"alpha": 1.0})], "id", "grp", evaluations=("groupkfold",), folds=2, min_rows=2)
+    rows = run_grid(spark.createDataFrame(pdf), grid).collect()
+    assert sorted(r.model for r in rows) == ["ok", "pls_wide"]
+    bad, good = sorted(rows, key=lambda r: r.model, reverse=True)
+    assert bad.error and bad.mae is None and good.error is None and good.mae is not None
+    detail = run_grid(spark.createDataFrame(pdf), grid, detail=True).collect()
+    assert [r.model for r in detail if r.error] == ["pls_wide"] and sum(r.model == "ok" for r in detail) == 2
+
+
 def test_ratio_target_is_scored_in_its_own_units(spark):
     pdf = table()
     pdf["size"] = 1 + pdf.id % 7
