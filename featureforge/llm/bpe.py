@@ -5,11 +5,11 @@ a fold merges the neighbouring pair of the lowest rank, the leftmost of equal
 ones, until no pair has a rank. Ranks are a literal map in buckets.
 
 Distinct words are counted over all documents. The most frequent of them are
-folded once and become a second literal map, of bounded size; a word that is
-not in it is folded where it stands, by the same expression. The map only saves
-time: ids do not depend on it.
+folded once and become a table of bounded size that travels to the tasks, which
+look words up in Arrow batches; a word that is not in it is folded where it
+stands, by the same expression. The table only saves time: ids do not depend on it.
 
-Decoding looks the ids up in a literal array of binary pieces and joins these.
+Decoding looks the ids up in the list of binary pieces and joins these.
 
 Defined results: null text is empty and has no ids; repeated rows are returned
 each; an empty table gives an empty result; other columns are kept by
@@ -21,9 +21,11 @@ from __future__ import annotations
 import base64
 import json
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from featureforge.llm.common import whole_text
 from featureforge.staging import stage
@@ -34,14 +36,11 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Buckets of the literal rank map and of the literal word map; powers of two.
+#: Buckets of the literal rank map; a power of two.
 RANK_BUCKETS = 1 << 14
-WORD_BUCKETS = 1 << 16
-#: Most words in the map of frequent words.
-FREQUENT = 1 << 17
+#: Most words in the table of frequent words, and most characters of one: some 100 MB in a task at the most.
+FREQUENT, LONGEST = 1 << 20, 32
 NO_RANK = 2**31 - 1
-#: Separators inside a bucket of words; words that contain one are not put there.
-ENTRY, FIELD = "\x1e", "\x1f"
 
 
 @lru_cache(maxsize=4)
@@ -64,23 +63,6 @@ def rank_map(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
-def word_map(entries: list[tuple[str, str]]) -> Column:
-    """Literal map from word to its ids (text), each bucket one string of entries."""
-    buckets: list[list[str]] = [[] for _ in range(WORD_BUCKETS)]
-    for word, ids in entries:
-        buckets[zlib.crc32(word.encode()) & (WORD_BUCKETS - 1)].append(f"{ENTRY}{word}{FIELD}{ids}")
-    return F.split(F.lit("\n\n".join("".join(b) + ENTRY for b in buckets)), "\n\n")
-
-
-def pieces_array(path: str) -> Column:
-    """Literal array of the pieces by id, one character per byte; ids without a piece are null."""
-    ranks = load_ranks(path)
-    pieces: list[str | None] = [None] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.decode("latin-1")
-    return F.from_json(F.lit(json.dumps(pieces)), "array<string>")
-
-
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once."""
     return F.transform(F.array(value), body)[0]
@@ -132,31 +114,66 @@ def fold_word(word: Column, ranks: Column) -> Column:
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
     """``(word, ids, n)``: the most frequent distinct words of all documents, folded once."""
     counts = docs.select(F.explode(words(whole_text(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = stage(counts.orderBy(F.desc("n"), "word").limit(most), "words").repartition("word")
-    return stage(top.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids"), "n"), "folded")
+    top = stage(counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(most), "words")
+    spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but much work for each
+    return stage(spread.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids"), "n"), "folded")
+
+
+def known_rows(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
+    """(…, text) to (…, ready, open): ids of known words between the words that are not known, and those words."""
+    import regex
+
+    cut = regex.compile(PATTERN).findall
+    for batch in batches:
+        find = known.value.get
+        ready, left = [], []
+        for text in batch.column(batch.num_columns - 1).to_pylist():
+            runs, missing, run = [], [], []
+            for word in cut(text):
+                ids = find(word)
+                if ids is None:
+                    runs.append(",".join(run))
+                    missing.append(word)
+                    run = []
+                else:
+                    run.append(ids)
+            runs.append(",".join(run))
+            ready.append(runs)
+            left.append(missing)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:-1], pa.array(ready, pa.list_(pa.string())), pa.array(left, pa.list_(pa.string()))],
+            [*batch.schema.names[:-1], "_ready", "_open"])
 
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT) -> DataFrame:
     """The documents with their ids, as text joined by commas."""
-    known = [(r.word, r.ids) for r in frequent_words(docs, path, text_col, most).select("word", "ids").collect()]  # at most ``most`` rows
-    usable = [(w, i) for w, i in known if not {ENTRY, FIELD, "\n"} & set(w)]
-
-    def ids(tables: Column) -> Column:
-        def one(word: Column) -> Column:
-            bucket = tables["words"][bucket_of(word, WORD_BUCKETS)]
-            entry = F.concat(F.lit(ENTRY), word, F.lit(FIELD))
-            return F.when(F.contains(bucket, entry), F.substring_index(F.call_function("substring_index", bucket, entry, F.lit(-1)), ENTRY, 1)).otherwise(fold_word(word, tables["ranks"]))
-
-        return F.array_join(F.transform(words(whole_text(F.col(text_col))), one), ",")
-
-    return docs.withColumn(ids_col, let(F.struct(word_map(usable).alias("words"), rank_map(path).alias("ranks")), ids))
+    table = frequent_words(docs, path, text_col, most).select("word", "ids").toArrow()  # at most ``most`` rows
+    known = docs.sparkSession.sparkContext.broadcast(dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist())))
+    strings = T.ArrayType(T.StringType())
+    rows = docs.select(F.struct("*").alias("_row"), whole_text(F.col(text_col)).alias("_text"))
+    out = T.StructType([rows.schema.fields[0], T.StructField("_ready", strings), T.StructField("_open", strings)])
+    rows = rows.mapInArrow(lambda it: known_rows(it, known), out)
+    folded = let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks)))
+    pairs = F.flatten(F.transform(F.arrays_zip(F.col("_ready").alias("r"), folded.alias("o")), lambda x: F.array(x["r"], x["o"])))
+    ids = F.array_join(F.filter(pairs, lambda x: x != ""), ",")
+    return rows.select("_row.*", ids.alias(ids_col))
+
+
+def decoded_rows(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
+    """(row, ids) to (row, bytes)."""
+    for batch in batches:
+        table = pieces.value
+        out = [b"".join([table[i] for i in ids.split(",")]) if ids else b"" for ids in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_row", "_decoded"])
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The documents with the bytes that their ids stand for."""
-    ids = F.filter(F.split(F.col(ids_col), ","), lambda x: x != "")
-    pieces = let(pieces_array(path), lambda table: F.array_join(F.transform(ids, lambda i: table[i.cast("int")]), ""))
-    return docs.withColumn(out_col, F.encode(pieces, "ISO-8859-1"))
+    pieces = docs.sparkSession.sparkContext.broadcast({str(rank): piece for piece, rank in load_ranks(path).items()})
+    rows = docs.select(F.struct("*").alias("_row"), F.col(ids_col).alias("_ids"))
+    out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
+    found = rows.mapInArrow(lambda it: decoded_rows(it, pieces), out)
+    return found.select("_row.*", F.col("_decoded").alias(out_col))
 
 
 def token_count(ids: Column) -> Column:
