@@ -153,7 +153,7 @@ def sketch_text(cells: Column) -> Column:
 
 
 def chained(rows: DataFrame) -> DataFrame:
-    """``(uid, n, next_uid, last_n)`` of distinct ``(uid, doc_id, n)`` by descending identifier, last to first.
+    """``(uid, doc_id, next_uid, last_n)`` of distinct ``(uid, doc_id, n)`` by descending identifier, last to first.
 
     ``last_n`` is the length of the document whose next one this is. Identifiers
     are cut into ranges; only the first row of each range is compared across ranges.
@@ -173,7 +173,7 @@ def chained(rows: DataFrame) -> DataFrame:
         F.coalesce(F.lag("tail_n").over(by_range), F.last("tail_n").over(edge)).alias("before"))
     ends = stage(ends, "ends")  # one row per range
     return stage(rows.join(ends, "range").select(
-        "uid", "n", F.coalesce("next_uid", "after").alias("next_uid"), F.when(F.col("_i") == 1, F.col("before")).otherwise(F.col("last_n")).alias("last_n")), "chain")
+        "uid", "doc_id", F.coalesce("next_uid", "after").alias("next_uid"), F.when(F.col("_i") == 1, F.col("before")).otherwise(F.col("last_n")).alias("last_n")), "chain")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,12 +185,12 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn(
         "uid", F.md5(F.concat(id_text(F.col("doc_id")), F.lit("|"), F.col("text")).cast("binary")))
     chain = chained(rows.select("uid", "doc_id", F.length("text").alias("n")))
-    rows = rows.repartition("uid")  # one exchange of the texts, read twice
+    rows = rows.select("uid", "text").repartition("uid")  # one exchange of the texts, read twice
     previous = chain.select("uid", F.col("last_n"))
     sent = rows.dropDuplicates(["uid"]).join(previous, "uid").select(
         F.col("uid").alias("next_uid"), F.substring(F.col("text"), F.lit(1), F.floor(F.col("last_n") / 2).cast("int")).alias("tail"),
         digests(F.col("text")).alias("next_digests"))
-    after = chain.select("uid", "next_uid").join(sent, "next_uid").select("uid", "tail", "next_digests")
+    after = chain.select("uid", "doc_id", "next_uid").join(sent, "next_uid").select("uid", "doc_id", "tail", "next_digests")
     both = rows.join(after, "uid")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
