@@ -115,8 +115,8 @@ class Page(HTMLParser):
         if tag in CLOSES:
             closed, scope = CLOSES[tag]
             at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in closed or self.open[i][0] in scope), -1)
-            while at >= 0 and self.open[at][0] in closed and len(self.open) > at:
-                self.pop()
+            if at >= 0 and self.open[at][0] in closed:
+                self.close_tag(at)
         attributes = dict(attrs)
         above = self.open[-1][1] if self.open else ""
         path = ">".join([*above.split(">")[-(LEVELS - 1):], step_of(tag, attributes)]) if above else step_of(tag, attributes)

@@ -57,7 +57,7 @@ def trusted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             seen.setdefault(lang, Counter()).update(set(text.split()))
         for lang, words in seen.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words)), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
+                [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
 
 def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

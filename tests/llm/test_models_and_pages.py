@@ -89,9 +89,10 @@ def test_character_models_sum_to_one(spark):
     assert df.count() and pad
     letters = sorted({c for g in grams for c in g})
     for context in ("  ab", "   b", " xab", "zzzz"):
-        asked = spark.createDataFrame([("en", context + c) for c in letters], "lang string, gram string")
+        asked = spark.createDataFrame([("en", context + c) for c in [*letters, "\u2603"]], "lang string, gram string")
         got = {r.gram: r.p for r in perplexity.likelihoods(counts, asked).collect()}
-        assert sum(got.values()) == pytest.approx(1.0, abs=0.01)
+        unseen = got.pop(context + "\u2603")
+        assert sum(got.values()) + (65_536 - len(letters)) * unseen == pytest.approx(1.0)
     asked = spark.createDataFrame([("en", "  abc"), ("en", "  abz"), ("fr", "  abc")], "lang string, gram string")
     got = {(r.lang, r.gram): r.p for r in perplexity.likelihoods(counts, asked).collect()}
     assert got["en", "  abc"] > 100 * got["en", "  abz"] and got["fr", "  abc"] == pytest.approx(perplexity.UNIFORM)
