@@ -38,8 +38,8 @@ PATTERN = (
 )
 #: Buckets of the literal rank map; a power of two.
 RANK_BUCKETS = 1 << 14
-#: Most words in the table of frequent words, and most characters of one: some 100 MB in a task at the most.
-FREQUENT, LONGEST = 1 << 20, 32
+#: Most words in the table of frequent words, and most characters of one: some 100 MB in a task.
+FREQUENT, LONGEST = 1 << 19, 32
 NO_RANK = 2**31 - 1
 
 
