@@ -6,15 +6,18 @@ a minwise signature, one and with probability 1/4 a second (1 / 0.8 in the
 mean, so that a pair at the threshold keeps one common branch in the mean), and
 passes each set on by its minwise token there. Tree nodes of at most ``LEAF``
 sets are compared exhaustively; larger ones branch on. Sets that still share a
-large node at the last level are compared with the smallest of them.
+large node at the last level are first compared with the smallest of them; then
+all pairs of the node that are not in one component yet are compared on their
+full sets, in blocks of at most ``SIDE`` by ``SIDE`` sets.
 
-Pairs whose one-bit sketches differ too much or whose sizes rule the
+Elsewhere, pairs whose one-bit sketches differ too much or whose sizes rule the
 threshold out are dropped; the others are confirmed on the full sets: first the
 likeliest link of each set, then every pair that the first links have not joined.
 
 A pair at the threshold survives ``STEP`` levels of one tree with probability
-0.64, nine levels with 0.37; ``TREES`` trees miss it with 5e-6 and 0.004. Levels
-beyond the first three are only reached inside crowded tree nodes.
+0.64, nine levels with 0.37, twelve with 0.32; ``TREES`` trees miss it with 6e-7,
+0.0015 and 0.005. Levels beyond the first three are only reached inside crowded
+tree nodes.
 
 Defined results: null or empty text, and text without words, is linked with
 nothing and is its own component; a null identifier counts as larger than all
@@ -38,7 +41,9 @@ from featureforge.staging import stage
 COORDINATES, BITS = 64, 128
 #: Bits in which sketches of a pair at the threshold may differ: mean 12.8, standard deviation 3.4.
 MOST_DIFFERENT = 30
-TREES, STEP, DEPTH, LEAF = 12, 3, 9, 50
+TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
+#: Sets on each side of a block in which a crowded node is compared exhaustively.
+SIDE = 256
 PERCENT = 80
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Rows of a block in which minima are taken.
@@ -152,6 +157,64 @@ def confirm_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links that join different components, among (i, j, member, node, component, text) of one block pair; all pairs across are compared."""
+    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+    nodes, member = np.asarray(rows.column("node")), np.asarray(rows.column("member"))
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    sets = [shingles(t, size) for t in rows.column("text").to_pylist()]
+    lengths = np.array([len(s) for s in sets])
+    known, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    of = rows.column("component").to_pylist()
+    right = np.flatnonzero(member == j)
+    a_found, b_found = [], []
+    for a in np.flatnonzero(member == i):
+        mark = np.zeros(len(known), np.int64)
+        mark[codes[starts[a]:starts[a + 1]]] = 1
+        common = np.add.reduceat(mark[codes], starts[:-1])  # no set is empty
+        near = 100 * common >= percent * (lengths[a] + lengths - common)
+        for b in right[near[right]]:
+            ra, rb = find(of[a]), find(of[b])
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                a_found.append(min(nodes[a], nodes[b]))
+                b_found.append(max(nodes[a], nodes[b]))
+    return pa.table({"a": pa.array(a_found, pa.int64()), "b": pa.array(b_found, pa.int64())})
+
+
+def crowded_links(large: DataFrame, joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between the components ``joined(node, component)`` within the tree nodes ``large(path, node)``; staged.
+
+    The members outside a tree node's largest component are dealt to blocks, and
+    every block meets itself, the other ones, and the blocks of that component.
+    """
+    found = joined.select("node", F.col("component").alias("known"))
+    large = large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component"))
+    shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
+    shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    shape = stage(shape.where(F.col("size") > F.col("most.n")).select(
+        "path", F.col("most.component").alias("main"),
+        F.ceil((F.col("size") - F.col("most.n")) / SIDE).cast("int").alias("others"), F.ceil(F.col("most.n") / SIDE).cast("int").alias("mains")), "shape")
+    if shape.isEmpty():
+        return None
+    rows = stage(large.join(shape, "path"), "open")
+    texts = texts_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs)
+    salt, is_main = F.xxhash64("node", "path"), F.col("component") == F.col("main")
+    member = F.when(is_main, F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
+    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    dealt = rows.withColumn("member", member).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
+        "path", F.least("member", "other").alias("i"), F.greatest("member", "other").alias("j"), "member", "node", "component")
+    return stage(dealt.join(texts, "node").groupBy("path", "i", "j").applyInArrow(
+        lambda rows: block_links(rows.select(["i", "j", "member", "node", "component", "text"]), size, percent), "a long, b long"), "crowded")
+
+
 def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """``(node, text)`` of every node in ``pairs(a, b)``; staged, as the one time that texts cross an exchange whole."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
@@ -169,10 +232,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
 
 
-def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> DataFrame:
-    """``(a, b, far)``: pairs that met in a small tree node or with the leader of a large one and may reach the threshold."""
+def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(a, b, far)``: pairs that met in a small tree node or with the leader of a large one and may reach the threshold.
+
+    Also ``(path, node)`` of the tree nodes that are still large at the last level, if any.
+    """
     known = classes.select("node", "n_shingles", "s1", "s2")
-    found = []
+    found, still = [], None
     rows = stage(classes.select("node", "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
     for level in range(STEP, DEPTH + 1, STEP):
         sizes = stage(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where(F.col("size") > 1), "sizes")
@@ -185,6 +251,7 @@ def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> DataFrame:
             break
         large = rows.join(crowded, "path")
         if level + STEP > DEPTH:
+            still = stage(large.select("path", "node").distinct(), "still")
             large = stage(large.where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "large")
             a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
             b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
@@ -197,7 +264,7 @@ def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> DataFrame:
     for f in found:
         part = f.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far"))
         out = part if out is None else out.unionByName(part)
-    return stage(out.distinct(), "pairs")
+    return stage(out.distinct(), "pairs"), still
 
 
 def different():
@@ -228,7 +295,7 @@ def near_duplicates(
     classes = features.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min(first).alias("f"), rest.alias("r"))
     classes = stage(classes.select("digest", F.monotonically_increasing_id().alias("node"), "f.id", "f.text_key", "r.*"), "classes")
 
-    pairs = candidate_pairs(classes, trees, percent)
+    pairs, still = candidate_pairs(classes, trees, percent)
     # the likeliest link of each set; pairs that these join need no look of their own
     ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
     best = pairs.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
@@ -241,6 +308,10 @@ def near_duplicates(
     rest = stage(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
     if not rest.isEmpty():
         more = confirmed(rest, texts, size, percent)
+        links = links.unionByName(more)
+        joined = stage(components(links), "components")
+    more = None if still is None else crowded_links(still, joined, classes, source, size, percent)
+    if more is not None and not more.isEmpty():
         joined = stage(components(links.unionByName(more)), "components")
 
     member = classes.select("digest", "node", "id", "text_key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -87,6 +87,29 @@ def test_planted_groups(spark, monkeypatch, leaf):
     assert set(heads.values()) == {1} and len(heads) == len({r.component_id for r in got})
 
 
+def test_crowded_node_without_a_leader(spark, monkeypatch):
+    """1,000 copies that reach the threshold with their original, not with each other; the original has no small identifier."""
+    monkeypatch.setattr(chosen_path, "LEAF", 20)
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    texts = []
+    for c in range(1000):
+        copy = list(words)
+        for k, at in enumerate(rng.sample(range(0, 198, 2), 9)):
+            copy[at] = f"c{c}x{k}"
+        texts.append(" ".join(copy))
+    texts.insert(700, " ".join(words))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = chosen_path.near_duplicates(docs).collect()
+    own, original = [shingle_set(t) for t in texts], shingle_set(texts[700])
+    linked = [i for i, s in enumerate(own) if 100 * len(s & original) >= 80 * len(s | original)]
+    assert len(linked) > 900
+    component = {r.doc_id: r.component_id for r in got}
+    missed = sum(component[i] != component[700] for i in linked)
+    assert missed <= 0.02 * len(linked)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]
