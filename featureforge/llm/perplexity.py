@@ -6,10 +6,11 @@ documents a word occurs. Counts, contexts and continuations are tables keyed
 by language and n-gram; the distinct n-grams of all documents are joined with
 them level by level, so that no task holds the model.
 
-Trusted are at most ``TRAINING_ROWS`` of the given documents, those with the
-smallest hash of the identifier; this bounds the table of their identifiers,
-which is broadcast. Documents are dealt out to blocks by a hash. A block asks for its own distinct
-n-grams, and its documents are scored with the answers. A document is kept if its
+All given documents are trusted: counts, thresholds and marks cover every one.
+Documents and trusted identifiers are dealt out to blocks by a hash of the
+identifier, so that no task holds all identifiers. A block counts the n-grams of
+its trusted documents and asks for its own distinct n-grams, and its documents
+are scored with the answers. A document is kept if its
 perplexity is not above a quantile of the trusted documents of its language.
 
 Defined results: null and empty texts, and texts without words, have no
@@ -29,13 +30,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from featureforge.llm.common import id_text, whole_text
+from featureforge.llm.common import whole_text
 from featureforge.llm.toxicity import PAD, discount, discounts
 from featureforge.staging import stage
 
 ORDER = 5
-#: Most trusted documents: an identifier each, at most some 32 MB to broadcast.
-TRAINING_ROWS = 1 << 20
 #: Characters of text that a block should hold.
 BLOCK_CHARS = 24_000_000
 #: Likelihood of a character that no model has, spread over as many.
@@ -49,17 +48,6 @@ def grams_of(word: str) -> list[str]:
     return [padded[i:i + ORDER] for i in range(len(word) + 1)]
 
 
-def trusted_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, text) to (lang, word, n): documents of a batch that have the word."""
-    for batch in batches:
-        seen: dict[str, Counter] = {}
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen.setdefault(lang, Counter()).update(set(text.split()))
-        for lang, words in seen.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
-
-
 def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The last column, a text, compressed: it crosses one exchange."""
     for batch in batches:
@@ -72,25 +60,38 @@ def unpacked(column) -> Iterator[str]:
         yield zlib.decompress(value).decode("utf-8", "surrogatepass")
 
 
-def block_grams(key: tuple, rows: pa.Table) -> pa.Table:
-    """Distinct n-grams of a block, by language."""
-    words: dict[str, set] = {}
-    for lang, text in zip(rows.column("lang").to_pylist(), unpacked(rows.column("packed"))):
-        words.setdefault(lang, set()).update(text.split())
-    langs, grams = [], []
-    for lang, known in words.items():
-        found = list({g for w in known for g in grams_of(w)})
-        grams += found
+def block_grams(rows: pa.Table, marks: pa.Table) -> pa.Table:
+    """Distinct n-grams of a block, by language, with their counts in trusted documents: one for each document that has the word."""
+    trusted = set(marks.column("key").to_pylist())
+    words: dict[str, Counter] = {}
+    for key, lang, text in zip(rows.column("key").to_pylist(), rows.column("lang").to_pylist(), unpacked(rows.column("packed"))):
+        own = set(text.split())
+        seen = words.setdefault(lang, Counter())
+        seen.update(own if key in trusted else dict.fromkeys(own, 0))
+    langs, grams, counts = [], [], []
+    for lang, seen in words.items():
+        found: Counter = Counter()
+        for word, n in seen.items():
+            for g in grams_of(word):
+                found[g] += n
+        grams += found.keys()
+        counts += found.values()
         langs += [lang] * len(found)
-    block = rows.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(grams), pa.int64()), "lang": pa.array(langs, pa.string()), "gram": pa.array(grams, pa.string())})
+    block = rows.column("block")[0].as_py() if rows.num_rows else 0
+    return pa.table({"block": pa.array([block] * len(grams), pa.int64()), "lang": pa.array(langs, pa.string()),
+                     "gram": pa.array(grams, pa.string()), "n": pa.array(counts, pa.int64())})
 
 
 def block_scores(rows: pa.Table, answers: pa.Table) -> pa.Table:
     """Log-likelihood and characters of each document of a block."""
     known: dict[str, dict[str, float]] = {}
-    for lang, gram, v in zip(*(answers.column(c).to_pylist() for c in ("lang", "gram", "v"))):
-        known.setdefault(lang, {})[gram] = v
+    marks = set()
+    for lang, gram, v, key in zip(*(answers.column(c).to_pylist() for c in ("lang", "gram", "v", "key"))):
+        if key is None:
+            known.setdefault(lang, {})[gram] = v
+        else:
+            marks.add(key)
+    trusted = [key in marks for key in rows.column("key").to_pylist()]
     sums: dict[tuple[str, str], float] = {}
     totals, chars = [], []
     for lang, text in zip(rows.column("lang").to_pylist(), unpacked(rows.column("packed"))):
@@ -104,7 +105,7 @@ def block_scores(rows: pa.Table, answers: pa.Table) -> pa.Table:
             n += len(w) + 1
         totals.append(total)
         chars.append(n)
-    return pa.table([rows.column("doc_id"), rows.column("lang_was"), rows.column("trusted"), pa.array(totals, pa.float64()), pa.array(chars, pa.int64())],
+    return pa.table([rows.column("doc_id"), rows.column("lang_was"), pa.array(trusted, pa.bool_()), pa.array(totals, pa.float64()), pa.array(chars, pa.int64())],
                     names=["doc_id", "lang", "trusted", "logp", "chars"])
 
 
@@ -139,28 +140,26 @@ def score_perplexity(
     docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", quantile: float = QUANTILE,
 ) -> DataFrame:
     """``(doc_id, lang, trusted, perplexity, threshold, kept)``, one row per document; ``trusted`` has the identifiers of trusted documents."""
-    marks = trusted.select(F.col(id_col).alias("_id")).where(F.col("_id").isNotNull()).distinct()
-    marks = F.broadcast(stage(marks.orderBy(F.xxhash64("_id")).limit(TRAINING_ROWS), "trusted"))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang_was"),
+        F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("key"), F.col(lang_col).cast("string").alias("lang_was"),
         F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), whole_text(F.col(text_col)).alias("text"))
-    learnt = rows.join(marks, F.col("doc_id") == F.col("_id"), "left_semi").select("lang", "text")
-    words = learnt.mapInArrow(trusted_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    padded = F.concat(F.lit(PAD * (ORDER - 1)), F.col("word"), F.lit(PAD))
-    grams = words.select("lang", "n", F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(ORDER)))).alias("gram"))
-    counts = stage(grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
-
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = math.ceil(size / BLOCK_CHARS) + 1
-    block = F.pmod(F.xxhash64(id_text(F.col("doc_id")), F.col("text")), F.lit(blocks))
-    marked = rows.join(marks, F.col("doc_id") == F.col("_id"), "left").select(
-        block.alias("block"), "doc_id", "lang_was", "lang", F.col("_id").isNotNull().alias("trusted"), "text")
-    out = T.StructType([*marked.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
-    packed = marked.mapInArrow(packed_rows, out)
-    asked = stage(packed.groupBy("block").applyInArrow(block_grams, "block long, lang string, gram string"), "grams")
+    block = F.pmod(F.xxhash64(F.coalesce(F.col("key"), F.md5(F.col("text").cast("binary")))), F.lit(blocks))
+    key = F.col(id_col).cast(docs.schema[id_col].dataType).cast("string")
+    marks = trusted.select(key.alias("key")).where(F.col("key").isNotNull()).distinct()
+    marks = marks.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key")
+    marks = stage(marks, "trusted")
+    dealt = rows.select(block.alias("block"), "doc_id", "key", "lang_was", "lang", "text")
+    out = T.StructType([*dealt.schema.fields[:-1], T.StructField("packed", T.BinaryType())])
+    packed = dealt.mapInArrow(packed_rows, out)
+    asked = stage(packed.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
+        block_grams, "block long, lang string, gram string, n long"), "grams")
+    counts = stage(asked.where("n > 0").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "counts")
     known = likelihoods(counts, stage(asked.select("lang", "gram").distinct(), "asked"))
-    answers = asked.join(known, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("v"))
+    answers = asked.join(known, ["lang", "gram"]).select("block", "lang", "gram", F.log("p").alias("v"), F.lit(None).cast("string").alias("key"))
+    none = F.lit(None).cast("string")
+    answers = answers.unionByName(marks.select("block", none.alias("lang"), none.alias("gram"), F.lit(None).cast("double").alias("v"), "key"))
     kind = docs.schema[id_col].dataType.simpleString()
     scored = packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         block_scores, f"doc_id {kind}, lang string, trusted boolean, logp double, chars long")

@@ -156,6 +156,20 @@ def test_perplexity(spark, edge, edge_rows, empty):
     assert perplexity.score_perplexity(empty, trusted).count() == 0
 
 
+def test_every_trusted_document_counts(spark, monkeypatch):
+    """More trusted documents than any bound: all are marked, counted and in the thresholds."""
+    monkeypatch.setattr(perplexity, "TRAINING_ROWS", 40, raising=False)
+    monkeypatch.setattr(perplexity, "BLOCK_CHARS", 5_000)
+    rows = [(str(i), prose(i, 20 + i % 30), "en") for i in range(200)] + [(None, prose(3, 30), "en")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, lang string").repartition(3)
+    trusted = spark.createDataFrame([(str(i),) for i in range(150)] + [("no such",), (None,)], "doc_id string")
+    got = {r.doc_id: r for r in perplexity.score_perplexity(docs, trusted).collect()}
+    assert {i for i, r in got.items() if r.trusted} == {str(i) for i in range(150)}
+    want = brute_perplexity([r[1] for r in rows[:150]], [r[1] for r in rows])
+    assert [got[r[0]].perplexity for r in rows] == pytest.approx(want, rel=1e-9)
+    assert got["0"].threshold == pytest.approx(sorted(want[:150])[math.ceil(0.99 * 150) - 1])
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var a="<p>no</p>";</script></head>
 <body><header><p>Site head words here</p></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="wrap-{n}"><div class="%s">
 <h1>Title   of &eacute;{n}</h1><p>First <b>para</b>graph with enough text, and commas.<br>Next line&nbsp;here<p>Second &lt;para&gt; with text of some length {n}.</p>
