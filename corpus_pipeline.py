@@ -30,8 +30,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The leader of each group of linked documents; rows equal in identifier and text count as one."""
-    leaders = chosen_path.near_duplicates(docs).where("leader").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+    """The leader of each group of documents linked on five-word shingles; rows equal in identifier and text count as one."""
+    leaders = chosen_path.near_duplicates(docs, size=5).where("leader").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64(whole_text(F.col("text"))).alias("key"))
     kept = keyed.join(leaders, F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key")), "left_semi")
     return kept.dropDuplicates(["id", "key"]).select("row.*")

@@ -151,6 +151,28 @@ def test_stages_keep_columns_and_rows(spark, edge, edge_rows, folder):
     assert Counter((r.doc_id, r.source) for r in mixed.collect()) == +want
 
 
+def test_near_stage_compares_five_words(spark, folder):
+    """Copies with few or some words replaced, against brute force on five-word shingles."""
+    rng = random.Random(8)
+    rows = []
+    for g in range(15):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        for replaced in (0, 1, 2, 3, 6, 8):
+            copy = list(words)
+            for at in rng.sample(range(5, 195, 10), replaced):
+                copy[at] = f"c{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    five = lambda t: frozenset(zip(*(t.split()[i:] for i in range(5))))
+    root = brute_components({five(t) for _, t in rows})
+    want = {}
+    for i, t in rows:
+        want.setdefault(root[five(t)], i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, folder).collect()
+    assert sorted(r.doc_id for r in got) == sorted(want.values())
+    assert 15 < len(want) < len(rows)
+
+
 def test_run(spark, folder):
     got = corpus_pipeline.run(spark, folder)
     rows = got.collect()
