@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from featureforge.llm import bpe, chosen_path, fingerprints, html_text, mixing, perplexity, secrets, sharding, sql, streaming_dedup, toxicity
+from featureforge.llm import (
+    bpe, chosen_path, filter_audit, fingerprints, html_text, language, mixing, perplexity, secrets, sharding, spelling, sql, streaming_dedup, toxicity,
+)
 from featureforge.llm.common import documents, sha256_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +97,18 @@ def op9_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
 def op10_hash_tree_shards(spark: SparkSession, folder: str) -> DataFrame:
     tree = sharding.even_tree(regions=4, racks=2, shards=5)
     return sharding.shard_documents(documents(spark, folder), tree, sharding.with_region(tree, shards=1, first=40))
+
+
+@query
+def op11_string_kernel_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify_languages(documents(spark, folder))
+
+
+@with_sql(sql.VARIANTS)
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(documents(spark, folder))
+
+
+@with_sql(sql.AUDIT)
+def op13_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit_filters(spark, f"{folder}/documents.parquet", spark.read.parquet(f"{folder}/labels.parquet"))
