@@ -4,16 +4,18 @@ Words are the matches of the tokenizer's pattern. A word starts as its bytes;
 a fold merges the neighbouring pair of the lowest rank, the leftmost of equal
 ones, until no pair has a rank. Ranks are a literal map in buckets.
 
-Distinct words are counted over all documents. The most frequent of them are
-folded once and become a table of bounded size that travels to the tasks, which
-look words up in Arrow batches; a word that is not in it is folded where it
-stands, by the same expression. The table only saves time: ids do not depend on it.
+Documents are encoded in blocks of neighbouring rows. A block's distinct words
+are looked up in a bounded table of frequent words, which were folded once for
+all documents; its other words are folded once for the block, by the same
+expression, and put in place. Nothing is exchanged between blocks, and ids do
+not depend on the table: it only saves time. The table holds 128-bit hashes of
+words and their ids in flat arrays, some 30 bytes a word.
 
 Decoding looks the ids up in the list of binary pieces and joins these.
 
 Defined results: null text is empty and has no ids; repeated rows are returned
-each; an empty table gives an empty result; other columns are kept by
-``encode`` unless they are named as its own. Texts are encoded whole.
+each; an empty table gives an empty result; other columns are kept, but a column
+with the name of the result is replaced by it. Texts are encoded whole.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -38,8 +42,8 @@ PATTERN = (
 )
 #: Buckets of the literal rank map; a power of two.
 RANK_BUCKETS = 1 << 14
-#: Most words in the table of frequent words, and most characters of one: some 100 MB in a task.
-FREQUENT, LONGEST = 1 << 19, 32
+#: Most words in the table of frequent words, most characters of one, and characters of text in a block.
+FREQUENT, LONGEST, BLOCK_CHARS = 1 << 19, 32, 16_000_000
 NO_RANK = 2**31 - 1
 
 
@@ -112,58 +116,150 @@ def fold_word(word: Column, ranks: Column) -> Column:
 
 
 def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``(word, ids, n)``: the most frequent distinct words of all documents, folded once."""
+    """``(word, ids)``: at most ``most`` of the words that all documents have most often, folded once; staged.
+
+    Words enter by steps of their count, an eighth of a power of two wide; the last step that would not fit as a whole stays out.
+    """
     counts = docs.select(F.explode(words(whole_text(F.col(text_col)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    top = stage(counts.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(most), "words")
+    counts = stage(counts.where((F.col("n") > 1) & (F.length("word") <= LONGEST)).withColumn("step", F.floor(F.log2("n") * 8)), "words")
+    room, first = most, None
+    for r in counts.groupBy("step").agg(F.count("*").alias("size")).orderBy(F.desc("step")).collect():  # at most 8 * 63 rows
+        if r["size"] > room:
+            break
+        room, first = room - r["size"], r.step
+    top = counts.where(F.col("step") >= first) if first is not None else counts.limit(0)
     spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but much work for each
-    return stage(spread.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids"), "n"), "folded")
+    return stage(spread.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids")), "folded")
+
+
+class Ragged(NamedTuple):
+    """Lists of ids, one after the other."""
+
+    starts: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+
+def ragged(texts: list[str]) -> Ragged:
+    """From ids as texts joined by commas; none is empty."""
+    ids = np.array(",".join(texts).split(","), np.int32) if texts else np.empty(0, np.int32)
+    sizes = np.array([t.count(",") + 1 for t in texts], np.int64)
+    return Ragged(np.cumsum(sizes) - sizes, sizes, ids)
+
+
+def gathered(lists: Ragged, which: np.ndarray) -> np.ndarray:
+    """The ids of the lists ``which``, one list after the other."""
+    sizes = lists.sizes[which]
+    ends = np.cumsum(sizes)
+    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
+    return lists.ids[np.repeat(lists.starts[which], sizes) + inside]
+
+
+def word_hashes(some: list[str]) -> np.ndarray:
+    """Two 64-bit numbers for each word."""
+    import xxhash
 
+    digest = xxhash.xxh3_128_digest
+    return np.frombuffer(b"".join([digest(w.encode("utf-8", "surrogatepass")) for w in some]), np.uint64).reshape(-1, 2)
 
-def known_rows(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatch]:
-    """(…, text) to (…, ready, open): ids of known words between the words that are not known, and those words."""
+
+class WordTable(NamedTuple):
+    keys: np.ndarray  # sorted
+    checks: np.ndarray
+    lists: Ragged
+
+
+def word_table(some: list[str], ids: list[str]) -> WordTable:
+    hashes = word_hashes(some)
+    _, order, counts = np.unique(hashes[:, 0], return_index=True, return_counts=True)
+    order = order[counts == 1]
+    return WordTable(hashes[order, 0], hashes[order, 1], ragged([ids[i] for i in order]))
+
+
+def found_words(table: WordTable, some: list[str]) -> np.ndarray:
+    """Numbers of the words in the table, -1 for those that it lacks."""
+    if not len(table.keys) or not some:
+        return np.full(len(some), -1, np.int64)
+    hashes = word_hashes(some)
+    at = np.minimum(np.searchsorted(table.keys, hashes[:, 0]), len(table.keys) - 1)
+    return np.where((table.keys[at] == hashes[:, 0]) & (table.checks[at] == hashes[:, 1]), at, -1)
+
+
+def coded_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, codes, open): per word of a text its number in the table, or -1 - i for the open word i of the block, as 32-bit numbers.
+
+    The first row of a block has its distinct open words, the others null.
+    """
     import regex
 
     cut = regex.compile(PATTERN).findall
     for batch in batches:
-        find = known.value.get
-        ready, left = [], []
-        for text in batch.column(batch.num_columns - 1).to_pylist():
-            runs, missing, run = [], [], []
-            for word in cut(text):
-                ids = find(word)
-                if ids is None:
-                    runs.append(",".join(run))
-                    missing.append(word)
-                    run = []
-                else:
-                    run.append(ids)
-            runs.append(",".join(run))
-            ready.append(runs)
-            left.append(missing)
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(ready, pa.list_(pa.string())), pa.array(left, pa.list_(pa.string()))],
-            [*batch.schema.names[:-1], "_ready", "_open"])
-
-
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT) -> DataFrame:
+        start = 0
+        while start < batch.num_rows:
+            numbers: dict[str, int] = {}
+            rows, size, end = [], 0, start
+            while end < batch.num_rows and size < block_chars:
+                text = batch.column(1)[end].as_py()
+                size += len(text)
+                rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in cut(text)], np.int32))
+                end += 1
+            distinct = list(numbers)
+            codes = found_words(shared.value, distinct)
+            missing = np.flatnonzero(codes < 0)
+            codes[missing] = -1 - np.arange(len(missing))
+            codes = codes.astype(np.int32)
+            left = [[distinct[i] for i in missing]] + [None] * (end - start - 1)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(start, end - start), pa.array([codes[r].tobytes() for r in rows], pa.binary()), pa.array(left, pa.list_(pa.string()))],
+                ["_row", "_codes", "_open"])
+            start = end
+
+
+def joined_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(row, codes, folded), in the order of ``coded_rows``, to (row, ids)."""
+    own = ragged([])
+    for batch in batches:
+        table, out = shared.value.lists, []
+        for i in range(batch.num_rows):
+            folded = batch.column(2)[i]
+            if folded.is_valid:
+                own = ragged(folded.as_py())
+            codes = np.frombuffer(batch.column(1)[i].as_py(), np.int32)
+            known = codes >= 0
+            sizes = np.empty(len(codes), np.int64)
+            sizes[known], sizes[~known] = table.sizes[codes[known]], own.sizes[-1 - codes[~known]]
+            ids = np.empty(sizes.sum(), np.int32)
+            of_table = np.repeat(known, sizes)
+            ids[of_table], ids[~of_table] = gathered(table, codes[known]), gathered(own, -1 - codes[~known])
+            out.append(",".join(map(str, ids.tolist())))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_row", "_ids"])
+
+
+def others(docs: DataFrame, name: str) -> list[Column]:
+    """The columns of ``_row`` but one of this name."""
+    return [F.col("_row").getField(c).alias(c) for c in docs.columns if c != name]
+
+
+def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with their ids, as text joined by commas."""
-    table = frequent_words(docs, path, text_col, most).select("word", "ids").toArrow()  # at most ``most`` rows
-    known = docs.sparkSession.sparkContext.broadcast(dict(zip(table.column("word").to_pylist(), table.column("ids").to_pylist())))
-    strings = T.ArrayType(T.StringType())
+    table = frequent_words(docs, path, text_col, most).toArrow()  # at most ``most`` rows
+    table = word_table(table.column("word").to_pylist(), table.column("ids").to_pylist())
+    shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.struct("*").alias("_row"), whole_text(F.col(text_col)).alias("_text"))
-    out = T.StructType([rows.schema.fields[0], T.StructField("_ready", strings), T.StructField("_open", strings)])
-    rows = rows.mapInArrow(lambda it: known_rows(it, known), out)
-    folded = let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks)))
-    pairs = F.flatten(F.transform(F.arrays_zip(F.col("_ready").alias("r"), folded.alias("o")), lambda x: F.array(x["r"], x["o"])))
-    ids = F.array_join(F.filter(pairs, lambda x: x != ""), ",")
-    return rows.select("_row.*", ids.alias(ids_col))
+    row = rows.schema.fields[0]
+    rows = rows.mapInArrow(lambda it: coded_rows(it, shared, block_chars), T.StructType(
+        [row, T.StructField("_codes", T.BinaryType()), T.StructField("_open", T.ArrayType(T.StringType()))]))
+    # once for each block; no exchange, so that rows stay in order
+    rows = rows.select("_row", "_codes", let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks))).alias("_folded"))
+    rows = rows.mapInArrow(lambda it: joined_rows(it, shared), T.StructType([row, T.StructField("_ids", T.StringType())]))
+    return rows.select(*others(docs, ids_col), F.col("_ids").alias(ids_col))
 
 
 def decoded_rows(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
     """(row, ids) to (row, bytes)."""
     for batch in batches:
         table = pieces.value
-        out = [b"".join([table[i] for i in ids.split(",")]) if ids else b"" for ids in batch.column(1).to_pylist()]
+        out = [b"".join([table[i] for i in ids.as_py().split(",")]) if ids.as_py() else b"" for ids in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_row", "_decoded"])
 
 
@@ -173,7 +269,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     rows = docs.select(F.struct("*").alias("_row"), F.col(ids_col).alias("_ids"))
     out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
     found = rows.mapInArrow(lambda it: decoded_rows(it, pieces), out)
-    return found.select("_row.*", F.col("_decoded").alias(out_col))
+    return found.select(*others(docs, out_col), F.col("_decoded").alias(out_col))
 
 
 def token_count(ids: Column) -> Column:

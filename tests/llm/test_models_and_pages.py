@@ -25,9 +25,7 @@ def test_bpe_is_what_tiktoken_gives(spark, edge, edge_rows, empty, vocabulary):
     odd = ["a  b　　c", "\x1e\x1f\n\n  x", "१२३ ⅷ² 𝟙", "<|endoftext|>", "‍﻿́e", "'S I'll 'rely", " " * 50 + "\t\t end  ", "a b\x85c\x1cd"]
     rows = [(i, r[1]) for i, r in enumerate(edge_rows)] + [(1000 + i, t) for i, t in enumerate(odd)]
     docs = spark.createDataFrame(rows, "i long, text string").repartition(4)
-    for most in (0, 50, bpe.FREQUENT):  # ids do not depend on the map of frequent words
-        if most == 50 and len(rows) > 40:
-            continue
+    for most in (0, 50, bpe.FREQUENT):  # ids do not depend on the table of frequent words
         coded = bpe.decode(bpe.encode(docs, vocabulary, most=most), vocabulary)
         for r in coded.select("*", bpe.token_count(F.col("ids")).alias("count")).collect():
             ids = coder.encode_ordinary(r.text or "")
@@ -36,6 +34,32 @@ def test_bpe_is_what_tiktoken_gives(spark, edge, edge_rows, empty, vocabulary):
     assert bpe.encode(empty, vocabulary).count() == 0
 
 
+def test_bpe_in_blocks(spark, edge, edge_rows, vocabulary):
+    """Many unknown words, blocks of a few rows and of one long text, and columns that are named like the results."""
+    import public_tokenizers
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(vocabulary), special_tokens={})
+    unknown = " ".join(prose(i, 3).replace(" ", "") + str(i) for i in range(4_000))
+    rows = [(unknown,), (unknown[:100],), (None,), ("",), (unknown,), ("the the",)] * 2
+    docs = spark.createDataFrame(rows, "text string").withColumn("ids", F.lit(7)).withColumn("decoded", F.lit("x")).coalesce(1)
+    coded = bpe.decode(bpe.encode(docs, vocabulary, most=100, block_chars=5_000), vocabulary)
+    assert coded.columns == ["text", "ids", "decoded"]
+    got = coded.collect()
+    assert [r.text for r in got] == [r[0] for r in rows]
+    for r in got:
+        assert r.ids == ",".join(map(str, coder.encode_ordinary(r.text or ""))) and bytes(r.decoded) == (r.text or "").encode()
+    assert bpe.decode(bpe.encode(edge, vocabulary), vocabulary).count() == len(edge_rows)
+
+
+def test_word_table_tells_words_apart():
+    words = [f"w{i}" for i in range(500)]
+    table = bpe.word_table(words[:300], [",".join(map(str, range(i % 4 + 1))) for i in range(300)])
+    found = bpe.found_words(table, words)
+    assert (found[:300] >= 0).all() and (found[300:] == -1).all()
+    assert bpe.gathered(table.lists, found[:8]).tolist() == [x for i in range(8) for x in range(i % 4 + 1)]
+    assert bpe.gathered(table.lists, found[:0]).tolist() == [] and bpe.found_words(bpe.word_table([], []), ["a"]).tolist() == [-1]
+
+
 @pytest.fixture(scope="module")
 def toxic_docs(spark):
     rng = random.Random(5)
