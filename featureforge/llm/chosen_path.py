@@ -5,14 +5,17 @@ graph. Nodes branch down independent trees: a tree node selects coordinates of
 a minwise signature, one and with probability 1/4 a second (1 / 0.8 in the
 mean, so that a pair at the threshold keeps one common branch in the mean), and
 passes each set on by its minwise token there. Tree nodes of at most ``LEAF``
-sets are compared exhaustively; larger ones branch on. Sets that still share a
-large node at the last level are first compared with the smallest of them; then
-all pairs of the node that are not in one component yet are compared on their
-full sets, in blocks of at most ``SIDE`` by ``SIDE`` sets.
+sets are compared exhaustively. In a larger one, first all sets are compared with
+``LEADERS`` of them, drawn anew for each tree node, and the links that this
+confirms are made components. Pairs inside a component need no more looks: a
+tree node of one component is done; one in which at most ``LEAF`` sets lie
+outside the largest component compares these with all others, in blocks; only
+what is still mixed branches on. What is mixed at the last level is compared on
+full sets across its components, in blocks of at most ``SIDE`` by ``SIDE`` sets.
 
 Elsewhere, pairs whose one-bit sketches differ too much or whose sizes rule the
 threshold out are dropped; the others are confirmed on the full sets: first the
-likeliest link of each set, then every pair that the first links have not joined.
+likeliest link of each set, then every pair that the links so far have not joined.
 
 A pair at the threshold survives ``STEP`` levels of one tree with probability
 0.64, nine levels with 0.37, twelve with 0.32; ``TREES`` trees miss it with 6e-7,
@@ -44,6 +47,8 @@ MOST_DIFFERENT = 30
 TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
 #: Sets on each side of a block in which a crowded node is compared exhaustively.
 SIDE = 256
+#: Members of a crowded node that all are compared with, and sets of a block in which sketches are compared.
+LEADERS, SKETCHES = 3, 2048
 PERCENT = 80
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Rows of a block in which minima are taken.
@@ -195,16 +200,9 @@ def crowded_links(large: DataFrame, joined: DataFrame, classes: DataFrame, docs:
     The members outside a tree node's largest component are dealt to blocks, and
     every block meets itself, the other ones, and the blocks of that component.
     """
-    found = joined.select("node", F.col("component").alias("known"))
-    large = large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component"))
-    shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
-    shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
-    shape = stage(shape.where(F.col("size") > F.col("most.n")).select(
-        "path", F.col("most.component").alias("main"),
-        F.ceil((F.col("size") - F.col("most.n")) / SIDE).cast("int").alias("others"), F.ceil(F.col("most.n") / SIDE).cast("int").alias("mains")), "shape")
-    if shape.isEmpty():
+    rows = mixed_nodes(large, joined).withColumn("others", F.ceil(F.col("others") / SIDE).cast("int")).withColumn("mains", F.ceil(F.col("mains") / SIDE).cast("int"))
+    if rows.isEmpty():
         return None
-    rows = stage(large.join(shape, "path"), "open")
     texts = texts_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs)
     salt, is_main = F.xxhash64("node", "path"), F.col("component") == F.col("main")
     member = F.when(is_main, F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
@@ -232,39 +230,121 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
 
 
-def candidate_pairs(classes: DataFrame, trees: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """``(a, b, far)``: pairs that met in a small tree node or with the leader of a large one and may reach the threshold.
+def sketch_pairs(rows: pa.Table, percent: int) -> pa.Table:
+    """Pairs (a, b, far) across components that may reach the threshold, between the other sets and all sets of one block.
 
-    Also ``(path, node)`` of the tree nodes that are still large at the last level, if any.
+    Rows are (path, block, other, node, component, n_shingles, s1, s2).
     """
+    nodes, part, size = (np.asarray(rows.column(c)) for c in ("node", "component", "n_shingles"))
+    bits = np.stack([np.asarray(rows.column(c)).view(np.uint64) for c in ("s1", "s2")], axis=1)
+    others = np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False))
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i in others:
+        far = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
+        fits = np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
+        at = np.flatnonzero((far <= MOST_DIFFERENT) & fits & (part != part[i]))
+        found.append((np.minimum(nodes[at], nodes[i]), np.maximum(nodes[at], nodes[i]), far[at]))
+    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
+    return pa.table(dict(zip("a b far".split(), map(pa.array, columns))))
+
+
+def leader_pairs(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, far)``: the sets of each tree node ``large(path, node)`` with its leaders."""
+    draws = [F.min(F.struct(F.xxhash64("node", "path", F.lit(i)).alias("h"), "node"))["node"] for i in range(LEADERS)]
+    leaders = large.groupBy("path").agg(F.array_distinct(F.array(*draws)).alias("leaders"))
+    pairs = large.join(leaders, "path").select("node", F.explode("leaders").alias("leader")).where(F.col("node") != F.col("leader"))
+    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
+    b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
+    found = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
+    return found.where(near(percent)).select("a", "b", different().alias("far"))
+
+
+def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
+    """``(path, node, component, main, others, mains)`` of the tree nodes with several components, where ``main`` is the largest; staged."""
+    found = joined.select("node", F.col("component").alias("known"))
+    large = large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component"))
+    shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
+    shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
+    shape = shape.where(F.col("size") > F.col("most.n")).select(
+        "path", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("others"), F.col("most.n").alias("mains"))
+    return stage(large.join(shape, "path"), "mixed")
+
+
+def few_pairs(few: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """``(a, b, far)`` across components in tree nodes with few sets outside the main one: these meet every block of the main one's sets."""
+    other = F.col("component") != F.col("main")
+    blocks = F.ceil(F.col("mains") / SKETCHES).cast("int")
+    block = F.when(other, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "path"), blocks).cast("int")))
+    dealt = few.select("path", "node", "component", other.alias("other"), F.explode(block).alias("block")).join(known, "node").select(
+        "path", "block", "other", "node", "component", "n_shingles", "s1", "s2")
+    return dealt.groupBy("path", "block").applyInArrow(lambda rows: sketch_pairs(rows, percent), "a long, b long, far long")
+
+
+def join_up(
+    pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None, classes: DataFrame, docs: DataFrame, size: int, percent: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Links and components with what the candidates ``pairs(a, b, far)`` add, confirmed as far as they may join components."""
+    def apart(some: DataFrame) -> DataFrame:
+        if joined is None:
+            return some
+        ca, cb = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        some = some.join(ca, "a", "left").join(cb, "b", "left")
+        return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+
+    pairs = stage(apart(pairs.groupBy("a", "b").agg(F.min("far").alias("far"))), "pairs")
+    # the likeliest link of each set; pairs that these join need no look of their own
+    ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
+    best = pairs.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
+    first = stage(best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct(), "first")
+    texts = texts_of(pairs, classes, docs)
+    found = confirmed(first, texts, size, percent)
+    links = found if links is None else links.unionByName(found)
+    joined = stage(components(links), "components")
+    rest = stage(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
+    if not rest.isEmpty():
+        links = links.unionByName(confirmed(rest, texts, size, percent))
+        joined = stage(components(links), "components")
+    return links, joined
+
+
+def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percent: int) -> DataFrame:
+    """``(node, component)`` of every node that has a link."""
     known = classes.select("node", "n_shingles", "s1", "s2")
-    found, still = [], None
+    found, still, links, joined = [], None, None, None
     rows = stage(classes.select("node", "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
     for level in range(STEP, DEPTH + 1, STEP):
-        sizes = stage(rows.groupBy("path").agg(F.count("*").alias("size"), F.min("node").alias("leader")).where(F.col("size") > 1), "sizes")
+        sizes = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
         small = rows.join(sizes.where(F.col("size") <= LEAF).select("path"), "path").join(known, "node")
         a = small.select("path", *[F.col(c).alias(f"{c}_a") for c in known.columns])
         b = small.select("path", *[F.col(c).alias(f"{c}_b") for c in known.columns])
-        found.append(a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent)))
-        crowded = sizes.where(F.col("size") > LEAF).select("path", "leader")
+        meet = a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent))
+        found.append(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far")))
+        crowded = sizes.where(F.col("size") > LEAF).select("path")
         if crowded.isEmpty():
             break
-        large = rows.join(crowded, "path")
+        large = stage(rows.join(crowded, "path").select("path", "node").distinct(), "large")
+        links, joined = join_up(leader_pairs(large, known, percent), links, joined, classes, docs, size, percent)
+        mixed = mixed_nodes(large, joined)
+        few = mixed.where(F.col("others") <= LEAF)
+        if not few.isEmpty():
+            found.append(stage(few_pairs(few, known, percent), "few"))
+        many = mixed.where(F.col("others") > LEAF).select("path", "node")
+        if many.isEmpty():
+            break
         if level + STEP > DEPTH:
-            still = stage(large.select("path", "node").distinct(), "still")
-            large = stage(large.where(F.col("node") != F.col("leader")).select("leader", "node").distinct(), "large")
-            a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
-            b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
-            stars = large.join(a, F.col("leader") == F.col("node_a")).join(b, F.col("node") == F.col("node_b"))
-            found.append(stars.where(near(percent)))
+            still = many
         else:
-            deeper = large.select("path", "node").join(classes.select("node", "signature"), "node").select("node", "signature", "path")
+            deeper = many.join(classes.select("node", "signature"), "node").select("node", "signature", "path")
             rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
-    out = None
-    for f in found:
-        part = f.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far"))
-        out = part if out is None else out.unionByName(part)
-    return stage(out.distinct(), "pairs"), still
+    pairs = found[0]
+    for f in found[1:]:
+        pairs = pairs.unionByName(f)
+    links, joined = join_up(pairs, links, joined, classes, docs, size, percent)
+    more = None if still is None else crowded_links(still, joined, classes, docs, size, percent)
+    if more is not None and not more.isEmpty():
+        joined = stage(components(links.unionByName(more)), "components")
+    return joined
 
 
 def different():
@@ -295,25 +375,7 @@ def near_duplicates(
     classes = features.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min(first).alias("f"), rest.alias("r"))
     classes = stage(classes.select("digest", F.monotonically_increasing_id().alias("node"), "f.id", "f.text_key", "r.*"), "classes")
 
-    pairs, still = candidate_pairs(classes, trees, percent)
-    # the likeliest link of each set; pairs that these join need no look of their own
-    ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
-    best = pairs.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
-    first_pairs = stage(best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct(), "first")
-    texts = texts_of(pairs, classes, source)
-    links = confirmed(first_pairs, texts, size, percent)
-    joined = stage(components(links), "components")
-    ca, cb = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = pairs.select("a", "b").join(first_pairs, ["a", "b"], "left_anti").join(ca, "a", "left").join(cb, "b", "left")
-    rest = stage(rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest, texts, size, percent)
-        links = links.unionByName(more)
-        joined = stage(components(links), "components")
-    more = None if still is None else crowded_links(still, joined, classes, source, size, percent)
-    if more is not None and not more.isEmpty():
-        joined = stage(components(links.unionByName(more)), "components")
-
+    joined = all_links(classes, source, trees, size, percent)
     member = classes.select("digest", "node", "id", "text_key").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     head = F.min(F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("text_key")))
     heads = member.groupBy("component").agg(head.alias("head"))
