@@ -4,14 +4,13 @@ Words are the matches of the tokenizer's pattern. A word starts as its bytes;
 a fold merges the neighbouring pair of the lowest rank, the leftmost of equal
 ones, until no pair has a rank. Ranks are a literal map in buckets.
 
-Documents are encoded in blocks of neighbouring rows. A block's distinct words
-are looked up in a bounded table of frequent words, which were folded once for
-all documents; its other words are folded once for the block, by the same
-expression, and put in place. Nothing is exchanged between blocks, and ids do
-not depend on the table: it only saves time. The table holds 128-bit hashes of
-words and their ids in flat arrays, some 30 bytes a word.
+The words that all documents have most often are folded once and become a table
+of bounded size that travels to the tasks: 128-bit hashes of words, and their ids
+as one run of bytes, some 40 bytes a word. A word that is not in it is folded
+where it stands, by the same expression, so that ids do not depend on the table:
+it only saves time. One Python worker a task looks words up; nothing is exchanged.
 
-Decoding looks the ids up in the list of binary pieces and joins these.
+Decoding takes the binary piece of every id from a literal list and joins these.
 
 Defined results: null text is empty and has no ids; repeated rows are returned
 each; an empty table gives an empty result; other columns are kept, but a column
@@ -42,8 +41,8 @@ PATTERN = (
 )
 #: Buckets of the literal rank map; a power of two.
 RANK_BUCKETS = 1 << 14
-#: Most words in the table of frequent words, most characters of one, and characters of text in a block.
-FREQUENT, LONGEST, BLOCK_CHARS = 1 << 19, 32, 16_000_000
+#: Most words in the table of frequent words, most characters of one, and characters of text whose words are looked up together.
+FREQUENT, LONGEST, BLOCK_CHARS = 1 << 19, 32, 1_000_000
 NO_RANK = 2**31 - 1
 
 
@@ -132,29 +131,6 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
     return stage(spread.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids")), "folded")
 
 
-class Ragged(NamedTuple):
-    """Lists of ids, one after the other."""
-
-    starts: np.ndarray
-    sizes: np.ndarray
-    ids: np.ndarray
-
-
-def ragged(texts: list[str]) -> Ragged:
-    """From ids as texts joined by commas; none is empty."""
-    ids = np.array(",".join(texts).split(","), np.int32) if texts else np.empty(0, np.int32)
-    sizes = np.array([t.count(",") + 1 for t in texts], np.int64)
-    return Ragged(np.cumsum(sizes) - sizes, sizes, ids)
-
-
-def gathered(lists: Ragged, which: np.ndarray) -> np.ndarray:
-    """The ids of the lists ``which``, one list after the other."""
-    sizes = lists.sizes[which]
-    ends = np.cumsum(sizes)
-    inside = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - sizes, sizes)
-    return lists.ids[np.repeat(lists.starts[which], sizes) + inside]
-
-
 def word_hashes(some: list[str]) -> np.ndarray:
     """Two 64-bit numbers for each word."""
     import xxhash
@@ -166,14 +142,19 @@ def word_hashes(some: list[str]) -> np.ndarray:
 class WordTable(NamedTuple):
     keys: np.ndarray  # sorted
     checks: np.ndarray
-    lists: Ragged
+    ends: np.ndarray  # of the words' ids in ``ids``
+    ids: bytes
+
+    def ids_of(self, i: int) -> str:
+        return self.ids[self.ends[i - 1] if i else 0:self.ends[i]].decode()
 
 
 def word_table(some: list[str], ids: list[str]) -> WordTable:
     hashes = word_hashes(some)
     _, order, counts = np.unique(hashes[:, 0], return_index=True, return_counts=True)
     order = order[counts == 1]
-    return WordTable(hashes[order, 0], hashes[order, 1], ragged([ids[i] for i in order]))
+    texts = [ids[i].encode() for i in order]
+    return WordTable(hashes[order, 0], hashes[order, 1], np.cumsum([len(t) for t in texts], dtype=np.int64), b"".join(texts))
 
 
 def found_words(table: WordTable, some: list[str]) -> np.ndarray:
@@ -185,56 +166,40 @@ def found_words(table: WordTable, some: list[str]) -> np.ndarray:
     return np.where((table.keys[at] == hashes[:, 0]) & (table.checks[at] == hashes[:, 1]), at, -1)
 
 
-def coded_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, codes, open): per word of a text its number in the table, or -1 - i for the open word i of the block, as 32-bit numbers.
-
-    The first row of a block has its distinct open words, the others null.
-    """
+def known_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, ready, open): ids of known words between the words that are not known, and those words."""
     import regex
 
     cut = regex.compile(PATTERN).findall
     for batch in batches:
-        start = 0
+        start, table = 0, shared.value
         while start < batch.num_rows:
-            numbers: dict[str, int] = {}
             rows, size, end = [], 0, start
             while end < batch.num_rows and size < block_chars:
                 text = batch.column(1)[end].as_py()
-                size += len(text)
-                rows.append(np.array([numbers.setdefault(w, len(numbers)) for w in cut(text)], np.int32))
-                end += 1
-            distinct = list(numbers)
-            codes = found_words(shared.value, distinct)
-            missing = np.flatnonzero(codes < 0)
-            codes[missing] = -1 - np.arange(len(missing))
-            codes = codes.astype(np.int32)
-            left = [[distinct[i] for i in missing]] + [None] * (end - start - 1)
+                rows.append(cut(text))
+                size, end = size + len(text), end + 1
+            distinct = list({w: None for row in rows for w in row})
+            ids = {w: table.ids_of(i) if i >= 0 else None for w, i in zip(distinct, found_words(table, distinct).tolist())}
+            ready, left = [], []
+            for row in rows:
+                runs, missing, run = [], [], []
+                for w in row:
+                    if (found := ids[w]) is None:
+                        runs.append(",".join(run))
+                        missing.append(w)
+                        run = []
+                    else:
+                        run.append(found)
+                runs.append(",".join(run))
+                ready.append(runs)
+                left.append(missing)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, end - start), pa.array([codes[r].tobytes() for r in rows], pa.binary()), pa.array(left, pa.list_(pa.string()))],
-                ["_row", "_codes", "_open"])
+                [batch.column(0).slice(start, end - start), pa.array(ready, pa.list_(pa.string())), pa.array(left, pa.list_(pa.string()))],
+                ["_row", "_ready", "_open"])
             start = end
 
 
-def joined_rows(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(row, codes, folded), in the order of ``coded_rows``, to (row, ids)."""
-    own = ragged([])
-    for batch in batches:
-        table, out = shared.value.lists, []
-        for i in range(batch.num_rows):
-            folded = batch.column(2)[i]
-            if folded.is_valid:
-                own = ragged(folded.as_py())
-            codes = np.frombuffer(batch.column(1)[i].as_py(), np.int32)
-            known = codes >= 0
-            sizes = np.empty(len(codes), np.int64)
-            sizes[known], sizes[~known] = table.sizes[codes[known]], own.sizes[-1 - codes[~known]]
-            ids = np.empty(sizes.sum(), np.int32)
-            of_table = np.repeat(known, sizes)
-            ids[of_table], ids[~of_table] = gathered(table, codes[known]), gathered(own, -1 - codes[~known])
-            out.append(",".join(map(str, ids.tolist())))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["_row", "_ids"])
-
-
 def others(docs: DataFrame, name: str) -> list[Column]:
     """The columns of ``_row`` but one of this name."""
     return [F.col("_row").getField(c).alias(c) for c in docs.columns if c != name]
@@ -246,30 +211,22 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
     table = word_table(table.column("word").to_pylist(), table.column("ids").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(table)
     rows = docs.select(F.struct("*").alias("_row"), whole_text(F.col(text_col)).alias("_text"))
-    row = rows.schema.fields[0]
-    rows = rows.mapInArrow(lambda it: coded_rows(it, shared, block_chars), T.StructType(
-        [row, T.StructField("_codes", T.BinaryType()), T.StructField("_open", T.ArrayType(T.StringType()))]))
-    # once for each block; no exchange, so that rows stay in order
-    rows = rows.select("_row", "_codes", let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks))).alias("_folded"))
-    rows = rows.mapInArrow(lambda it: joined_rows(it, shared), T.StructType([row, T.StructField("_ids", T.StringType())]))
-    return rows.select(*others(docs, ids_col), F.col("_ids").alias(ids_col))
-
-
-def decoded_rows(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
-    """(row, ids) to (row, bytes)."""
-    for batch in batches:
-        table = pieces.value
-        out = [b"".join([table[i] for i in ids.as_py().split(",")]) if ids.as_py() else b"" for ids in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["_row", "_decoded"])
+    strings = T.ArrayType(T.StringType())
+    out = T.StructType([rows.schema.fields[0], T.StructField("_ready", strings), T.StructField("_open", strings)])
+    rows = rows.mapInArrow(lambda it: known_rows(it, shared, block_chars), out)
+    folded = let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks)))
+    pairs = F.flatten(F.transform(F.arrays_zip(F.col("_ready").alias("r"), folded.alias("o")), lambda x: F.array(x["r"], x["o"])))
+    ids = F.array_join(F.filter(pairs, lambda x: x != ""), ",")
+    return rows.select(*others(docs, ids_col), ids.alias(ids_col))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """The documents with the bytes that their ids stand for."""
-    pieces = docs.sparkSession.sparkContext.broadcast({str(rank): piece for piece, rank in load_ranks(path).items()})
-    rows = docs.select(F.struct("*").alias("_row"), F.col(ids_col).alias("_ids"))
-    out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
-    found = rows.mapInArrow(lambda it: decoded_rows(it, pieces), out)
-    return found.select(*others(docs, out_col), F.col("_decoded").alias(out_col))
+    by_rank = {rank: piece.hex() for piece, rank in load_ranks(path).items()}
+    pieces = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
+    rows = docs.select(F.struct("*").alias("_row"), F.split(F.col(ids_col), ",").alias("_ids"))
+    hexed = let(pieces, lambda table: F.array_join(F.transform("_ids", lambda i: F.get(table, i.try_cast("int"))), ""))
+    return rows.select(*others(docs, out_col), F.unhex(hexed).alias(out_col))
 
 
 def token_count(ids: Column) -> Column:

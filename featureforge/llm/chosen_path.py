@@ -49,6 +49,8 @@ TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
 SIDE = 256
 #: Members of a crowded node that all are compared with, and sets of a block in which sketches are compared.
 LEADERS, SKETCHES = 3, 2048
+#: Times that the likeliest pair of each two components is confirmed before all other pairs are.
+ROUNDS = 0
 PERCENT = 80
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Rows of a block in which minima are taken.
@@ -148,17 +150,31 @@ def path_rows(batches: Iterator[pa.RecordBatch], trees: int, levels: int) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
 
 
+#: Shingles of sets that a task keeps while it confirms pairs.
+HELD = 4_000_000
+
+
 def confirm_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) -> Iterator[pa.RecordBatch]:
     """(a, b, text_a, text_b) to the pairs (a, b) that reach the threshold on their full sets."""
+    known: dict[int, np.ndarray] = {}
+    held = 0
+
+    def set_of(node: int, text: str) -> np.ndarray:
+        nonlocal held
+        if node not in known:
+            if held > HELD:
+                known.clear()
+                held = 0
+            known[node] = shingles(text, size)
+            held += len(known[node])
+        return known[node]
+
     for batch in batches:
         keep = []
-        known: dict[int, np.ndarray] = {}
-        for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if a not in known:
-                known = {a: shingles(x, size)}
-            other = shingles(y, size)
-            common = len(np.intersect1d(known[a], other, assume_unique=True))
-            keep.append(100 * common >= percent * (len(known[a]) + len(other) - common))
+        for a, b, x, y in zip(*(batch.column(i) for i in range(4))):
+            one, other = set_of(a.as_py(), x.as_py()), set_of(b.as_py(), y.as_py())
+            common = len(np.intersect1d(one, other, assume_unique=True))
+            keep.append(100 * common >= percent * (len(one) + len(other) - common))
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -230,8 +246,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
 
 
-def sketch_pairs(rows: pa.Table, percent: int) -> pa.Table:
-    """Pairs (a, b, far) across components that may reach the threshold, between the other sets and all sets of one block.
+def sketch_pairs(rows: pa.Table, percent: int, best: bool) -> pa.Table:
+    """Pairs (a, b, far) across components that may reach the threshold, between the other sets and all sets of one block; with ``best`` the likeliest of each set and component.
 
     Rows are (path, block, other, node, component, n_shingles, s1, s2).
     """
@@ -243,6 +259,9 @@ def sketch_pairs(rows: pa.Table, percent: int) -> pa.Table:
         far = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
         fits = np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
         at = np.flatnonzero((far <= MOST_DIFFERENT) & fits & (part != part[i]))
+        if best:
+            at = at[np.argsort(far[at], kind="stable")]
+            at = at[np.unique(part[at], return_index=True)[1]]
         found.append((np.minimum(nodes[at], nodes[i]), np.maximum(nodes[at], nodes[i]), far[at]))
     columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
     return pa.table(dict(zip("a b far".split(), map(pa.array, columns))))
@@ -271,40 +290,54 @@ def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
     return stage(large.join(shape, "path"), "mixed")
 
 
-def few_pairs(few: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def few_pairs(few: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
     """``(a, b, far)`` across components in tree nodes with few sets outside the main one: these meet every block of the main one's sets."""
     other = F.col("component") != F.col("main")
     blocks = F.ceil(F.col("mains") / SKETCHES).cast("int")
     block = F.when(other, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "path"), blocks).cast("int")))
     dealt = few.select("path", "node", "component", other.alias("other"), F.explode(block).alias("block")).join(known, "node").select(
         "path", "block", "other", "node", "component", "n_shingles", "s1", "s2")
-    return dealt.groupBy("path", "block").applyInArrow(lambda rows: sketch_pairs(rows, percent), "a long, b long, far long")
+    return dealt.groupBy("path", "block").applyInArrow(lambda rows: sketch_pairs(rows, percent, best), "a long, b long, far long")
 
 
 def join_up(
     pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None, classes: DataFrame, docs: DataFrame, size: int, percent: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Links and components with what the candidates ``pairs(a, b, far)`` add, confirmed as far as they may join components."""
+    """Links and components with what the candidates ``pairs(a, b, far)`` add, confirmed as far as they may join components.
+
+    First the likeliest pair of each set, then ``ROUNDS`` times that of each two components (more rounds
+    confirm fewer pairs and compute components more often), then all that are still apart.
+    """
     def apart(some: DataFrame) -> DataFrame:
+        ca, cb = F.col("a").alias("ca"), F.col("b").alias("cb")
         if joined is None:
-            return some
-        ca, cb = joined.select(F.col("node").alias("a"), F.col("component").alias("ca")), joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        some = some.join(ca, "a", "left").join(cb, "b", "left")
-        return some.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-    pairs = stage(apart(pairs.groupBy("a", "b").agg(F.min("far").alias("far"))), "pairs")
-    # the likeliest link of each set; pairs that these join need no look of their own
-    ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
-    best = pairs.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
-    first = stage(best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct(), "first")
-    texts = texts_of(pairs, classes, docs)
-    found = confirmed(first, texts, size, percent)
-    links = found if links is None else links.unionByName(found)
-    joined = stage(components(links), "components")
-    rest = stage(apart(pairs.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(rest, texts, size, percent))
-        joined = stage(components(links), "components")
+            return some.select("a", "b", "far", ca, cb)
+        left = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        right = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        some = some.select("a", "b", "far").join(left, "a", "left").join(right, "b", "left")
+        some = some.select("a", "b", "far", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
+        return some.where(F.col("ca") != F.col("cb"))
+
+    open_ = stage(apart(pairs.groupBy("a", "b").agg(F.min("far").alias("far"))), "pairs")
+    texts = texts_of(open_, classes, docs)
+    for i in range(ROUNDS + 2):
+        if i == 0:
+            ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
+            best = open_.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
+            tried = best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct()
+        elif i <= ROUNDS:
+            best = open_.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("far", "a", "b")).alias("m"))
+            tried = best.select("m.a", "m.b")
+        else:
+            tried = open_.select("a", "b")
+        tried = stage(tried, "tried")
+        found = confirmed(tried, texts, size, percent)
+        if joined is None or not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            joined = stage(components(links), "components")
+        open_ = stage(apart(open_.join(tried, ["a", "b"], "left_anti")), "open")
+        if open_.isEmpty():
+            break
     return links, joined
 
 
@@ -324,11 +357,15 @@ def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percen
         if crowded.isEmpty():
             break
         large = stage(rows.join(crowded, "path").select("path", "node").distinct(), "large")
-        links, joined = join_up(leader_pairs(large, known, percent), links, joined, classes, docs, size, percent)
+        if level == STEP:
+            links, joined = join_up(leader_pairs(large, known, percent), links, joined, classes, docs, size, percent)
         mixed = mixed_nodes(large, joined)
         few = mixed.where(F.col("others") <= LEAF)
         if not few.isEmpty():
-            found.append(stage(few_pairs(few, known, percent), "few"))
+            if level == STEP:
+                links, joined = join_up(few_pairs(few, known, percent, True), links, joined, classes, docs, size, percent)
+                few = mixed_nodes(few.select("path", "node"), joined)
+            found.append(few_pairs(few, known, percent, False))
         many = mixed.where(F.col("others") > LEAF).select("path", "node")
         if many.isEmpty():
             break
