@@ -8,9 +8,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from featureforge.operators.metrics import metrics_from_sums, regression_metrics
+from featureforge.operators.metrics import metrics_from_sums
 from featureforge.operators.moments import (
     Design, design_columns, fold_centres, fold_moments, gram_partials, make_design, prepare, sum_vectors,
 )
@@ -43,6 +44,9 @@ class TrainView:
     mean_y: float
     divisor: np.ndarray
     raw_center: np.ndarray
+    lift: np.ndarray
+    center: np.ndarray
+    scale: np.ndarray
 
 
 def train_view(design: Design, row, features: Sequence[int], scaler: str) -> TrainView:
@@ -84,13 +88,21 @@ def train_view(design: Design, row, features: Sequence[int], scaler: str) -> Tra
     divisor = np.where(divisor > 0, divisor, 1.0)
     xx, xy = cov[:-1, :-1] / np.outer(divisor, divisor), cov[:-1, -1] / divisor
     raw_center = center + scale * mean[:-1]
-    return TrainView(n, xx, xy, cov[-1, -1], design.y_center + mean[-1], divisor * scale, raw_center)
+    return TrainView(n, xx, xy, cov[-1, -1], design.y_center + mean[-1], divisor * scale, raw_center, lift, center, scale)
+
+
+def held_out_error(design: Design, row, view: TrainView, beta: np.ndarray, intercept: float) -> float:
+    """Sum of squared errors on the held-out rows, a quadratic form of their moments."""
+    d = design.width
+    held = view.lift.T @ np.asarray(row["held"]).reshape(d, d) @ view.lift
+    w = np.concatenate([[design.y_center - intercept - beta @ view.center], -beta * view.scale, [1.0]])
+    return max(float(w @ held @ w), 0.0)
 
 
 def _solve(design: Design, row, config: Config) -> dict:
     out = {
         "config_id": config.config_id, "fold": row["fold"], "train_rows": None, "intercept": None,
-        "coef": None, "error": None,
+        "coef": None, "sq_sum": None, "error": None,
     }
     try:
         view = train_view(design, row, config.features, config.scaler)
@@ -99,16 +111,17 @@ def _solve(design: Design, row, config: Config) -> dict:
         beta = (basis @ small) / view.divisor
         coef = np.zeros(len(design.features))
         coef[list(config.features)] = beta
+        intercept = float(view.mean_y - beta @ view.raw_center)
         out |= {
-            "train_rows": int(round(view.n)), "coef": coef.tolist(),
-            "intercept": float(view.mean_y - beta @ view.raw_center),
+            "train_rows": int(round(view.n)), "coef": coef.tolist(), "intercept": intercept,
+            "sq_sum": held_out_error(design, row, view, beta, intercept),
         }
     except Exception as error:  # a failed configuration is a result row, as every other
         out["error"] = f"{type(error).__name__}: {error}"
     return out
 
 
-SOLUTION = "config_id string, fold string, train_rows bigint, intercept double, coef array<double>, error string"
+SOLUTION = "config_id string, fold string, train_rows bigint, intercept double, coef array<double>, sq_sum double, error string"
 
 
 def solve_grid(
@@ -159,8 +172,62 @@ def predict(inputs: DataFrame, solutions: DataFrame) -> DataFrame:
     return inputs.join(fitted, "fold").withColumn("yhat", dot).drop("x", "coef", "intercept")
 
 
-# Coefficients that may travel with the tasks (doubles); more are joined to the rows instead.
-MAX_CARRIED_COEFS = 16_000_000
+#: Configurations whose coefficients travel together, and rows that meet them at once.
+CHUNK, BLOCK = 1024, 4096
+#: Sums that a task holds before it hands them on.
+MAX_OPEN_SUMS = 64
+
+
+def row_blocks(inputs: DataFrame, y: str, unit: str | None) -> DataFrame:
+    """``(fold, x, y, unit)``: up to ``BLOCK`` rows of one fold as arrays of doubles, row after row."""
+    numbers = "array<double>"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            for fold in batch.column(0).unique():
+                own = table.filter(pc.equal(table.column(0), fold)).combine_chunks()
+                for start in range(0, own.num_rows, BLOCK):
+                    part = own.slice(start, BLOCK)
+                    lists = [pc.list_flatten(part.column(1)).to_numpy()] + [c.to_numpy() for c in part.columns[2:]]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([fold.as_py()]), *[pa.array([v], pa.list_(pa.float64())) for v in lists]], batch.schema.names)
+
+    columns = [F.col("fold"), F.col("x"), F.col(y).alias("y")] + ([F.col(unit).alias("unit")] if unit else [])
+    return inputs.select(*columns).mapInArrow(pack, f"fold string, x {numbers}, y {numbers}" + (f", unit {numbers}" if unit else ""))
+
+
+def error_sums(pairs: DataFrame, squares: bool) -> DataFrame:
+    """``(fold, chunk, v)``: absolute errors of every configuration of a chunk (then squared ones), summed per task.
+
+    Rows are ``(fold, chunk, x, y, coef, intercept[, unit])``, a block of rows with a chunk of configurations.
+    """
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], np.ndarray] = {}
+
+        def flushed() -> pa.RecordBatch:
+            folds, chunks = zip(*sums)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(folds, pa.string()), pa.array(chunks, pa.int64()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["fold", "chunk", "v"])
+            sums.clear()
+            return out
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                fold, chunk = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                x, y, coef, intercept, *unit = (c[i].values.to_numpy() for c in batch.columns[2:])
+                yhat = x.reshape(len(y), -1) @ coef.reshape(len(intercept), -1).T + intercept
+                gap = y[:, None] - (yhat * unit[0][:, None] if unit else yhat)
+                found = np.abs(gap).sum(axis=0)
+                if squares:
+                    found = np.concatenate([found, (gap * gap).sum(axis=0)])
+                sums[fold, chunk] = sums[fold, chunk] + found if (fold, chunk) in sums else found
+            if len(sums) > MAX_OPEN_SUMS:
+                yield flushed()
+        if sums:
+            yield flushed()
+
+    return sum_vectors(pairs.mapInArrow(errors, "fold string, chunk long, v array<double>"), ["fold", "chunk"])
 
 
 @dataclass(frozen=True)
@@ -169,64 +236,32 @@ class FittedGrid:
 
     inputs: DataFrame
     solutions: DataFrame
-    width: int
-    size: int
+    configs: int
 
     def out_of_fold(self) -> DataFrame:
         return predict(self.inputs, self.solutions)
 
+    def coefficients(self) -> DataFrame:
+        """``(fold, chunk, fitted)``: the solutions of some ``CHUNK`` configurations of a fold, by their ids; staged."""
+        chunk = F.pmod(F.xxhash64("config_id"), F.lit(-(-self.configs // CHUNK)).cast("long"))
+        own = F.array_sort(F.collect_list(F.struct("config_id", "intercept", "coef", "sq_sum")))
+        return stage(self.solutions.filter("error is null").groupBy("fold", chunk.alias("chunk")).agg(own.alias("fitted")), "coefs")
+
     def fold_metrics(self, y: str = "y", denominator: str | None = None) -> DataFrame:
         """Metrics per configuration and fold, without a row per held-out row and configuration.
 
-        Every task multiplies its rows with all coefficients and hands on error
-        sums only. Coefficients too many for that are joined to the rows.
-        ``denominator`` turns predictions of a ratio into units of ``y``.
+        Squared errors are known from the moments. Absolute errors take one pass:
+        blocks of rows meet the chunks of coefficients of their fold, and tasks hand
+        on sums only. ``denominator`` turns predictions of a ratio into units of
+        ``y``; then squared errors take the same pass.
         """
-        if self.size * (self.width + 1) > MAX_CARRIED_COEFS:
-            oof = self.out_of_fold()
-            if denominator:
-                oof = oof.withColumn("yhat", F.col("yhat") * F.col(denominator))
-            return regression_metrics(oof, ["config_id", "fold"], y)
-        per_fold: dict[str, list] = {}
-        for r in self.solutions.filter("error is null").orderBy("fold", "config_id").collect():
-            per_fold.setdefault(r.fold, []).append(r)
-        weights = {
-            f: (np.array([r.coef for r in rows]).T, np.array([r.intercept for r in rows]))
-            for f, rows in per_fold.items()
-        }
-        p = self.width
-        columns = ["fold", y, "x"] + ([denominator] if denominator else [])
-
-        def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums: dict[str, np.ndarray] = {}
-            for batch in batches:
-                own = batch.column(0).to_numpy(zero_copy_only=False)
-                target = batch.column(1).to_numpy(zero_copy_only=False)
-                x = batch.column(2).flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
-                unit = batch.column(3).to_numpy(zero_copy_only=False)[:, None] if denominator else 1.0
-                for f in set(own) & set(weights):
-                    rows = own == f
-                    w, b = weights[f]
-                    part = unit[rows] if denominator else unit
-                    gap = target[rows][:, None] - (x[rows] @ w + b) * part
-                    found = np.concatenate([np.abs(gap).sum(axis=0), (gap * gap).sum(axis=0)])
-                    sums[f] = sums[f] + found if f in sums else found
-            if sums:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.float64()))],
-                    ["fold", "v"],
-                )
-
-        totals = sum_vectors(self.inputs.select(*columns).mapInArrow(errors, "fold string, v array<double>"), ["fold"])
-        names = self.solutions.filter("error is null").groupBy("fold").agg(
-            F.array_sort(F.collect_set("config_id")).alias("ids")
-        )
-        long = totals.join(names, "fold").select(
-            "fold", F.posexplode("ids").alias("k", "config_id"), F.size("ids").alias("c"), "v"
-        )
-        summed = long.select(
-            "config_id", "fold", F.get("v", F.col("k")).alias("abs_sum"), F.get("v", F.col("k") + F.col("c")).alias("sq_sum")
-        )
+        table = self.coefficients()
+        pairs = row_blocks(self.inputs, y, denominator).join(
+            table.select("fold", "chunk", F.flatten("fitted.coef").alias("coef"), F.col("fitted.intercept").alias("intercept")), "fold")
+        sums = error_sums(pairs.select("fold", "chunk", "x", "y", "coef", "intercept", *(["unit"] if denominator else [])), bool(denominator))
+        long = table.join(sums, ["fold", "chunk"]).select("fold", F.posexplode("fitted").alias("k", "own"), F.size("fitted").alias("c"), "v")
+        squared = F.get("v", F.col("k") + F.col("c")) if denominator else F.col("own.sq_sum")
+        summed = long.select(F.col("own.config_id").alias("config_id"), "fold", F.get("v", F.col("k")).alias("abs_sum"), squared.alias("sq_sum"))
         return metrics_from_sums(summed, self.inputs, y)
 
 
@@ -240,7 +275,7 @@ def fit_grid(
     robust = any(c.scaler == "robust" for c in configs) and not log
     centres = fold_centres(prepared, design, robust)
     solutions = stage(solve_grid(fold_moments(prepared, design), centres, design, configs), "solutions")
-    return FittedGrid(model_inputs(prepared, centres, design), solutions, len(features), len(configs) * centres.count())
+    return FittedGrid(model_inputs(prepared, centres, design), solutions, len(configs))
 
 
 def fit_predict(

@@ -44,6 +44,7 @@ def _reducer(reduction: str, p: int, n: int) -> list:
         ).setFeatureType("continuous").setLabelType("continuous").setSelectionThreshold(k)]
     if reduction.startswith("pca_"):
         m = capped(int(reduction.removeprefix("pca_")), p, n)
+        # sample deviations here, population ones elsewhere: a common factor, which moves no axis and no split
         return [
             StandardScaler(inputCol="vector", outputCol="scaled", withMean=True, withStd=True),
             PCA(inputCol="scaled", outputCol="inputs", k=m),

@@ -89,8 +89,15 @@ def with_folds(df: DataFrame, grid: Grid, evaluation: str) -> DataFrame:
     raise ValueError(f"Unknown evaluation: {evaluation}")
 
 
-def _configs(grid: Grid, sets: Mapping[str, Sequence[str]]):
-    """``(attributes, model, features)`` of every combination; PLS is not stacked on a reduction."""
+TREES = ("forest", "boosting")
+
+
+def _configs(grid: Grid, sets: Mapping[str, Sequence[str]], log: bool):
+    """``(attributes, model, features)`` of every combination; PLS is not stacked on a reduction.
+
+    Scaling and logarithms keep the order of a feature, and so the splits of a tree: trees are
+    listed once, as unscaled, or standardised before principal axes, with the first log flag.
+    """
     for set_name, features in sets.items():
         for scaler in grid.scalers:
             for reduction in grid.reductions:
@@ -99,7 +106,12 @@ def _configs(grid: Grid, sets: Mapping[str, Sequence[str]]):
                         continue
                     if not features:
                         continue
-                    yield (set_name, scaler, reduction, model.name, len(features)), model, features
+                    label = scaler
+                    if model.kind in TREES:
+                        if scaler != grid.scalers[0] or log != grid.logs[0]:
+                            continue
+                        label = "standard" if reduction.startswith("pca_") else "none"
+                    yield (set_name, label, reduction, model.name, len(features)), model, features
 
 
 ATTRIBUTES = "config_id string, feature_set string, scaler string, reduction string, model string, features int"
@@ -160,7 +172,7 @@ def fit(df: DataFrame, grid: Grid, target: Target, evaluation: str, log: bool) -
     )
 
     attributes, linear, others = [], [], []
-    for (set_name, scaler, reduction, name, p), model, features in _configs(grid, sets):
+    for (set_name, scaler, reduction, name, p), model, features in _configs(grid, sets, log):
         config_id = f"{set_name}|{scaler}|{reduction}|{name}"
         attributes.append((config_id, set_name, scaler, reduction, name, p))
         if model.kind in LINEAR_KINDS:

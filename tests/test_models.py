@@ -90,6 +90,34 @@ def test_linear_models(spark, log):
     )
 
 
+def test_errors_of_ratios_and_chunks(spark, monkeypatch):
+    """Coefficients in several chunks, folds as one task's blocks, and a ratio scored in units of its numerator."""
+    monkeypatch.setattr(linear, "CHUNK", 3)
+    pdf = table()
+    pdf["unit"] = np.linspace(0.5, 3, len(pdf))
+    pdf["y_original"] = pdf.y * pdf.unit
+    configs = [linear.Config(f"r{a}", (0, 1, 2), "ridge", {"alpha": float(a)}, s) for a in range(1, 8) for s in ("standard",)]
+    fitted = linear.fit_grid(spark.createDataFrame(pdf).repartition(3), NAMES, "y", "fold", configs, extra=["unit", "y_original"])
+    assert fitted.coefficients().count() > 4  # more than one chunk for each fold
+    key = ["config_id", "fold"]
+    oof = fitted.out_of_fold()
+    for y, unit in (("y", None), ("y_original", "unit")):
+        by_rows = regression_metrics(oof.withColumn("yhat", F.col("yhat") * F.col(unit)) if unit else oof, key, y).toPandas()
+        got = fitted.fold_metrics(y, unit).toPandas()
+        assert len(got) == 7 * pdf.fold.nunique()
+        pd.testing.assert_frame_equal(by_rows.sort_values(key).reset_index(drop=True), got.sort_values(key).reset_index(drop=True)[by_rows.columns])
+
+
+def test_trees_appear_once_for_equal_preparations(spark):
+    pdf = table()
+    pdf["id"] = range(len(pdf))
+    models = [Model("b", "boosting", {"stages": 2}), Model("r", "ridge", {"alpha": 1.0})]
+    grid = Grid([Target("y")], {"s": NAMES[:2]}, models, "id", scalers=("standard", "robust"), reductions=("none", "pca_1"), logs=(False,), evaluations=("kfold",))
+    rows = [(r.model, r.scaler, r.reduction) for r in run_grid(spark.createDataFrame(pdf), grid).collect()]
+    assert sorted(r for r in rows if r[0] == "b") == [("b", "none", "none"), ("b", "standard", "pca_1")]
+    assert len(rows) == len(set(rows)) == 6
+
+
 def test_more_features_than_rows(spark):
     rng = np.random.default_rng(4)
     pdf = pd.DataFrame(rng.normal(size=(9, 12)), columns=[f"f{i}" for i in range(12)])
