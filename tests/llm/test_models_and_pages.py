@@ -112,27 +112,24 @@ def test_character_models_sum_to_one(spark):
     counts = spark.createDataFrame([("en", g, n) for g, n in grams.items()], "lang string, gram string, n long")
     assert df.count() and pad
     letters = sorted({c for g in grams for c in g})
-    for context in ("  ab", "   b", " xab", "zzzz"):
+    for context in (c[1 - perplexity.ORDER:] for c in ("  ab", "   b", " xab", "zzzz")):
         asked = spark.createDataFrame([("en", context + c) for c in [*letters, "\u2603"]], "lang string, gram string")
         got = {r.gram: r.p for r in perplexity.likelihoods(counts, asked).collect()}
         unseen = got.pop(context + "\u2603")
         assert sum(got.values()) + (65_536 - len(letters)) * unseen == pytest.approx(1.0)
-    asked = spark.createDataFrame([("en", "  abc"), ("en", "  abz"), ("fr", "  abc")], "lang string, gram string")
+    seen, unseen = (g[-perplexity.ORDER:] for g in ("  abc", "  abz"))
+    asked = spark.createDataFrame([("en", seen), ("en", unseen), ("fr", seen)], "lang string, gram string")
     got = {(r.lang, r.gram): r.p for r in perplexity.likelihoods(counts, asked).collect()}
-    assert got["en", "  abc"] > 100 * got["en", "  abz"] and got["fr", "  abc"] == pytest.approx(perplexity.UNIFORM)
+    assert got["en", seen] > 100 * got["en", unseen] and got["fr", seen] == pytest.approx(perplexity.UNIFORM)
 
 
 def brute_perplexity(trusted, texts):
     """Modified Kneser-Ney by dictionaries."""
     order = perplexity.ORDER
     tables = {order: Counter()}
-    seen = Counter()
     for t in trusted:
-        for w in set(t.split()):
-            seen[w] += 1
-    for w, n in seen.items():
-        for g in perplexity.grams_of(w):
-            tables[order][g] += n
+        if t.split():
+            tables[order].update(perplexity.grams_of(" ".join(t.split())))
     for o in range(order - 1, 0, -1):
         tables[o] = Counter(g[-o:] for g in tables[o + 1])
     rules = {}
@@ -159,7 +156,7 @@ def brute_perplexity(trusted, texts):
 
     out = []
     for t in texts:
-        grams = [g for w in (t or "").split() for g in perplexity.grams_of(w)]
+        grams = perplexity.grams_of(" ".join(t.split())) if (t or "").split() else []
         out.append(math.exp(-sum(math.log(p(g)) for g in grams) / len(grams)) if grams else None)
     return out
 
@@ -180,6 +177,41 @@ def test_perplexity(spark, edge, edge_rows, empty):
     assert perplexity.score_perplexity(empty, trusted).count() == 0
 
 
+def test_order_and_repeats_count(spark):
+    """A shuffled and a stuttering copy of a text that the model has not seen are less likely than the text."""
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):
+        words = ["the", "old", "house", "by", "the", "green", "river", "was", "sold", "to", "a", "young", "family", "from", "town."]
+        rows.append((i, " ".join(w for w in words * 4 if rng.random() < 0.9), "en"))
+    for i in range(200, 240):
+        words = rows[i][1].split()
+        rows.append((i + 1000, " ".join(rng.sample(words, len(words))), "en"))
+        rows.append((i + 2000, " ".join(w for w in words[::4] for _ in range(4)), "en"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in perplexity.score_perplexity(docs, spark.range(200).withColumnRenamed("id", "doc_id")).collect()}
+    for i in range(200, 240):
+        assert got[i].perplexity < got[i + 1000].perplexity and got[i].perplexity < got[i + 2000].perplexity
+        assert not got[i + 1000].kept and not got[i + 2000].kept
+    assert sum(got[i].kept for i in range(200, 240)) >= 36
+
+
+def test_text_grams_of_wide_alphabets():
+    """More characters than five digits of a key can hold, and characters beyond the first plane."""
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 9_000)))
+    texts = [wide, "a\x00b \U0001f600\U0001f600 a\x00b", "a", wide[100:4_000], wide[5:50] * 3]
+    grams = perplexity.TextGrams(texts)
+    keys, counts = grams.counted(int(grams.sizes[:2].sum()))
+    want = Counter(g for t in texts for g in perplexity.grams_of(t))
+    first = Counter(g for t in texts[:2] for g in perplexity.grams_of(t))
+    found = grams.strings(keys).to_pylist()
+    assert set(found) == set(want) and len(found) == len(want)
+    assert dict(zip(found, counts.tolist())) == {g: first[g] for g in want}
+    value = {g: float(i % 17) for i, g in enumerate(found)}
+    sums = grams.sums(keys, np.array([value[g] for g in found]))
+    assert sums.tolist() == [sum(value[g] for g in perplexity.grams_of(t)) for t in texts]
+
+
 def test_every_trusted_document_counts(spark, monkeypatch):
     """More trusted documents than any bound: all are marked, counted and in the thresholds."""
     monkeypatch.setattr(perplexity, "TRAINING_ROWS", 40, raising=False)
