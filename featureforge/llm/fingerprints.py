@@ -1,8 +1,9 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs: at line ends, and in long lines at about every
-third sentence end (those after a letter from a to h), so that cuts depend on
-nearby text alone. A sketch has ``3 * TABLE`` cells; each paragraph digest is
+A text is cut into paragraphs of ``LEAST`` to ``MOST`` characters: at line ends,
+sentence ends, and ends of words with certain last letters, whichever comes
+first, else after ``MOST`` characters. Cuts depend on nearby text alone. The first
+paragraph is a short one, so that texts of a few words have several digests too. A sketch has ``3 * TABLE`` cells; each paragraph digest is
 added to one cell of each third: a signed count, the XOR of the digests and the
 XOR of their check codes. Sketches of two versions subtract cell by cell; cells
 that hold one digest are peeled off until none is left, which recovers the
@@ -31,7 +32,16 @@ TABLE, TABLES = 8, 3
 #: Digests per sketch that a retry aims at.
 LOAD = 10
 ROUNDS, RETRIES = 10, 14
-CUT = r"\n+|(?<=[a-h][.!?])\x20"
+#: Characters of a paragraph, and of the first one.
+LEAST, MOST = 200, 800
+FIRST_LEAST, FIRST_MOST = 12, 40
+BLANK = r"[\x20\x09-\x0D]"
+#: Last letters of words at whose ends a paragraph may end.
+LAST = "dehnyDEHNY05" + "\u00e9\u00fc\u0430\u0435\u0438\u0439\u03b1\u03c2\u0646\u0647\u05d4\u05dd"
+END = rf"(?:(?<=[.!?\u2026\u3002\uff01\uff1f\n])|(?<=[{LAST}])(?={BLANK})|(?!.))"
+PARAGRAPH = (
+    rf"(?s)\A{BLANK}*+(?:.{{{FIRST_LEAST},{FIRST_MOST}}}?{END}|.{{1,{FIRST_MOST}}})|"
+    rf".{{{LEAST},{MOST}}}?{END}|.{{1,{MOST}}}")
 
 
 def let(value: Column, body) -> Column:
@@ -41,8 +51,8 @@ def let(value: Column, body) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of the paragraphs, in order."""
-    parts = F.filter(F.split(text, CUT), lambda p: F.trim(p) != "")
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda p: F.xxhash64(F.trim(p)))))
+    parts = F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda p: F.btrim(p, F.lit(" \t\n\v\f\r")))
+    return F.sort_array(F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p))))
 
 
 def place(digest: Column, level: Column, table: int) -> Column:
@@ -143,13 +153,14 @@ def likeness(a: Column, b: Column, sketch_a: Column, sketch_b: Column) -> Column
     """Shared paragraphs over all, of two ordered digest sets with their fingerprints."""
     total = F.size(a) + F.size(b)
     apart = F.size(differing(a, b, subtracted(sketch_a, sketch_b)))
-    return F.when(total == 0, F.lit(1.0)).otherwise((total - apart) / (total + apart))
+    return F.when(total == 0, F.lit(1.0)).otherwise(let(apart, lambda d: (total - d) / (total + d)))
 
 
 def sketch_text(cells: Column) -> Column:
-    """Cells as hexadecimal text: count, digest, check code."""
-    hexed = lambda v, n: F.lpad(F.right(F.lower(F.hex(v)), F.lit(n)), n, "0")
-    return F.array_join(F.transform(cells, lambda c: F.concat(hexed(c["n"].cast("long"), 4), hexed(c["k"], 16), hexed(c["x"].cast("long"), 8))), "")
+    """Cells as hexadecimal text: count and check code in 16 digits, digest in 16."""
+    hexed = lambda v: F.substring(F.concat(F.lit("0" * 15), F.hex(v)), -16, 16)
+    low = lambda c: F.shiftleft(c["n"].cast("long"), 32) + c["x"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.lower(F.array_join(F.transform(cells, lambda c: F.concat(hexed(low(c)), hexed(c["k"]))), ""))
 
 
 def chained(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,19 @@ from featureforge.llm import fingerprints, mixing, sharding
 
 
 def paragraphs(text):
-    return {p.strip(" ") for p in re.split(r"\n+|(?<=[a-h][.!?])\x20", text) if p.strip(" ")}
+    """Paragraphs character by character."""
+    blank, found, at = " \t\n\v\f\r", set(), 0
+    while at < len(text):
+        start = at
+        while not found and start == at == 0 and text[:1] and start < len(text) and text[start] in blank:
+            start = len(text) - len(text.lstrip(blank))
+        least, most = (fingerprints.FIRST_LEAST, fingerprints.FIRST_MOST) if at == 0 and start < len(text) else (fingerprints.LEAST, fingerprints.MOST)
+        ends = (e for e in range(start + least, min(start + most, len(text)) + 1)
+                if e == len(text) or text[e - 1] in ".!?\u2026\u3002\uff01\uff1f\n" or text[e - 1] in fingerprints.LAST and text[e] in blank)
+        end = next(ends, min(start + most, len(text)))
+        found.add(text[at:end].strip(blank))
+        at = end
+    return found - {""}
 
 
 def jaccard(a, b):
@@ -45,6 +57,20 @@ def test_sketches_recover_the_differences(spark, edge, edge_rows):
     assert same[1] == same[2] and same[1] != same[10]
 
 
+@pytest.mark.parametrize("text", [
+    "one line of words that never ends in a mark but goes on and on " * 9, "UPPER CASE WORDS STAND IN THIS LINE " * 12,
+    "\u0421\u043b\u043e\u0432\u0430 \u0434\u0440\u0443\u0433\u043e\u0433\u043e \u044f\u0437\u044b\u043a\u0430 " * 20, "\u8a00\u8449\u306f\u7d9a\u304f" * 200, "a b c d e f " * 9,
+    "\n \t" + "short\nlines\n" * 40, "x" * 3_000, "\u0645\u0631\u062d\u0628\u0627 \u0628\u0643 " * 40, "word " * 60])
+def test_half_a_text_is_like_it(spark, text):
+    """Whatever the script and the lines, a text whose first half stays shares digests with its edited text."""
+    docs = spark.createDataFrame([(2, text), (1, "Quite another text. " * 300)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fingerprints.fingerprint_edits(docs).collect()}
+    half = len(text) // 2
+    edited = text[:len(text) - half] + ("Quite another text. " * 300)[:half]
+    assert 0 < got[2].near_edited < 1 and got[2].near_next == 0
+    assert got[2].near_edited == pytest.approx(jaccard(paragraphs(text), paragraphs(edited)))
+
+
 def test_sketch_peels_small_and_large_differences(spark):
     rows = [(i, [f"p{k}" for k in range(60)], [f"p{k}" for k in range(i, 60 + i)]) for i in (0, 1, 5, 30, 60)]
     df = spark.createDataFrame(rows, "i int, a array<string>, b array<string>")
