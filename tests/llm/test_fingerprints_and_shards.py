@@ -165,6 +165,43 @@ def test_mix(spark, edge, edge_rows, empty):
     assert mixing.mix_sources(empty).count() == 0
 
 
+def brute_extra(rows, need, seed="mix"):
+    """Which of ``(doc_id, text, size)`` of one source are taken once more, by plain Python; and the order by rank and by random number."""
+    total = sum(r[2] for r in rows)
+    mean, f = total / len(rows), need / total
+    short = [mean / (mean + r[2]) for r in rows]
+    middle = sum(r[2] * a for r, a in zip(rows, short)) / total
+    ranks, random_ = [], []
+    for (doc_id, text, size), a in zip(rows, short):
+        part = hashlib.md5(f"{seed}|{doc_id}|{hashlib.md5(text.encode()).hexdigest()}".encode()).hexdigest()[:13]
+        u, p = (int(part, 16) + 0.5) / 16**13, f * (1 + (1 - f) * (a - middle))
+        assert 0 < p < 1
+        ranks.append(u / (1 - u) / (p / (1 - p)))
+        random_.append(u)
+    taken, words = set(), 0
+    order = sorted(range(len(rows)), key=lambda i: ranks[i])
+    for i in order:
+        if words + rows[i][2] / 2 <= need:
+            taken.add(rows[i][0])
+        words += rows[i][2]
+    return taken, order != sorted(order, key=lambda i: random_[i])
+
+
+def test_mix_is_the_pareto_order(spark):
+    docs = [(i, "w " * (1 + i * i % 211), f"s{i % 5}") for i in range(1_500)]
+    got = mixing.mix_sources(spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(4)).collect()
+    target = {r.source: r.target for r in got}
+    for source, want in target.items():
+        rows = [(i, t, len(t.split())) for i, t, s in docs if s == source]
+        total = sum(r[2] for r in rows)
+        sure = int(want / total + 1e-12)
+        taken, differs = brute_extra(rows, want - sure * total)
+        assert differs and 0 < len(taken) < len(rows)
+        for r in got:
+            if r.source == source:
+                assert r.copies == sure + (r.doc_id in taken)
+
+
 def test_mix_near_target_and_odds(spark):
     docs = spark.range(6_000).select(
         F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4).cast("string")).alias("source"),
