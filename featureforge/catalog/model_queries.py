@@ -105,7 +105,7 @@ def f7_fold_impute(t: Tables) -> DataFrame:
     """A sparse column filled with the median of the training rows of every fold."""
     v = F.when(F.col("quality").isNotNull(), F.col("n_chars")).alias("v")
     rows = assign_kfold(enrich(t.documents, t.labels, "doc_id").select("doc_id", v), "doc_id")
-    filled = scaling.fold_impute(expand_folds(stage(rows), 5), ["v"], [str(i) for i in range(5)])
+    filled = scaling.fold_impute(expand_folds(stage(rows), 5), ["v"])
     return rounded(filled.groupBy("eval_fold", "is_train").agg(
         F.count(F.lit(1)).alias("rows"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("low")
     ))

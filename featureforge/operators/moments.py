@@ -19,8 +19,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featureforge.functions.columns import number
-from featureforge.operators.quantiles import exact_quantiles
-from featureforge.operators.scaling import TRAIN_ONLY, fold_moment_stats, fold_names, fold_quantiles, train_rows
+from featureforge.operators.quantiles import training_quantiles
+from featureforge.operators.scaling import TRAIN_ONLY, fold_moment_stats
 from featureforge.staging import stage
 
 SALTS = 64
@@ -185,12 +185,10 @@ def fold_centres(prepared: DataFrame, design: Design, robust: bool = False) -> D
     """Per fold the imputation value of every masked feature, and quartiles of the imputed train rows.
 
     Columns ``medians``, ``q1``, ``q3`` are maps from feature number to value.
-    Without missing values and robust scaling no row is repeated, and the
-    number of folds is not limited.
+    No row is repeated, and the number of folds is not limited.
     """
     base = prepared.select("fold").distinct().filter(F.col("fold") != TRAIN_ONLY)
     empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<double>"))
-    folds = fold_names(prepared) if design.masked or robust else []
 
     def as_map(stats: DataFrame, value: str, name: str) -> DataFrame:
         key = F.substring("column", 2, 10).cast("int")
@@ -200,21 +198,15 @@ def fold_centres(prepared: DataFrame, design: Design, robust: bool = False) -> D
     out = base
     if design.masked:
         names = [f"x{i}" for i in design.masked]
-        medians = stage(fold_quantiles(prepared, names, folds, [0.5], ["median"]), "medians")
+        base = stage(base, "folds")
+        medians = stage(training_quantiles(prepared, names, [0.5], ["median"], base), "medians")
         out = out.join(as_map(medians, "median", "medians"), "fold", "left")
     else:
         out = out.withColumn("medians", empty)
     if robust:
-        expanded = train_rows(prepared, folds).join(
-            stage(out.select(F.col("fold").alias("eval_fold"), "medians"), "medians"), "eval_fold"
-        )
         all_names = [f"x{i}" for i in range(len(design.features))]
-        imputed = expanded.withColumns({
-            f"x{i}": F.coalesce(f"x{i}", F.try_element_at("medians", F.lit(i))) for i in design.masked
-        }) if design.masked else expanded
-        spread = stage(
-            exact_quantiles(imputed, all_names, [0.25, 0.75], by=["eval_fold"], names=["q1", "q3"]), "spread"
-        )
+        fill = medians.withColumnRenamed("median", "fill") if design.masked else None
+        spread = stage(training_quantiles(prepared, all_names, [0.25, 0.75], ["q1", "q3"], base, fill), "spread")
         out = out.join(as_map(spread, "q1", "q1"), "fold", "left").join(as_map(spread, "q3", "q3"), "fold", "left")
     else:
         out = out.withColumn("q1", empty).withColumn("q3", empty)

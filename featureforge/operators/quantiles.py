@@ -1,10 +1,16 @@
-"""Exact order statistics without a global sort and without a large group in one task.
-
-Pass 1 brackets every wanted rank with a mergeable sketch (``percentile_approx``
-has a bounded buffer). Pass 2 counts, with map-side combine, the values inside
-the brackets one by one and all other values as one lump per gap. The ranks
-then follow from the running total over the few bracketed values, at most
-``8 / accuracy`` of the rows of a group.
+"""Exact order statistics by repeated histograms, without a global sort or a large group in one task.
+
+Level 1 counts values, with map-side combine, in buckets that depend on the
+value alone: sign and sixteenths of a power of two for doubles, the leading 16
+bits for integers. A wanted rank falls into one bucket. Every further level
+divides the range between the least and the greatest value of such a bucket
+into 2^16 more, until a bucket holds one value. Bucket numbers never decrease
+with the value, so that ranks stay exact; the ends of a range always part, and
+levels 2 to 4 are the deepest that values of 64 bits can need.
+
+A table of folds is counted once, by fold. The rank ``r`` among the rows outside
+a fold is the rank ``r + h`` among all rows, where ``h`` counts the fold's own rows in
+buckets up to which no more than ``r`` others lie. Rows are never repeated per fold.
 """
 
 from __future__ import annotations
@@ -16,113 +22,178 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from featureforge.functions.columns import number
 from featureforge.staging import stage
 
-ACCURACY = 100_000
-# Widths of a bracket around a probability; a group takes the first that surely holds its rank.
-WIDTHS = (1e-4, 1e-3, 1e-2, 1e-1, 1.0)
+SPLITS = 1 << 16
 
 
-def _long(df: DataFrame, columns: Sequence[str], by: Sequence[str], dtype: str) -> DataFrame:
+def _cells(df: DataFrame, columns: Sequence[str], keep: Sequence[Column], dtype: str) -> DataFrame:
+    """``(keep, column, raw, coarse)``, one row per value; nulls and NaN are left out."""
     value = number if dtype == "double" else (lambda c: F.col(c).cast(dtype))
     cells = F.array(*[F.struct(F.lit(c).alias("column"), value(c).alias("raw")) for c in columns])
-    return df.select(*by, F.inline(cells)).filter(F.col("raw").isNotNull())
-
-
-def _brackets(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str],
-    accuracy: int, dtype: str,
-) -> DataFrame:
-    """One row per group and column: ``n`` and a bracket ``lo, hi`` per probability."""
-    ends = [(p, w, d) for p in probs for w in WIDTHS for d in (-w, w) if 0 < p + d < 1]
-    inner = F.array(*[F.lit(p + d) for p, _, d in ends] or [F.lit(0.5)])
-    at = {end: k for k, end in enumerate(ends)}
-    value = number if dtype == "double" else (lambda c: F.col(c).cast(dtype))
-    aggs = []
-    for i, c in enumerate(columns):
-        v = value(c)
-        aggs += [
-            F.count(v).alias(f"n{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}"),
-            F.percentile_approx(v, inner, accuracy).alias(f"q{i}"),
-        ]
-    wide = df.groupBy(*by).agg(*aggs)
-
-    def end(i: int, p: float, sign: int) -> Column:
-        """The sketch errs by 1 / accuracy of the ranks; two more ranks are needed to interpolate."""
-        out = F.col(f"a{i}" if sign < 0 else f"z{i}")
-        needed = F.lit(4.0 / accuracy) + F.lit(2.0) / F.greatest(F.col(f"n{i}"), F.lit(1))
-        for w in reversed(WIDTHS):
-            if (k := at.get((p, w, sign * w))) is not None:
-                out = F.when(needed <= w, F.col(f"q{i}")[k]).otherwise(out)
-        return out
-
-    def bounds(i: int) -> list[Column]:
-        return [end(i, p, sign).alias(f"{name}{j}") for j, p in enumerate(probs) for name, sign in (("lo", -1), ("hi", 1))]
-
-    rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), *bounds(i)) for i, c in enumerate(columns)
-    ])
-    return wide.select(*by, F.inline(rows))
-
-
-def _ranked_values(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str],
-    accuracy: int, dtype: str,
-) -> DataFrame:
-    """Rows ``(by, column, n, value, first, last)``: bracketed values with their 0-based ranks."""
-    brackets = stage(_brackets(df, columns, probs, by, accuracy, dtype), "brackets")
-    keys = [*by, "column"]
-    joined = _long(df, columns, by, dtype).alias("v").join(
-        brackets.withColumnsRenamed({k: f"_b_{k}" for k in keys}),
-        [F.col(f"v.{k}").eqNullSafe(F.col(f"_b_{k}")) for k in keys],
-    )
-    value = F.col("raw")
-    inside, below = F.lit(False), []
-    for j in range(len(probs)):
-        inside = inside | value.between(F.col(f"lo{j}"), F.col(f"hi{j}"))
-        below.append(F.when(F.col(f"hi{j}") < value, F.col(f"hi{j}")))
-    below = F.greatest(*below) if len(below) > 1 else below[0]
-    counted = joined.select(
-        *[F.col(f"v.{k}") for k in keys], "n",
-        F.when(inside, value).otherwise(below).alias("value"),
-        inside.alias("inside"),
-    ).groupBy(*keys, "n", "value", "inside").agg(F.count(F.lit(1)).alias("weight"))
-    w = Window.partitionBy(*keys).orderBy(F.col("value").asc_nulls_first(), F.col("inside").desc())
-    running = counted.withColumn(
-        "last", F.sum("weight").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    )
-    return running.filter("inside").withColumn("first", F.col("last") - F.col("weight") + 1)
+    return df.select(*keep, F.inline(cells)).filter(F.col("raw").isNotNull()).withColumn("coarse", _coarse(F.col("raw"), dtype))
+
+
+def _coarse(value: Column, dtype: str) -> Column:
+    if dtype != "double":
+        return F.shiftright(value, 48)
+    size = F.abs(value)
+    step = F.when(size == float("inf"), F.lit(40_000)).when(size == 0, F.lit(0)).otherwise(F.floor(F.log2(size) * 16) + 20_000)
+    return F.signum(value).cast("int") * step
+
+
+def _fine(dtype: str) -> Column:
+    """Part of the range ``lo`` to ``hi`` that ``raw`` is in."""
+    above, wide = F.col("raw") - F.col("lo"), F.col("hi") - F.col("lo")
+    if dtype == "double":
+        return F.floor(above / wide * float(SPLITS - 1))
+    return F.call_function("div", above, F.shiftright(wide, 16) + 1)
+
+
+def _histogram(cells: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    counts = cells.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("z"))
+    return stage(counts, "histogram")
+
+
+def _without_own(histogram: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Ranks among the rows outside a fold become ranks among all rows."""
+    through = Window.partitionBy(*keys).orderBy("bucket").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = Window.partitionBy(*keys, "fold").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = histogram.select(*keys, "fold", F.sum("n").over(own).alias("_held"), F.sum("n").over(through).alias("_through"))
+    same = [F.col(f"t.{k}") == F.col(f"h.{k}") for k in [*keys, "fold"]]
+    joined = targets.alias("t").join(held.alias("h"), [*same, F.col("_through") - F.col("_held") <= F.col("t.r")], "left")
+    shift = joined.groupBy(*[F.col(f"t.{c}") for c in targets.columns]).agg(F.coalesce(F.max("_held"), F.lit(0)).alias("_held"))
+    return shift.withColumn("r", F.col("r") + F.col("_held")).drop("_held")
+
+
+def _located(histogram: DataFrame, targets: DataFrame, keys: Sequence[str], first: bool, folded: bool) -> DataFrame:
+    """Targets in the bucket that holds their rank: its ``lo``, ``hi`` and the rank ``r`` inside it."""
+    if folded:
+        targets = _without_own(histogram, targets, keys)
+    total = histogram.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"))
+    before = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.withColumn("r", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    rest = [c for c in targets.columns if c not in keys and c != "r"]
+    marks = total.select(*keys, "r", F.struct("bucket", "a", "z", "r").alias("_place"))
+    asks = targets.select(*keys, "r", F.struct(*rest).alias("_ask"))
+    in_order = Window.partitionBy(*keys).orderBy(F.col("r"), F.col("_ask").isNotNull())
+    found = marks.unionByName(asks, allowMissingColumns=True).withColumn("_place", F.last("_place", ignorenulls=True).over(in_order))
+    kept = [k for k in keys if k not in ("coarse", "lo", "hi")]
+    return found.filter(F.col("_ask").isNotNull()).select(
+        *kept, "_ask.*", (F.col("r") - F.col("_place.r")).alias("r"),
+        (F.col("_place.bucket") if first else F.col("coarse")).alias("coarse"), F.col("_place.a").alias("lo"), F.col("_place.z").alias("hi"))
+
+
+def _values_at(cells: DataFrame, histogram: DataFrame, targets: DataFrame, by: Sequence[str], dtype: str, folded: bool = False) -> DataFrame:
+    """The targets ``(by, column, [fold], r, …)`` with the ``value`` at rank ``r``."""
+    groups = [*by, "column"]
+    keys, done = groups, None
+    while True:
+        unsettled = F.col("lo") < F.col("hi")
+        located = stage(_located(histogram, targets, keys, keys == groups, folded), "ranks")
+        settled = located.filter(~unsettled).withColumn("value", F.col("lo")).drop("r", "coarse", "lo", "hi")
+        done = settled if done is None else done.unionByName(settled)
+        targets = located.filter(unsettled)
+        if targets.isEmpty():
+            return done
+        ranges = targets.select(*[F.col(k).alias(f"_r_{k}") for k in [*groups, "coarse"]], "lo", "hi").distinct()
+        same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in [*groups, "coarse"]]
+        inside = cells.join(ranges, [*same, F.col("raw").between(F.col("lo"), F.col("hi"))])
+        keys = [*groups, "coarse", "lo", "hi"]
+        histogram = _histogram(inside, [*keys, *(["fold"] if folded else [])], _fine(dtype))
+
+
+def _ranks(size: Column, probs: Sequence[float]) -> Column:
+    """``(tag, rank)`` of the two neighbours of every probability, as an array."""
+    ends = [(2 * j + k, end(F.lit(float(p)) * (size - 1))) for j, p in enumerate(probs) for k, end in enumerate((F.floor, F.ceil))]
+    return F.array(*[F.struct(F.lit(t).alias("tag"), r.alias("rank")) for t, r in ends])
+
+
+def _interpolated(size: Column, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
+    out = []
+    for j, (p, name) in enumerate(zip(probs, names)):
+        position = F.lit(float(p)) * (size - 1)
+        lo, hi = F.col(f"_v{2 * j}"), F.col(f"_v{2 * j + 1}")
+        same = (lo == hi) | (position == F.floor(position))  # also keeps infinite values
+        out.append(F.when(same, lo).otherwise(lo + (hi - lo) * (position - F.floor(position))).alias(name))
+    return out
+
+
+def _by_tag(values: DataFrame, keys: Sequence[str], tags: int, value: str = "value") -> DataFrame:
+    return values.groupBy(*keys).agg(*[F.max(F.when(F.col("tag") == t, F.col(value))).alias(f"_v{t}") for t in range(tags)])
 
 
 def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (),
-    names: Sequence[str] | None = None, accuracy: int = ACCURACY,
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = (), names: Sequence[str] | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles: one row per group and column with ``n`` and one column per prob.
 
     Nulls and NaN are left out. A group without a value has no row.
     """
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
-    ranked = _ranked_values(df, columns, probs, by, accuracy, "double")
-    aggs, out = [], []
-    for name, p in zip(names, probs):
-        position = F.lit(float(p)) * (F.col("n") - 1)
-        for tag, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            hit = rank.between(F.col("first"), F.col("last"))
-            aggs.append(F.max(F.when(hit, F.col("value"))).alias(f"_{tag}_{name}"))
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        exact = F.when(lo.isNull() | hi.isNull(), F.raise_error(F.lit("rank outside its bracket")).cast("double"))
-        fraction = position - F.floor(position)
-        out.append(F.coalesce(exact, lo + (hi - lo) * fraction).alias(name))
-    return ranked.groupBy(*by, "column", "n").agg(*aggs).select(*by, "column", "n", *out)
-
-
-def rank_thresholds(df: DataFrame, key: str, cuts: Sequence[tuple[str, float, Column]],
-                    accuracy: int = ACCURACY) -> DataFrame:
-    """Values of the bigint ``key`` at given 0-based ranks, as one row.
-
-    ``cuts`` holds ``(name, approximate probability, rank as an expression of n)``.
+    groups = {f"_g{i}": c for i, c in enumerate(by)}
+    cells, keys = _cells(df, columns, [F.col(c).alias(g) for g, c in groups.items()], "double"), [*groups, "column"]
+    histogram = _histogram(cells, keys, F.col("coarse"))
+    sizes = histogram.groupBy(*keys).agg(F.sum("n").alias("size"))
+    targets = sizes.select(*keys, "size", F.inline(_ranks(F.col("size"), probs))).withColumnRenamed("rank", "r")
+    values = _values_at(cells, histogram, targets, list(groups), "double")
+    wide = _by_tag(values, [*keys, "size"], 2 * len(probs))
+    return wide.select(*[F.col(g).alias(c) for g, c in groups.items()], "column", F.col("size").alias("n"), *_interpolated(F.col("size"), probs, names))
+
+
+def training_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str], folds: DataFrame, fill: DataFrame | None = None,
+) -> DataFrame:
+    """Quantiles of the rows outside each of ``folds`` (column ``fold``): one row per ``eval_fold`` and column.
+
+    ``df`` holds every row once, with its ``fold`` as text. With ``fill``, a table
+    ``(eval_fold, column, fill)``, the missing values of the training rows count as
+    that value: with ``k`` of them the value at rank ``r`` is the middle one of the
+    fill value and the present values at ranks ``r`` and ``r - k``. Columns without
+    a fill value, and folds without a present training value, have no missing ones
+    or no row.
+    """
+    df = df.select("fold", *columns)
+    cells = _cells(df, columns, [F.col("fold")], "double")
+    histogram = _histogram(cells, ["column", "fold"], F.col("coarse"))
+    per_fold = histogram.groupBy("column", "fold").agg(F.sum("n").alias("n"))
+    totals = per_fold.groupBy("column").agg(F.sum("n").alias("total"))
+    named = folds.select("fold", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    sizes = named.join(totals, "column").join(per_fold, ["column", "fold"], "left").select(
+        "column", "fold", (F.col("total") - F.coalesce("n", F.lit(0))).alias("present"))
+    if fill is None:
+        sizes = sizes.withColumns({"size": F.col("present"), "fill": F.lit(None).cast("double")})
+    else:
+        rows = stage(df.groupBy("fold").agg(F.count("*").alias("n")), "fold-rows")
+        all_rows = rows.agg(F.sum("n")).scalar()
+        sizes = sizes.join(rows, "fold", "left").join(
+            fill.select(F.col("eval_fold").alias("fold"), "column", "fill"), ["fold", "column"], "left"
+        ).withColumn("size", F.when(F.col("fill").isNull(), F.col("present")).otherwise(all_rows - F.coalesce("n", F.lit(0))))
+    sizes = stage(sizes.filter("present > 0").select("column", "fold", "present", "size", "fill"), "sizes")
+    both = sizes.select("*", F.inline(_ranks(F.col("size"), probs)))
+    late = F.col("rank") - (F.col("size") - F.col("present"))
+    targets = both.select("*", F.explode(F.array_distinct(F.array(F.col("rank"), late))).alias("r")).filter("r between 0 and present - 1")
+    found = _values_at(cells, histogram, targets.withColumn("at_rank", F.col("r") == F.col("rank")), (), "double", folded=True)
+    keys = ["column", "fold", "size", "present", "fill"]
+    middle = found.groupBy(*keys, "tag").agg(
+        F.max(F.when(F.col("at_rank"), F.col("value"))).alias("high"), F.max(F.when(~F.col("at_rank"), F.col("value"))).alias("low"))
+    # without missing values both ranks are one
+    low = F.when(F.col("size") == F.col("present"), F.col("high")).otherwise(F.col("low"))
+    middle = middle.withColumn("value", F.greatest(F.least("high", "fill"), low))
+    # where the fill values cover a rank on both sides, no present value is asked for
+    covered = both.filter(F.col("fill").isNotNull() & (F.col("rank") >= F.col("present")) & (late < 0))
+    middle = middle.select(*keys, "tag", "value").unionByName(covered.select(*keys, "tag", F.col("fill").alias("value")))
+    wide = _by_tag(middle, keys, 2 * len(probs))
+    return wide.select(F.col("fold").alias("eval_fold"), "column", *_interpolated(F.col("size"), probs, names))
+
+
+def rank_thresholds(df: DataFrame, key: str, cuts: Sequence[tuple[str, Column]]) -> DataFrame:
+    """``n`` and the values of the bigint ``key`` at given 0-based ranks, as one row; none for an empty table.
+
+    ``cuts`` holds ``(name, rank as an expression of n)``; a rank that is null or outside the table gives null.
     """
-    ranked = _ranked_values(df, [key], [p for _, p, _ in cuts], (), accuracy, "bigint")
-    return ranked.groupBy("n").agg(*[
-        F.max(F.when(rank.between(F.col("first"), F.col("last")), F.col("value"))).alias(name)
-        for name, _, rank in cuts
-    ])
+    cells = _cells(df, [key], (), "bigint")
+    histogram = _histogram(cells, ["column"], F.col("coarse"))
+    sizes = histogram.groupBy("column").agg(F.sum("n").alias("n"))
+    asked = F.array(*[F.struct(F.lit(t).alias("tag"), rank.cast("bigint").alias("r")) for t, (_, rank) in enumerate(cuts)])
+    targets = sizes.select("column", "n", F.inline(asked)).filter("r between 0 and n - 1")
+    wide = _by_tag(_values_at(cells, histogram, targets, (), "bigint"), ["column"], len(cuts))
+    return sizes.join(wide, "column", "left").select("n", *[F.col(f"_v{t}").alias(name) for t, (name, _) in enumerate(cuts)])

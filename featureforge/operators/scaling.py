@@ -3,8 +3,8 @@
 ``eval_fold`` names the held-out fold; its statistics come from all other rows.
 Means and variances of the training rows follow from one aggregation per fold
 by taking the held-out part off the total, so rows are not repeated per fold.
-Exact medians and quartiles need the training rows of each fold; only these
-repeat a row, and only for columns that need them.
+Medians and quartiles come from ranks outside the fold in counts by fold
+(``quantiles.py``), so that they repeat no row either.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from featureforge.functions.columns import number
-from featureforge.operators.quantiles import exact_quantiles
+from featureforge.operators.quantiles import training_quantiles
 from featureforge.staging import stage
 
 TRAIN_ONLY = "__train__"
@@ -29,18 +29,16 @@ def fold_names(df: DataFrame, fold: str = "fold") -> list[str]:
     return sorted(r.f for r in rows if r.f is not None and r.f != TRAIN_ONLY)
 
 
-def train_rows(df: DataFrame, folds: Sequence[str], fold: str = "fold") -> DataFrame:
-    """Every row once per fold that trains on it, as ``eval_fold``."""
-    others = F.filter(F.array(*[F.lit(f) for f in folds]), lambda f: f != F.col(fold).cast("string"))
-    return df.withColumn("eval_fold", F.explode(others))
+def held_out(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a table that ``expand_folds`` gave: every row once, in the fold that holds it out, and all folds."""
+    fold = F.col("eval_fold").cast("string")
+    return df.filter(~F.col("is_train")).withColumn("fold", fold), df.select(fold.alias("fold")).distinct()
 
 
-def fold_quantiles(
-    df: DataFrame, columns: Sequence[str], folds: Sequence[str], probs: Sequence[float],
-    names: Sequence[str], fold: str = "fold",
-) -> DataFrame:
-    """Exact training-row quantiles: one row per ``eval_fold`` and column."""
-    return exact_quantiles(train_rows(df, folds, fold), columns, probs, by=["eval_fold"], names=names).drop("n")
+def _training(df: DataFrame, columns: Sequence[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    rows, folds = held_out(df)
+    stats = training_quantiles(rows, columns, probs, names, folds)
+    return stats.withColumn("eval_fold", F.col("eval_fold").cast(df.schema["eval_fold"].dataType))
 
 
 def fold_moment_stats(df: DataFrame, columns: Sequence[str], fold: str = "fold") -> DataFrame:
@@ -103,11 +101,9 @@ def _apply(df: DataFrame, columns: Sequence[str], values: Sequence[str], rule) -
     return out.drop(*[f"_{v}_{i}" for i in range(len(columns)) for v in values])
 
 
-def fold_impute(df: DataFrame, columns: Sequence[str], folds: Sequence[str], fold: str = "fold") -> DataFrame:
-    """``df`` carries ``eval_fold`` (see ``expand_folds``): nulls become the training median."""
-    base = df.filter(F.col("is_train")).withColumn(fold, F.col(fold).cast("string"))
-    medians = exact_quantiles(base, columns, [0.5], by=["eval_fold"], names=["median"])
-    joined = _attach(df, medians, columns, ["median"])
+def fold_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``df`` comes from ``expand_folds``: nulls become the training median."""
+    joined = _attach(df, _training(df, columns, [0.5], ["median"]), columns, ["median"])
     return _apply(joined, columns, ["median"], lambda x, m: F.coalesce(x, m))
 
 
@@ -121,10 +117,8 @@ def fold_standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fold_robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x − training median) / training IQR; a zero IQR counts as 1."""
-    stats = exact_quantiles(
-        df.filter("is_train"), columns, [0.25, 0.5, 0.75], by=["eval_fold"], names=["q1", "median", "q3"]
-    )
+    """(x − training median) / training IQR; a zero IQR counts as 1. ``df`` comes from ``expand_folds``."""
+    stats = _training(df, columns, [0.25, 0.5, 0.75], ["q1", "median", "q3"])
     joined = _attach(df, stats, columns, ["q1", "median", "q3"])
     return _apply(
         joined, columns, ["q1", "median", "q3"], lambda x, a, m, b: (x - m) / unit_if_zero(b - a)

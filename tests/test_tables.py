@@ -17,8 +17,8 @@ from featureforge.sources.files import coerce, read_optional
 from featureforge.staging import new_folder
 
 
-def test_quantiles_through_brackets(spark):
-    """Narrow brackets for large groups, wider ones for small; ties, groups, nulls and NaN are in the data."""
+def test_quantiles_of_groups(spark):
+    """Groups of all sizes; ties, nulls and NaN are in the data."""
     rng = np.random.default_rng(1)
     n = 20_000
     pdf = pd.DataFrame({
@@ -28,7 +28,7 @@ def test_quantiles_through_brackets(spark):
     pdf.loc[::7, "heavy"] = np.nan
     df = spark.createDataFrame(pdf).repartition(7)
     probs = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
-    got = quantiles.exact_quantiles(df, ["heavy", "ties"], probs, by=["g"], accuracy=2_000).toPandas()
+    got = quantiles.exact_quantiles(df, ["heavy", "ties"], probs, by=["g"]).toPandas()
     for r in got.itertuples():
         want = pdf.loc[pdf.g == r.g, r.column].dropna()
         assert r.n == len(want)
@@ -36,6 +36,63 @@ def test_quantiles_through_brackets(spark):
     assert len(got) == 2 * pdf.g.nunique()
 
 
+def test_quantiles_of_wide_ranges(spark):
+    """Neighbouring doubles, infinities, signed zeros and both ends of the range of doubles and integers."""
+    x = np.float64(1.5)
+    near = [x]
+    for _ in range(40):
+        near.append(np.nextafter(near[-1], 2))
+    values = [*near, -np.inf, np.inf, -1.7e308, 1.7e308, 5e-324, -5e-324, 0.0, -0.0, 1e-300, -1e300, 3.0, 3.0]
+    df = spark.createDataFrame([(float(v), "a") for v in values] + [(2.0, "b"), (None, "c")], "n double, size string").repartition(3)
+    n = len(values)
+    probs = [k / (n - 1) for k in range(n)]
+    got = {r["size"]: r for r in quantiles.exact_quantiles(df, ["n"], probs, ["size"], [f"p{k}" for k in range(n)]).collect()}
+    assert set(got) == {"a", "b"} and got["b"].p0 == 2.0
+    want = sorted(values)
+    for k, p in enumerate(probs):
+        if p * (n - 1) == k:
+            assert got["a"][f"p{k}"] == want[k]
+    keys = [-2**63, 2**63 - 1, 0, -1, 1, 7, 2**40, 2**40 + 1, 2**40 + 1]
+    table = spark.createDataFrame([(k,) for k in keys] + [(None,)], "key bigint")
+    cuts = [(f"c{i}", F.lit(i)) for i in range(len(keys))] + [("past", F.lit(len(keys))), ("none", F.lit(None).cast("int"))]
+    row = quantiles.rank_thresholds(table, "key", cuts).first()
+    assert list(row) == [len(keys), *sorted(keys), None, None]
+    assert quantiles.rank_thresholds(table.limit(0), "key", cuts).count() == 0
+    assert quantiles.exact_quantiles(df.limit(0), ["n"], [0.5]).count() == 0
+
+
+@pytest.mark.parametrize("filled", [False, True])
+def test_quantiles_outside_folds(spark, filled):
+    """Against the rows of the other folds; a hot fold, ties, mostly missing columns, a fold that holds no value."""
+    rng = np.random.default_rng(5)
+    n = 600
+    pdf = pd.DataFrame({
+        "fold": np.where(rng.random(n) < 0.4, "hot", rng.integers(0, 4, n).astype(str)),
+        "a": np.round(rng.normal(0, 9, n), 1), "b": rng.integers(0, 3, n).astype(float), "c": rng.random(n), "d": rng.random(n),
+    })
+    pdf.loc[::5, "a"] = np.nan
+    pdf.loc[pdf.fold == "1", "b"] = np.nan
+    pdf.loc[rng.random(n) < 0.9, "c"] = np.nan
+    pdf.loc[pdf.fold != "2", "d"] = np.nan
+    pdf.loc[3, "fold"] = "__train__"
+    df = spark.createDataFrame(pdf).repartition(5)
+    folds = spark.createDataFrame([(f,) for f in [*sorted(set(pdf.fold) - {"__train__"}), "unused"]], "fold string")
+    columns, probs, names = ["a", "b", "c", "d"], [0.0, 0.25, 0.5, 0.75, 1.0], ["p0", "p1", "p2", "p3", "p4"]
+    fill = quantiles.training_quantiles(df, columns, [0.5], ["fill"], folds) if filled else None
+    got = quantiles.training_quantiles(df, columns, probs, names, folds, fill).toPandas().set_index(["eval_fold", "column"])
+    expected = 0
+    for (fold,) in folds.collect():
+        for c in columns:
+            train = pdf.loc[pdf.fold != fold, c]
+            present = train.dropna()
+            if present.empty:
+                continue
+            expected += 1
+            want = (train.fillna(present.median()) if filled else present).quantile(probs)
+            np.testing.assert_allclose(got.loc[(fold, c), names].astype(float), want, rtol=1e-12)
+    assert len(got) == expected
+
+
 def test_profile_edges(spark):
     df = spark.createDataFrame(
         [(1, 5, None, 1.0, "a"), (2, 5, None, 2.0, "a"), (3, None, None, float("nan"), None)],
