@@ -26,7 +26,7 @@ def split_holdout(
 
     A table with fewer than ``min_rows`` rows gives no rows.
     """
-    size = F.ceil(F.lit(frac) * F.col("n"))
+    size = F.ceil(F.lit(frac) * F.col("size"))
     cuts = _thresholds(df, id_col, seed, [("cut", size - 1)])
     enough = cuts.select("n").scalar() >= min_rows
     is_test = seeded_hash(id_col, seed) <= cuts.select("cut").scalar()
@@ -45,8 +45,8 @@ def assign_kfold(
 
     A table with fewer than ``min_rows`` rows gives no rows.
     """
-    folds = fold_count(F.col("n"), k)
-    first = lambda j: (F.lit(j) * F.floor(F.col("n") / folds) + F.least(F.lit(j), F.col("n") % folds)).cast("bigint")
+    folds = fold_count(F.col("size"), k)
+    first = lambda j: (F.lit(j) * F.floor(F.col("size") / folds) + F.least(F.lit(j), F.col("size") % folds)).cast("bigint")
     # Small tables have fewer folds: cuts past the last fold are null there.
     cut_list = [(f"cut{j}", F.when(F.lit(j) < folds, first(j))) for j in range(1, k)]
     cuts = _thresholds(df, id_col, seed, cut_list)

@@ -1,7 +1,7 @@
 """Exact order statistics by repeated histograms, without a global sort or a large group in one task.
 
 Level 1 counts values, with map-side combine, in buckets that depend on the
-value alone: sign and sixteenths of a power of two for doubles, the leading 16
+value alone: sign and 64ths of a power of two for doubles, the leading 16
 bits for integers. A wanted rank falls into one bucket. Every further level
 divides the range between the least and the greatest value of such a bucket
 into 2^16 more, until a bucket holds one value. Bucket numbers never decrease
@@ -36,7 +36,7 @@ def _coarse(value: Column, dtype: str) -> Column:
     if dtype != "double":
         return F.shiftright(value, 48)
     size = F.abs(value)
-    step = F.when(size == float("inf"), F.lit(40_000)).when(size == 0, F.lit(0)).otherwise(F.floor(F.log2(size) * 16) + 20_000)
+    step = F.when(size == float("inf"), F.lit(160_000)).when(size == 0, F.lit(0)).otherwise(F.floor(F.log2(size) * 64) + 80_000)
     return F.signum(value).cast("int") * step
 
 
@@ -49,8 +49,7 @@ def _fine(dtype: str) -> Column:
 
 
 def _histogram(cells: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
-    counts = cells.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("z"))
-    return stage(counts, "histogram")
+    return cells.groupBy(*keys, bucket.alias("bucket")).agg(F.count("*").alias("n"), F.min("raw").alias("a"), F.max("raw").alias("z"))
 
 
 def _without_own(histogram: DataFrame, targets: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,13 +81,23 @@ def _located(histogram: DataFrame, targets: DataFrame, keys: Sequence[str], firs
         (F.col("_place.bucket") if first else F.col("coarse")).alias("coarse"), F.col("_place.a").alias("lo"), F.col("_place.z").alias("hi"))
 
 
-def _values_at(cells: DataFrame, histogram: DataFrame, targets: DataFrame, by: Sequence[str], dtype: str, folded: bool = False) -> DataFrame:
-    """The targets ``(by, column, [fold], r, …)`` with the ``value`` at rank ``r``."""
-    groups = [*by, "column"]
-    keys, done = groups, None
+def _located_all(histogram: DataFrame, keys: Sequence[str], ranks: Column) -> DataFrame:
+    """As ``_located``, for ``ranks``, an array of ``(tag, r)`` that ``size``, the values of a group, decides."""
+    group = Window.partitionBy(*keys)
+    before = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    total = histogram.withColumns({"before": F.coalesce(before, F.lit(0)), "size": F.sum("n").over(group)})
+    here = F.filter(ranks, lambda t: (t["r"] >= F.col("before")) & (t["r"] < F.col("before") + F.col("n")))
+    return total.select(*keys, "size", "bucket", "a", "z", "before", F.inline(here)).select(
+        *keys, "size", "tag", (F.col("r") - F.col("before")).alias("r"), F.col("bucket").alias("coarse"), F.col("a").alias("lo"), F.col("z").alias("hi"))
+
+
+def _values_at(cells: DataFrame, located: DataFrame, by: Sequence[str], dtype: str, folded: bool = False) -> DataFrame:
+    """The targets ``(by, column, [fold], r, …)`` in buckets of level 1, with the ``value`` at their rank."""
+    groups, done = [*by, "column"], None
+    keys = [*groups, "coarse", "lo", "hi"]
     while True:
         unsettled = F.col("lo") < F.col("hi")
-        located = stage(_located(histogram, targets, keys, keys == groups, folded), "ranks")
+        located = stage(located, "ranks")
         settled = located.filter(~unsettled).withColumn("value", F.col("lo")).drop("r", "coarse", "lo", "hi")
         done = settled if done is None else done.unionByName(settled)
         targets = located.filter(unsettled)
@@ -97,14 +106,14 @@ def _values_at(cells: DataFrame, histogram: DataFrame, targets: DataFrame, by: S
         ranges = targets.select(*[F.col(k).alias(f"_r_{k}") for k in [*groups, "coarse"]], "lo", "hi").distinct()
         same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in [*groups, "coarse"]]
         inside = cells.join(ranges, [*same, F.col("raw").between(F.col("lo"), F.col("hi"))])
-        keys = [*groups, "coarse", "lo", "hi"]
         histogram = _histogram(inside, [*keys, *(["fold"] if folded else [])], _fine(dtype))
+        located = _located(stage(histogram, "histogram") if folded else histogram, targets, keys, False, folded)
 
 
 def _ranks(size: Column, probs: Sequence[float]) -> Column:
     """``(tag, rank)`` of the two neighbours of every probability, as an array."""
     ends = [(2 * j + k, end(F.lit(float(p)) * (size - 1))) for j, p in enumerate(probs) for k, end in enumerate((F.floor, F.ceil))]
-    return F.array(*[F.struct(F.lit(t).alias("tag"), r.alias("rank")) for t, r in ends])
+    return F.array(*[F.struct(F.lit(t).alias("tag"), r.alias("r")) for t, r in ends])
 
 
 def _interpolated(size: Column, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
@@ -131,10 +140,8 @@ def exact_quantiles(
     names = list(names or [f"q{round(p * 100):02d}" for p in probs])
     groups = {f"_g{i}": c for i, c in enumerate(by)}
     cells, keys = _cells(df, columns, [F.col(c).alias(g) for g, c in groups.items()], "double"), [*groups, "column"]
-    histogram = _histogram(cells, keys, F.col("coarse"))
-    sizes = histogram.groupBy(*keys).agg(F.sum("n").alias("size"))
-    targets = sizes.select(*keys, "size", F.inline(_ranks(F.col("size"), probs))).withColumnRenamed("rank", "r")
-    values = _values_at(cells, histogram, targets, list(groups), "double")
+    located = _located_all(_histogram(cells, keys, F.col("coarse")), keys, _ranks(F.col("size"), probs))
+    values = _values_at(cells, located, list(groups), "double")
     wide = _by_tag(values, [*keys, "size"], 2 * len(probs))
     return wide.select(*[F.col(g).alias(c) for g, c in groups.items()], "column", F.col("size").alias("n"), *_interpolated(F.col("size"), probs, names))
 
@@ -153,7 +160,7 @@ def training_quantiles(
     """
     df = df.select("fold", *columns)
     cells = _cells(df, columns, [F.col("fold")], "double")
-    histogram = _histogram(cells, ["column", "fold"], F.col("coarse"))
+    histogram = stage(_histogram(cells, ["column", "fold"], F.col("coarse")), "histogram")
     per_fold = histogram.groupBy("column", "fold").agg(F.sum("n").alias("n"))
     totals = per_fold.groupBy("column").agg(F.sum("n").alias("total"))
     named = folds.select("fold", F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
@@ -168,10 +175,11 @@ def training_quantiles(
             fill.select(F.col("eval_fold").alias("fold"), "column", "fill"), ["fold", "column"], "left"
         ).withColumn("size", F.when(F.col("fill").isNull(), F.col("present")).otherwise(all_rows - F.coalesce("n", F.lit(0))))
     sizes = stage(sizes.filter("present > 0").select("column", "fold", "present", "size", "fill"), "sizes")
-    both = sizes.select("*", F.inline(_ranks(F.col("size"), probs)))
+    both = sizes.select("*", F.inline(_ranks(F.col("size"), probs))).withColumnRenamed("r", "rank")
     late = F.col("rank") - (F.col("size") - F.col("present"))
     targets = both.select("*", F.explode(F.array_distinct(F.array(F.col("rank"), late))).alias("r")).filter("r between 0 and present - 1")
-    found = _values_at(cells, histogram, targets.withColumn("at_rank", F.col("r") == F.col("rank")), (), "double", folded=True)
+    targets = targets.withColumn("at_rank", F.col("r") == F.col("rank"))
+    found = _values_at(cells, _located(histogram, targets, ["column"], True, True), (), "double", folded=True)
     keys = ["column", "fold", "size", "present", "fill"]
     middle = found.groupBy(*keys, "tag").agg(
         F.max(F.when(F.col("at_rank"), F.col("value"))).alias("high"), F.max(F.when(~F.col("at_rank"), F.col("value"))).alias("low"))
@@ -188,12 +196,11 @@ def training_quantiles(
 def rank_thresholds(df: DataFrame, key: str, cuts: Sequence[tuple[str, Column]]) -> DataFrame:
     """``n`` and the values of the bigint ``key`` at given 0-based ranks, as one row; none for an empty table.
 
-    ``cuts`` holds ``(name, rank as an expression of n)``; a rank that is null or outside the table gives null.
+    ``cuts`` holds ``(name, rank as an expression of size)``; a rank that is null or outside the table gives null.
     """
     cells = _cells(df, [key], (), "bigint")
-    histogram = _histogram(cells, ["column"], F.col("coarse"))
-    sizes = histogram.groupBy("column").agg(F.sum("n").alias("n"))
-    asked = F.array(*[F.struct(F.lit(t).alias("tag"), rank.cast("bigint").alias("r")) for t, (_, rank) in enumerate(cuts)])
-    targets = sizes.select("column", "n", F.inline(asked)).filter("r between 0 and n - 1")
-    wide = _by_tag(_values_at(cells, histogram, targets, (), "bigint"), ["column"], len(cuts))
-    return sizes.join(wide, "column", "left").select("n", *[F.col(f"_v{t}").alias(name) for t, (name, _) in enumerate(cuts)])
+    # rank 0 is asked for as well, so that every table with a value gives a row
+    asked = F.array(*[F.struct(F.lit(t).alias("tag"), r.cast("bigint").alias("r")) for t, r in enumerate([*[r for _, r in cuts], F.lit(0)])])
+    located = _located_all(_histogram(cells, ["column"], F.col("coarse")), ["column"], asked)
+    wide = _by_tag(_values_at(cells, located, (), "bigint"), ["size"], len(cuts))
+    return wide.select(F.col("size").alias("n"), *[F.col(f"_v{t}").alias(name) for t, (name, _) in enumerate(cuts)])
