@@ -20,7 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from featureforge.llm.common import BLANKS, FILTER_SETTINGS, settings, sha256_text, whole_text
+from featureforge.llm.common import BLANKS, FILTER_SETTINGS, settings, sha256_text, stream_parquet, whole_text
 from featureforge.staging import new_folder, stage
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -46,11 +46,7 @@ def run_state(
     """Bring the state up to date with the files under ``path``; ``(digest, keep_id, file, row, group_size)``."""
     kind = spark.read.parquet(path).schema[id_col].dataType
     schema = T.StructType([T.StructField(id_col, kind), T.StructField(text_col, T.StringType())])
-    reader = spark.readStream.schema(schema)
-    if files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    # as a pattern the path may name a single file as well as a folder
-    rows = reader.parquet(f"{path[:-1]}[{path[-1]}]").select(
+    rows = stream_parquet(spark, path, schema, files_per_trigger).select(
         digest(normalised(F.col(text_col))).alias("digest"),
         F.struct(
             F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"),

@@ -26,6 +26,10 @@ def test_dedup(spark, edge, edge_rows, empty, tmp_path):
     for rows in kept.values():
         assert sum(k for k, _, _ in rows) == 1
         assert all(d == i for k, d, i in rows if k)
+    file = next(str(f) for f in (tmp_path / "docs").iterdir() if f.name.endswith(".parquet"))
+    for form, rows in ((path + "/", len(got)), (file, spark.read.parquet(file).count())):
+        again = streaming_dedup.dedup_stream(spark, form).collect()
+        assert len(again) == rows and sum(r.kept for r in again) == len({r.text_sha256 for r in again})
     none = str(tmp_path / "none")
     empty.write.parquet(none)
     assert streaming_dedup.dedup_stream(spark, none).count() == 0
