@@ -1,16 +1,17 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding in Arrow batches.
 
 Words are the matches of the tokenizer's pattern. A word starts as its bytes;
-a fold merges the neighbouring pair of the lowest rank, the leftmost of equal
-ones, until no pair has a rank. Ranks are a literal map in buckets.
+the neighbouring pair of the lowest rank, the leftmost of equal ones, is merged
+until no pair has a rank. Ranks travel to the tasks as a map of bounded size.
 
-The words that all documents have most often are folded once and become a table
+The words that all documents have most often are merged once and become a table
 of bounded size that travels to the tasks: 128-bit hashes of words, and their ids
-as one run of bytes, some 40 bytes a word. A word that is not in it is folded
-where it stands, by the same expression, so that ids do not depend on the table:
-it only saves time. One Python worker a task looks words up; nothing is exchanged.
+as one run of bytes, some 40 bytes a word. A word that is not in it is merged
+where it stands, once a block and by the same function, so that ids do not depend
+on the table: it only saves time. One Python worker a task does both; nothing is
+exchanged.
 
-Decoding takes the binary piece of every id from a literal list and joins these.
+Decoding joins the piece of every id.
 
 Defined results: null text is empty and has no ids; repeated rows are returned
 each; an empty table gives an empty result; other columns are kept, but a column
@@ -20,10 +21,9 @@ with the name of the result is replaced by it. Texts are encoded whole.
 from __future__ import annotations
 
 import base64
-import json
-import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +39,6 @@ PATTERN = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
     rf"| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 )
-#: Buckets of the literal rank map; a power of two.
-RANK_BUCKETS = 1 << 14
 #: Most words in the table of frequent words, most characters of one, and characters of text whose words are looked up together.
 FREQUENT, LONGEST, BLOCK_CHARS = 1 << 19, 32, 1_000_000
 NO_RANK = 2**31 - 1
@@ -53,69 +51,46 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def bucket_of(key: Column, buckets: int) -> Column:
-    return F.crc32(key.cast("binary")).bitwiseAND(F.lit(buckets - 1))
-
-
-def rank_map(path: str) -> Column:
-    """Literal map from piece (one character per byte) to rank, in buckets by CRC. The optimizer folds the JSON into a value."""
-    buckets: list[dict] = [{} for _ in range(RANK_BUCKETS)]
-    for piece, rank in load_ranks(path).items():
-        key = piece.decode("latin-1")
-        buckets[zlib.crc32(key.encode()) & (RANK_BUCKETS - 1)][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-
-
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
-def fold_word(word: Column, ranks: Column) -> Column:
-    """Ids of one word, as text joined by commas. Its bytes are held as a string of one character per byte."""
-    none = F.array().cast("array<int>")
-
-    def ids_of(raw: Column) -> Column:
-        def rank(a: Column, b: Column) -> Column:
-            return F.coalesce(let(F.substring(raw, a, b - a), lambda s: ranks[bucket_of(s, RANK_BUCKETS)][s]), F.lit(NO_RANK))
-
-        n = F.length(raw)
-        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(i, i + 2))).otherwise(none)
-        start = F.struct(F.sequence(F.lit(1), n + 1).alias("cuts"), pairs.alias("ranks"))
-
-        def merge(acc: Column, _: Column) -> Column:
-            cuts, known = acc["cuts"], acc["ranks"]
-
-            def at(p: Column) -> Column:
-                size = F.size(known)
-                left = F.when(p > 1, F.array(rank(F.get(cuts, p - 2), F.get(cuts, p + 1)))).otherwise(none)
-                right = F.when(p < size, F.array(rank(F.get(cuts, p - 1), F.get(cuts, p + 2)))).otherwise(none)
-                return F.struct(
-                    F.concat(F.slice(cuts, 1, p), F.slice(cuts, p + 2, size)).alias("cuts"),
-                    F.concat(F.slice(known, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(known, p + 2, size)).alias("ranks"),
-                )
-
-            least = F.array_min(known)
-            return F.when(least < NO_RANK, let(F.array_position(known, least).cast("int"), at)).otherwise(acc)
-
-        def ids(acc: Column) -> Column:
-            cuts = acc["cuts"]
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: rank(F.get(cuts, i), F.get(cuts, i + 1)).cast("string")), ",")
-
-        return F.aggregate(F.sequence(F.lit(1), n), start, merge, ids)
-
-    def whole(raw: Column) -> Column:
-        return let(ranks[bucket_of(raw, RANK_BUCKETS)][raw], lambda r: F.coalesce(r.cast("string"), ids_of(raw)))
-
-    return let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+def merged(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """Ids of one word. Pairs wait in a heap by rank and place, so that a long word costs n log n."""
+    if (whole := ranks.get(word)) is not None:
+        return [whole]
+    n = len(word)
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts here; 0: no longer a start
+    pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i:i + 2])) is not None]
+    heapify(pairs)
+    while pairs:
+        _, start, end = heappop(pairs)
+        middle = ends[start]
+        if not middle or middle == n or ends[middle] != end:
+            continue  # one of the two has been merged meanwhile
+        ends[start], ends[middle] = end, 0
+        if end < n:
+            before[end] = start
+            if (rank := ranks.get(word[start:ends[end]])) is not None:
+                heappush(pairs, (rank, start, ends[end]))
+        if (left := before[start]) >= 0 and (rank := ranks.get(word[left:end])) is not None:
+            heappush(pairs, (rank, left, end))
+    return [ranks.get(word[i:end], NO_RANK) for i, end in enumerate(ends) if end]
+
+
+def merged_text(word: str, ranks: Mapping[bytes, int]) -> str:
+    return ",".join(map(str, merged(word.encode("utf-8", "surrogatepass"), ranks)))
+
+
+def merged_rows(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+    """(word) to (word, ids)."""
+    for batch in batches:
+        ids = [merged_text(w, ranks.value) for w in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string())], ["word", "ids"])
 
 
-def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``(word, ids)``: at most ``most`` of the words that all documents have most often, folded once; staged.
+def frequent_words(docs: DataFrame, ranks, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
+    """``(word, ids)``: at most ``most`` of the words that all documents have most often, merged once; staged.
 
     Words enter by steps of their count, an eighth of a power of two wide; the last step that would not fit as a whole stays out.
     """
@@ -128,7 +103,7 @@ def frequent_words(docs: DataFrame, path: str, text_col: str = "text", most: int
         room, first = room - r["size"], r.step
     top = counts.where(F.col("step") >= first) if first is not None else counts.limit(0)
     spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but much work for each
-    return stage(spread.select("word", let(rank_map(path), lambda ranks: fold_word(F.col("word"), ranks)).alias("ids")), "folded")
+    return stage(spread.select("word").mapInArrow(lambda it: merged_rows(it, ranks), "word string, ids string"), "merged")
 
 
 def word_hashes(some: list[str]) -> np.ndarray:
@@ -166,8 +141,8 @@ def found_words(table: WordTable, some: list[str]) -> np.ndarray:
     return np.where((table.keys[at] == hashes[:, 0]) & (table.checks[at] == hashes[:, 1]), at, -1)
 
 
-def known_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """(row, text) to (row, ready, open): ids of known words between the words that are not known, and those words."""
+def encoded_rows(batches: Iterator[pa.RecordBatch], shared, ranks, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) to (row, ids); the distinct words of a block are looked up, and merged where the table lacks them."""
     import regex
 
     cut = regex.compile(PATTERN).findall
@@ -180,23 +155,24 @@ def known_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> I
                 rows.append(cut(text))
                 size, end = size + len(text), end + 1
             distinct = list({w: None for row in rows for w in row})
-            ids = {w: table.ids_of(i) if i >= 0 else None for w, i in zip(distinct, found_words(table, distinct).tolist())}
-            ready, left = [], []
-            for row in rows:
-                runs, missing, run = [], [], []
-                for w in row:
-                    if (found := ids[w]) is None:
-                        runs.append(",".join(run))
-                        missing.append(w)
-                        run = []
-                    else:
-                        run.append(found)
-                runs.append(",".join(run))
-                ready.append(runs)
-                left.append(missing)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(start, end - start), pa.array(ready, pa.list_(pa.string())), pa.array(left, pa.list_(pa.string()))],
-                ["_row", "_ready", "_open"])
+            ids = {w: table.ids_of(i) if i >= 0 else merged_text(w, ranks.value) for w, i in zip(distinct, found_words(table, distinct).tolist())}
+            coded = [",".join(map(ids.__getitem__, row)) for row in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(coded, pa.string())], ["_row", "_ids"])
+            start = end
+
+
+def decoded_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """(row, ids) to (row, bytes)."""
+    pieces = {str(rank): piece for piece, rank in shared.value.items()}
+    for batch in batches:
+        start = 0
+        while start < batch.num_rows:
+            out, size, end = [], 0, start
+            while end < batch.num_rows and size < block_chars:
+                ids = batch.column(1)[end].as_py()
+                out.append(None if ids is None else b"".join([pieces.get(i, b"") for i in ids.split(",")]))
+                size, end = size + len(ids or ""), end + 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(out, pa.binary())], ["_row", "_decoded"])
             start = end
 
 
@@ -207,26 +183,23 @@ def others(docs: DataFrame, name: str) -> list[Column]:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with their ids, as text joined by commas."""
-    table = frequent_words(docs, path, text_col, most).toArrow()  # at most ``most`` rows
-    table = word_table(table.column("word").to_pylist(), table.column("ids").to_pylist())
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+    context = docs.sparkSession.sparkContext
+    ranks = context.broadcast(load_ranks(path))
+    table = frequent_words(docs, ranks, text_col, most).toArrow()  # at most ``most`` rows
+    shared = context.broadcast(word_table(table.column("word").to_pylist(), table.column("ids").to_pylist()))
     rows = docs.select(F.struct("*").alias("_row"), whole_text(F.col(text_col)).alias("_text"))
-    strings = T.ArrayType(T.StringType())
-    out = T.StructType([rows.schema.fields[0], T.StructField("_ready", strings), T.StructField("_open", strings)])
-    rows = rows.mapInArrow(lambda it: known_rows(it, shared, block_chars), out)
-    folded = let(rank_map(path), lambda ranks: F.transform("_open", lambda w: fold_word(w, ranks)))
-    pairs = F.flatten(F.transform(F.arrays_zip(F.col("_ready").alias("r"), folded.alias("o")), lambda x: F.array(x["r"], x["o"])))
-    ids = F.array_join(F.filter(pairs, lambda x: x != ""), ",")
-    return rows.select(*others(docs, ids_col), ids.alias(ids_col))
+    out = T.StructType([rows.schema.fields[0], T.StructField("_ids", T.StringType())])
+    rows = rows.mapInArrow(lambda it: encoded_rows(it, shared, ranks, block_chars), out)
+    return rows.select(*others(docs, ids_col), F.col("_ids").alias(ids_col))
 
 
-def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with the bytes that their ids stand for."""
-    by_rank = {rank: piece.hex() for piece, rank in load_ranks(path).items()}
-    pieces = F.from_json(F.lit(json.dumps([by_rank.get(i) for i in range(max(by_rank) + 1)])), "array<string>")
-    rows = docs.select(F.struct("*").alias("_row"), F.split(F.col(ids_col), ",").alias("_ids"))
-    hexed = let(pieces, lambda table: F.array_join(F.transform("_ids", lambda i: F.get(table, i.try_cast("int"))), ""))
-    return rows.select(*others(docs, out_col), F.unhex(hexed).alias(out_col))
+    shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
+    rows = docs.select(F.struct("*").alias("_row"), F.col(ids_col).cast("string").alias("_ids"))
+    out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
+    rows = rows.mapInArrow(lambda it: decoded_rows(it, shared, block_chars), out)
+    return rows.select(*others(docs, out_col), F.col("_decoded").alias(out_col))
 
 
 def token_count(ids: Column) -> Column:

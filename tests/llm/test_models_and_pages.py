@@ -51,6 +51,21 @@ def test_bpe_in_blocks(spark, edge, edge_rows, vocabulary):
     assert bpe.decode(bpe.encode(edge, vocabulary), vocabulary).count() == len(edge_rows)
 
 
+def test_bpe_merges_long_words_in_less_than_square_time(spark, vocabulary):
+    """One word of many letters, in no table; a merge that copies the word takes minutes for it."""
+    import random
+    import time
+
+    import public_tokenizers
+
+    coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(vocabulary), special_tokens={})
+    texts = ["".join(random.Random(i).choices("etaoinshrdlé", k=60_000)) for i in range(2)]
+    start = time.time()
+    got = bpe.encode(spark.createDataFrame([(t,) for t in texts], "text string"), vocabulary).collect()
+    assert time.time() - start < 60
+    assert sorted(r.ids for r in got) == sorted(",".join(map(str, coder.encode_ordinary(t))) for t in texts)
+
+
 def test_word_table_tells_words_apart():
     words = [f"w{i}" for i in range(500)]
     table = bpe.word_table(words[:300], [",".join(map(str, range(i % 4 + 1))) for i in range(300)])
