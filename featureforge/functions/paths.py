@@ -16,7 +16,7 @@ def path_points(record: Column | str) -> Column:
     record = F.col(record) if isinstance(record, str) else record
     xs = F.regexp_extract_all(record, F.lit(POINT), F.lit(1))
     ys = F.regexp_extract_all(record, F.lit(POINT), F.lit(2))
-    return F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+    return F.arrays_zip(xs.alias("x"), ys.alias("y"))
 
 
 def fold_path(points: Column) -> Column:
@@ -58,14 +58,12 @@ def sections(text: Column | str, names=("SPECIALNETS", "NETS"), whole_word: bool
     """
     text = F.col(text) if isinstance(text, str) else text
     edge = r"(?<!\w)" if whole_word else ""
-    found = [
-        F.nullif(
-            F.regexp_extract(text, rf"(?s){edge}{n}\s+\d+\s*;(.*?END\s+{n})", 1), F.lit("")
-        )
-        for n in names
-    ]
-    bodies = F.array_compact(F.array(*found))
-    return F.when(F.size(bodies) > 0, bodies).otherwise(F.array(text))
+    # a search only where the name occurs, and each list made once: conditions repeat what they are given
+    found = F.array(*[
+        F.when(F.contains(text, F.lit(n)), F.regexp_extract(text, rf"(?s){edge}{n}\s+\d+\s*;(.*?END\s+{n})", 1)) for n in names
+    ])
+    bodies = F.filter(found, lambda body: body != "")
+    return F.transform(F.array(bodies), lambda some: F.when(F.size(some) > 0, some).otherwise(F.array(text)))[0]
 
 
 def path_sums(text: Column | str, whole_word: bool = True) -> Column:

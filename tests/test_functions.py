@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from featureforge.functions import fixed_values as fixed
 from featureforge.functions.jsonmaps import REPORT_SCHEMA, map_rollup, pick_entry
 from featureforge.functions.keys import LABEL_KEY, LOG_KEY, REPORT_KEY, parse_key
-from featureforge.functions.paths import path_length
+from featureforge.functions.paths import path_length, sections
 from featureforge.functions.text import (
     count_lines, count_lines_where, count_names, count_pattern, extract_first, extract_last, fmt_mean_std, guide_line,
     map_values, nesting_depth, safe_name, strip_comments, violation_line,
@@ -95,6 +95,16 @@ def test_path_length(spark):
     assert run(both, whole_word=False).length == 10
 
 
+def test_each_section_is_searched_once(spark, capsys):
+    """A condition repeats the searches that it is given."""
+    texts = ["NETS 1 ;\n - a\nEND NETS", "SPECIALNETS 1 ; b END SPECIALNETS", "NETS without an end", "", None]
+    found = spark.createDataFrame([(t,) for t in texts], "text string").select("text", sections("text").alias("bodies"))
+    got = {r.text: r.bodies for r in found.collect()}
+    assert got == {texts[0]: ["\n - a\nEND NETS"], texts[1]: [" b END SPECIALNETS"], **{t: [t] for t in texts[2:]}}
+    found.explain()
+    assert capsys.readouterr().out.count("regexp_extract(") == 2
+
+
 def test_json_maps(spark):
     texts = [
         '{"modules": {"a": {"num_cells": 3, "num_wires": null}, "b": {"num_cells": 3}}}',
