@@ -161,15 +161,15 @@ def encoded_rows(batches: Iterator[pa.RecordBatch], shared, ranks, block_chars:
             start = end
 
 
-def decoded_rows(batches: Iterator[pa.RecordBatch], shared, block_chars: int) -> Iterator[pa.RecordBatch]:
-    """(row, ids) to (row, bytes)."""
+def decoded_rows(batches: Iterator[pa.RecordBatch], shared, ids_col: str, block_chars: int) -> Iterator[pa.RecordBatch]:
+    """(row) with ids to (row, bytes)."""
     pieces = {str(rank): piece for piece, rank in shared.value.items()}
     for batch in batches:
-        start = 0
+        start, coded = 0, batch.column(0).field(ids_col)
         while start < batch.num_rows:
             out, size, end = [], 0, start
             while end < batch.num_rows and size < block_chars:
-                ids = batch.column(1)[end].as_py()
+                ids = coded[end].as_py()
                 out.append(None if ids is None else b"".join([pieces.get(i, b"") for i in ids.split(",")]))
                 size, end = size + len(ids or ""), end + 1
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(out, pa.binary())], ["_row", "_decoded"])
@@ -196,9 +196,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "i
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents with the bytes that their ids stand for."""
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    rows = docs.select(F.struct("*").alias("_row"), F.col(ids_col).cast("string").alias("_ids"))
+    rows = docs.select(F.struct("*").alias("_row"))
     out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
-    rows = rows.mapInArrow(lambda it: decoded_rows(it, shared, block_chars), out)
+    rows = rows.mapInArrow(lambda it: decoded_rows(it, shared, ids_col, block_chars), out)
     return rows.select(*others(docs, out_col), F.col("_decoded").alias(out_col))
 
 
