@@ -31,6 +31,7 @@ other columns are not read. Sets cover whole texts; shingles are told apart by 6
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,21 +41,25 @@ from featureforge.llm.common import FILTER_SETTINGS, settings, whole_text
 from featureforge.llm.links import components
 from featureforge.staging import stage
 
-#: Coordinates of a signature, and bits of a sketch (two longs).
+#: Coordinates of a signature, and bits of a sketch (two longs); each of both has a mark of one byte.
 COORDINATES, BITS = 64, 128
 #: Bits in which sketches of a pair at the threshold may differ: mean 12.8, standard deviation 3.4.
 MOST_DIFFERENT = 30
+#: Marks in which a pair at the threshold may differ: mean 38.4, standard deviation 5.5 (5e-6 differ in more).
+MOST_APART = 64
 TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
 #: Sets on each side of a block in which a crowded node is compared exhaustively.
 SIDE = 256
-#: Members of a crowded node that all are compared with, and sets of a block in which sketches are compared.
-LEADERS, SKETCHES = 3, 2048
+#: Members of a crowded node that all are compared with, and sets of its main component in a block that the few others are compared with.
+LEADERS, SKETCHES = 3, 512
 #: Times that the likeliest pair of each two components is confirmed before all other pairs are.
 ROUNDS = 0
 PERCENT = 80
 MASK = 0xFFFFFFFFFFFFFFFF
 #: Rows of a block in which minima are taken.
 BLOCK = 8192
+#: Texts of 2 KB are handed to Python in batches of some MB.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -93,27 +98,42 @@ def minima(values: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def feature_rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text_key, text) to (doc_id, text_key, n_shingles, digest, signature, s1, s2)."""
+    """(doc_id, text_key, text) to (doc_id, text_key, n_shingles, digest, signature, marks, s1, s2)."""
     from hashlib import blake2b
 
     factors = multipliers(COORDINATES + BITS, 9)
     for batch in batches:
-        counts, digests, signatures, sketches = [], [], [], []
+        counts, digests, signatures, marks, sketches = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             values = shingles(text, size)
             counts.append(len(values))
             if not len(values):
-                digests.append(None), signatures.append(None), sketches.append((0, 0))
+                digests.append(None), signatures.append(None), marks.append(None), sketches.append((0, 0))
                 continue
             least = minima(values, factors)
-            bits = np.packbits((mixed(least[COORDINATES:].astype(np.uint64)) & np.uint64(1)).astype(np.uint8))
+            mark = mixed(least.astype(np.uint64)).astype(np.uint8)
+            bits = np.packbits(mark[COORDINATES:] & 1)
             digests.append(blake2b(values.tobytes(), digest_size=16).digest())
             signatures.append(least[:COORDINATES].tobytes())
+            marks.append(mark.tobytes())
             sketches.append(tuple(bits.view(np.int64).tolist()))
         yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()),
+            batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary()), pa.array(marks, pa.binary()),
             pa.array([s[0] for s in sketches], pa.int64()), pa.array([s[1] for s in sketches], pa.int64()),
-        ], ["doc_id", "text_key", "n_shingles", "digest", "signature", "s1", "s2"])
+        ], ["doc_id", "text_key", "n_shingles", "digest", "signature", "marks", "s1", "s2"])
+
+
+def marks_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """One row of marks for each row of the column."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES + BITS)
+
+
+def sifted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, ca, cb, marks_a, marks_b) to the pairs (a, b, ca, cb, far) whose marks may reach the threshold."""
+    for batch in batches:
+        far = (marks_of(batch.column(4)) != marks_of(batch.column(5))).sum(axis=1)
+        kept = pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(far.astype(np.int64))], ["a", "b", "ca", "cb", "far"])
+        yield kept.filter(pa.array(far <= MOST_APART))
 
 
 def branches(paths: np.ndarray, rows: np.ndarray, signatures: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,10 +198,9 @@ def confirm_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links that join different components, among (i, j, member, node, component, text) of one block pair; all pairs across are compared."""
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    nodes, member = np.asarray(rows.column("node")), np.asarray(rows.column("member"))
+def joining_links(rows: pa.Table, lefts: np.ndarray, rights: np.ndarray, size: int, percent: int) -> pa.Table:
+    """Links (a, b) that join different components, between the rows ``lefts`` and ``rights`` of (node, component, text); all pairs are compared."""
+    nodes, of = np.asarray(rows.column("node")), rows.column("component").to_pylist()
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -193,15 +212,13 @@ def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
     lengths = np.array([len(s) for s in sets])
     known, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(lengths)])
-    of = rows.column("component").to_pylist()
-    right = np.flatnonzero(member == j)
     a_found, b_found = [], []
-    for a in np.flatnonzero(member == i):
+    for a in lefts:
         mark = np.zeros(len(known), np.int64)
         mark[codes[starts[a]:starts[a + 1]]] = 1
         common = np.add.reduceat(mark[codes], starts[:-1])  # no set is empty
         near = 100 * common >= percent * (lengths[a] + lengths - common)
-        for b in right[near[right]]:
+        for b in rights[near[rights]]:
             ra, rb = find(of[a]), find(of[b])
             if ra != rb:
                 parent[max(ra, rb)] = min(ra, rb)
@@ -210,6 +227,17 @@ def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(a_found, pa.int64()), "b": pa.array(b_found, pa.int64())})
 
 
+def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links that join different components, among (i, j, member, node, component, text) of one block pair."""
+    i, j, member = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.asarray(rows.column("member"))
+    return joining_links(rows, np.flatnonzero(member == i), np.flatnonzero(member == j), size, percent)
+
+
+def other_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links that join different components, between the other sets and all sets of one block of (other, node, component, text)."""
+    return joining_links(rows, np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False)), np.arange(rows.num_rows), size, percent)
+
+
 def crowded_links(large: DataFrame, joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
     """Links between the components ``joined(node, component)`` within the tree nodes ``large(path, node)``; staged.
 
@@ -243,32 +271,31 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     """Those of ``pairs(a, b)`` that reach the threshold on the full sets of their texts; staged."""
     with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
+    with settings(pairs.sparkSession, BATCHES):
+        return stage(with_b.select("a", "b", "text_a", "text_b").mapInArrow(lambda it: confirm_rows(it, size, percent), "a long, b long"), "confirmed")
 
 
-def sketch_pairs(rows: pa.Table, percent: int, best: bool) -> pa.Table:
-    """Pairs (a, b, far) across components that may reach the threshold, between the other sets and all sets of one block; with ``best`` the likeliest of each set and component.
+def candidates(rows: pa.Table, percent: int) -> pa.Table:
+    """The sets of one block that another component's set in it may be linked with, where one of both is an other set.
 
-    Rows are (path, block, other, node, component, n_shingles, s1, s2).
+    Rows are (path, block, other, node, component, n_shingles, s1, s2, marks); the first five are returned.
     """
-    nodes, part, size = (np.asarray(rows.column(c)) for c in ("node", "component", "n_shingles"))
+    part, size = np.asarray(rows.column("component")), np.asarray(rows.column("n_shingles"))
     bits = np.stack([np.asarray(rows.column(c)).view(np.uint64) for c in ("s1", "s2")], axis=1)
-    others = np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False))
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    for i in others:
-        far = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
+    marks = marks_of(rows.column("marks"))
+    kept = np.zeros(rows.num_rows, bool)
+    for i in np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False)):
+        differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
         fits = np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
-        at = np.flatnonzero((far <= MOST_DIFFERENT) & fits & (part != part[i]))
-        if best:
-            at = at[np.argsort(far[at], kind="stable")]
-            at = at[np.unique(part[at], return_index=True)[1]]
-        found.append((np.minimum(nodes[at], nodes[i]), np.maximum(nodes[at], nodes[i]), far[at]))
-    columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 3
-    return pa.table(dict(zip("a b far".split(), map(pa.array, columns))))
+        at = np.flatnonzero((differ <= MOST_DIFFERENT) & fits & (part != part[i]))
+        at = at[(marks[at] != marks[i]).sum(axis=1) <= MOST_APART]
+        kept[at] = True
+        kept[i] |= len(at) > 0
+    return rows.select(["path", "block", "other", "node", "component"]).filter(pa.array(kept))
 
 
 def leader_pairs(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``(a, b, far)``: the sets of each tree node ``large(path, node)`` with its leaders."""
+    """``(a, b)``: the sets of each tree node ``large(path, node)`` with its leaders."""
     draws = [F.min(F.struct(F.xxhash64("node", "path", F.lit(i)).alias("h"), "node"))["node"] for i in range(LEADERS)]
     leaders = large.groupBy("path").agg(F.array_distinct(F.array(*draws)).alias("leaders"))
     pairs = large.join(leaders, "path").select("node", F.explode("leaders").alias("leader")).where(F.col("node") != F.col("leader"))
@@ -276,13 +303,13 @@ def leader_pairs(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
     b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
     found = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    return found.where(near(percent)).select("a", "b", different().alias("far"))
+    return found.where(near(percent)).select("a", "b")
 
 
 def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
     """``(path, node, component, main, others, mains)`` of the tree nodes with several components, where ``main`` is the largest; staged."""
     found = joined.select("node", F.col("component").alias("known"))
-    large = large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component"))
+    large = stage(large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component")), "parts")
     shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
     shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
     shape = shape.where(F.col("size") > F.col("most.n")).select(
@@ -290,35 +317,55 @@ def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
     return stage(large.join(shape, "path"), "mixed")
 
 
-def few_pairs(few: DataFrame, known: DataFrame, percent: int, best: bool) -> DataFrame:
-    """``(a, b, far)`` across components in tree nodes with few sets outside the main one: these meet every block of the main one's sets."""
+def few_links(few: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between the components of the mixed nodes ``few``, whose few sets outside the main component meet every block of that one's sets; staged.
+
+    Sketches and marks choose the sets whose texts are read; a block's sets are compared in its task, which hands on links only.
+    """
+    known = classes.select("node", "n_shingles", "s1", "s2", "marks")
     other = F.col("component") != F.col("main")
     blocks = F.ceil(F.col("mains") / SKETCHES).cast("int")
     block = F.when(other, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "path"), blocks).cast("int")))
     dealt = few.select("path", "node", "component", other.alias("other"), F.explode(block).alias("block")).join(known, "node").select(
-        "path", "block", "other", "node", "component", "n_shingles", "s1", "s2")
-    return dealt.groupBy("path", "block").applyInArrow(lambda rows: sketch_pairs(rows, percent, best), "a long, b long, far long")
+        "path", "block", "other", "node", "component", "n_shingles", "s1", "s2", "marks")
+    chosen = stage(dealt.groupBy("path", "block").applyInArrow(
+        lambda rows: candidates(rows, percent), "path long, block int, other boolean, node long, component long"), "chosen")
+    if chosen.isEmpty():
+        return None
+    texts = texts_of(chosen.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs)
+    return stage(chosen.join(texts, "node").groupBy("path", "block").applyInArrow(
+        lambda rows: other_links(rows.select(["other", "node", "component", "text"]), size, percent), "a long, b long"), "few")
+
+
+def apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Those of ``pairs(a, b, ...)`` between different components, with these as ``ca`` and ``cb``."""
+    if joined is None:
+        return pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    left = joined.select(F.col("node").alias("a"), F.col("component").alias("_ca"))
+    right = joined.select(F.col("node").alias("b"), F.col("component").alias("_cb"))
+    pairs = pairs.drop("ca", "cb").join(left, "a", "left").join(right, "b", "left")
+    return pairs.withColumns({"ca": F.coalesce("_ca", "a"), "cb": F.coalesce("_cb", "b")}).drop("_ca", "_cb").where(F.col("ca") != F.col("cb"))
+
+
+def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """``(a, b, ca, cb, far)``: those of ``pairs(a, b, ca, cb)`` whose marks may reach the threshold; ``far`` counts the marks that differ."""
+    a = classes.select(F.col("node").alias("a"), F.col("marks").alias("marks_a"))
+    b = classes.select(F.col("node").alias("b"), F.col("marks").alias("marks_b"))
+    both = pairs.join(a, "a").join(b, "b").select("a", "b", "ca", "cb", "marks_a", "marks_b")
+    return both.mapInArrow(sifted_rows, "a long, b long, ca long, cb long, far long")
 
 
 def join_up(
     pairs: DataFrame, links: DataFrame | None, joined: DataFrame | None, classes: DataFrame, docs: DataFrame, size: int, percent: int,
 ) -> tuple[DataFrame, DataFrame]:
-    """Links and components with what the candidates ``pairs(a, b, far)`` add, confirmed as far as they may join components.
+    """Links and components with what the candidates ``pairs(a, b)`` add, confirmed as far as they may join components.
 
     First the likeliest pair of each set, then ``ROUNDS`` times that of each two components (more rounds
     confirm fewer pairs and compute components more often), then all that are still apart.
     """
-    def apart(some: DataFrame) -> DataFrame:
-        ca, cb = F.col("a").alias("ca"), F.col("b").alias("cb")
-        if joined is None:
-            return some.select("a", "b", "far", ca, cb)
-        left = joined.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-        right = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-        some = some.select("a", "b", "far").join(left, "a", "left").join(right, "b", "left")
-        some = some.select("a", "b", "far", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb"))
-        return some.where(F.col("ca") != F.col("cb"))
-
-    open_ = stage(apart(pairs.groupBy("a", "b").agg(F.min("far").alias("far"))), "pairs")
+    open_ = stage(sifted(apart(pairs.distinct(), joined), classes), "pairs")
+    if joined is not None and open_.isEmpty():
+        return links, joined
     texts = texts_of(open_, classes, docs)
     for i in range(ROUNDS + 2):
         if i == 0:
@@ -335,7 +382,9 @@ def join_up(
         if joined is None or not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             joined = stage(components(links), "components")
-        open_ = stage(apart(open_.join(tried, ["a", "b"], "left_anti")), "open")
+        if i > ROUNDS:
+            break
+        open_ = stage(apart(open_.join(tried, ["a", "b"], "left_anti"), joined), "open")
         if open_.isEmpty():
             break
     return links, joined
@@ -344,7 +393,7 @@ def join_up(
 def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percent: int) -> DataFrame:
     """``(node, component)`` of every node that has a link."""
     known = classes.select("node", "n_shingles", "s1", "s2")
-    found, still, links, joined = [], None, None, None
+    found, fewer, still, links, joined = [], [], None, None, None
     rows = stage(classes.select("node", "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
     for level in range(STEP, DEPTH + 1, STEP):
         sizes = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
@@ -352,7 +401,7 @@ def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percen
         a = small.select("path", *[F.col(c).alias(f"{c}_a") for c in known.columns])
         b = small.select("path", *[F.col(c).alias(f"{c}_b") for c in known.columns])
         meet = a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent))
-        found.append(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), different().alias("far")))
+        found.append(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
         crowded = sizes.where(F.col("size") > LEAF).select("path")
         if crowded.isEmpty():
             break
@@ -360,12 +409,7 @@ def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percen
         if level == STEP:
             links, joined = join_up(leader_pairs(large, known, percent), links, joined, classes, docs, size, percent)
         mixed = mixed_nodes(large, joined)
-        few = mixed.where(F.col("others") <= LEAF)
-        if not few.isEmpty():
-            if level == STEP:
-                links, joined = join_up(few_pairs(few, known, percent, True), links, joined, classes, docs, size, percent)
-                few = mixed_nodes(few.select("path", "node"), joined)
-            found.append(few_pairs(few, known, percent, False))
+        fewer.append(mixed.where(F.col("others") <= LEAF).select("path", "node"))
         many = mixed.where(F.col("others") > LEAF).select("path", "node")
         if many.isEmpty():
             break
@@ -374,13 +418,15 @@ def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percen
         else:
             deeper = many.join(classes.select("node", "signature"), "node").select("node", "signature", "path")
             rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    links, joined = join_up(pairs, links, joined, classes, docs, size, percent)
-    more = None if still is None else crowded_links(still, joined, classes, docs, size, percent)
-    if more is not None and not more.isEmpty():
-        joined = stage(components(links.unionByName(more)), "components")
+    links, joined = join_up(reduce(DataFrame.unionByName, found), links, joined, classes, docs, size, percent)
+    more = []
+    if fewer and not (few := mixed_nodes(reduce(DataFrame.unionByName, fewer), joined)).isEmpty():
+        more.append(few_links(few, classes, docs, size, percent))
+    if still is not None:
+        more.append(crowded_links(still, joined, classes, docs, size, percent))
+    more = [m for m in more if m is not None and not m.isEmpty()]
+    if more:
+        joined = stage(components(reduce(DataFrame.unionByName, more, links)), "components")
     return joined
 
 
@@ -404,11 +450,12 @@ def near_duplicates(
     text = whole_text(F.col(text_col))
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    features = stage(source.mapInArrow(
-        lambda it: feature_rows(it, size),
-        f"doc_id {kind}, text_key long, n_shingles long, digest binary, signature binary, s1 long, s2 long"), "features")
+    with settings(docs.sparkSession, BATCHES):
+        features = stage(source.mapInArrow(
+            lambda it: feature_rows(it, size),
+            f"doc_id {kind}, text_key long, n_shingles long, digest binary, signature binary, marks binary, s1 long, s2 long"), "features")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col("text_key"))
-    rest = F.first(F.struct("n_shingles", "signature", "s1", "s2"))
+    rest = F.first(F.struct("n_shingles", "signature", "marks", "s1", "s2"))
     classes = features.where(F.col("n_shingles") > 0).groupBy("digest").agg(F.min(first).alias("f"), rest.alias("r"))
     classes = stage(classes.select("digest", F.monotonically_increasing_id().alias("node"), "f.id", "f.text_key", "r.*"), "classes")
 

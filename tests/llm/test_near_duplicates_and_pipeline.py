@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
+from featureforge import staging
 from featureforge.llm import chosen_path
 from featureforge.llm.links import components
 
@@ -110,6 +111,31 @@ def test_crowded_node_without_a_leader(spark, monkeypatch):
     assert missed <= 0.02 * len(linked)
 
 
+def test_few_others_near_a_large_component(spark, monkeypatch):
+    """40 sets at a likeness of 0.75 to all 300 of a component: their pairs are compared in tasks, not made rows."""
+    made = defaultdict(list)
+
+    def counted(df, label="stage"):
+        out = staging.stage(df, label)
+        made[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stage", counted)
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    rows = []
+    for c in range(340):
+        copy = list(words)
+        for at in rng.sample(range(1, 199, 2), 9 if c >= 300 else 5):
+            copy[at] = f"c{rng.randrange(10**9)}"
+        rows.append((c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = chosen_path.near_duplicates(docs).collect()
+    check(got, rows)
+    assert sum(r.component_id == 0 for r in got) >= 300
+    assert made["pairs"][-1] < 2_000
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100, i) for i in range(101, 140)]
