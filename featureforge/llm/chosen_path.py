@@ -9,17 +9,18 @@ sets are compared exhaustively. In a larger one, first all sets are compared wit
 ``LEADERS`` of them, drawn anew for each tree node, and the links that this
 confirms are made components. Pairs inside a component need no more looks: a
 tree node of one component is done; one in which at most ``LEAF`` sets lie
-outside the largest component compares these with all others, in blocks; only
-what is still mixed branches on. What is mixed at the last level is compared on
+outside the largest component compares these with all others at the end, in
+blocks that hand on links only; only what is still mixed branches on. What is mixed at the last level is compared on
 full sets across its components, in blocks of at most ``SIDE`` by ``SIDE`` sets.
 
 Elsewhere, pairs whose one-bit sketches differ too much or whose sizes rule the
-threshold out are dropped; the others are confirmed on the full sets: first the
+threshold out are dropped, and then those whose marks, one byte of every minimum,
+differ too much; the others are confirmed on the full sets: first the
 likeliest link of each set, then every pair that the links so far have not joined.
 
 A pair at the threshold survives ``STEP`` levels of one tree with probability
 0.64, nine levels with 0.37, twelve with 0.32; ``TREES`` trees miss it with 6e-7,
-0.0015 and 0.005. Levels beyond the first three are only reached inside crowded
+0.0015 and 0.005. Sketches drop it with 3e-6 more, marks with 5e-6. Levels beyond the first three are only reached inside crowded
 tree nodes.
 
 Defined results: null or empty text, and text without words, is linked with
