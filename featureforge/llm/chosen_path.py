@@ -5,9 +5,9 @@ graph. Nodes branch down independent trees: a tree node selects coordinates of
 a minwise signature, one and with probability 1/4 a second (1 / 0.8 in the
 mean, so that a pair at the threshold keeps one common branch in the mean), and
 passes each set on by its minwise token there. Tree nodes of at most ``LEAF``
-sets are compared exhaustively. In a larger one, first all sets are compared with
-``LEADERS`` of them, drawn anew for each tree node, and the links that this
-confirms are made components. Pairs inside a component need no more looks: a
+sets are compared exhaustively. In a larger one, first all sets meet
+``LEADERS`` of them, drawn anew for each tree node, by sketch; each set's
+``TRIED`` likeliest ones are confirmed, and the links made components. Pairs inside a component need no more looks: a
 tree node of one component is done; one in which at most ``LEAF`` sets lie
 outside the largest component compares these with all others at the end, in
 blocks that hand on links only; only what is still mixed branches on. What is mixed at the last level is compared on
@@ -53,6 +53,8 @@ TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
 SIDE = 256
 #: Members of a crowded node that all are compared with, and sets of its main component in a block that the few others are compared with.
 LEADERS, SKETCHES = 3, 512
+#: Leaders that a set is compared with on full sets; it is tried again only with leaders that these links have not joined it with.
+TRIED = 3
 #: Times that the likeliest pair of each two components is confirmed before all other pairs are.
 ROUNDS = 0
 PERCENT = 80
@@ -154,21 +156,25 @@ def branches(paths: np.ndarray, rows: np.ndarray, signatures: np.ndarray) -> tup
     )
 
 
+#: What tree nodes know of their sets, and the type of rows (path, node, ...) with it.
+KNOWN = ["node", "n_shingles", "s1", "s2"]
+PATHS = "path long, node long, n_shingles long, s1 long, s2 long"
+
+
 def path_rows(batches: Iterator[pa.RecordBatch], trees: int, levels: int) -> Iterator[pa.RecordBatch]:
-    """(node, signature[, path]) to (path, node), ``levels`` further down; without a path from the roots."""
+    """(node, n_shingles, s1, s2, signature[, path]) to (path, node, n_shingles, s1, s2), ``levels`` further down; without a path from the roots."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        nodes = np.asarray(batch.column(0))
-        signatures = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(n, COORDINATES)
-        if batch.num_columns == 3:
-            paths, rows = np.asarray(batch.column(2)).view(np.uint64), np.arange(n)
+        signatures = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint32).reshape(n, COORDINATES)
+        if batch.num_columns == 6:
+            paths, rows = np.asarray(batch.column(5)).view(np.uint64), np.arange(n)
         else:
             paths, rows = np.tile(mixed(np.arange(1, trees + 1, dtype=np.uint64)), n), np.repeat(np.arange(n), trees)
         for _ in range(levels):
             paths, rows = branches(paths, rows, signatures)
-        yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), pa.array(nodes[rows])], ["path", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), *[batch.column(i).take(pa.array(rows)) for i in range(4)]], ["path", *KNOWN])
 
 
 #: Shingles of sets that a task keeps while it confirms pairs.
@@ -295,22 +301,45 @@ def candidates(rows: pa.Table, percent: int) -> pa.Table:
     return rows.select(["path", "block", "other", "node", "component"]).filter(pa.array(kept))
 
 
-def leader_pairs(large: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """``(a, b)``: the sets of each tree node ``large(path, node)`` with its leaders."""
-    draws = [F.min(F.struct(F.xxhash64("node", "path", F.lit(i)).alias("h"), "node"))["node"] for i in range(LEADERS)]
-    leaders = large.groupBy("path").agg(F.array_distinct(F.array(*draws)).alias("leaders"))
-    pairs = large.join(leaders, "path").select("node", F.explode("leaders").alias("leader")).where(F.col("node") != F.col("leader"))
-    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    a = known.select(*[F.col(c).alias(f"{c}_a") for c in known.columns])
-    b = known.select(*[F.col(c).alias(f"{c}_b") for c in known.columns])
-    found = pairs.join(a, F.col("a") == F.col("node_a")).join(b, F.col("b") == F.col("node_b"))
-    return found.where(near(percent)).select("a", "b")
+def with_leaders(large: DataFrame) -> DataFrame:
+    """``large(path, node, ...)`` with the array ``leaders`` of its tree node's leaders, as structs of the other columns."""
+    rest = [c for c in large.columns if c != "path"]
+    draws = [F.min(F.struct(F.xxhash64("node", "path", F.lit(i)).alias("h"), *rest)) for i in range(LEADERS)]
+    leaders = large.groupBy("path").agg(F.array_distinct(F.transform(F.array(*draws), lambda d: d.dropFields("h"))).alias("leaders"))
+    return large.join(stage(leaders, "leaders"), "path")
+
+
+def led(leader, percent: int):
+    """Whether a set and a leader of its tree node may reach the threshold."""
+    small, large = F.least("n_shingles", leader["n_shingles"]), F.greatest("n_shingles", leader["n_shingles"])
+    return (leader["node"] != F.col("node")) & (small * 100 >= large * percent) & (differing(leader) <= MOST_DIFFERENT)
+
+
+def differing(leader):
+    return F.bit_count(F.col("s1").bitwiseXOR(leader["s1"])) + F.bit_count(F.col("s2").bitwiseXOR(leader["s2"]))
+
+
+def best_leaders(large: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: each set of the tree nodes ``large(path, node, n_shingles, s1, s2)`` with the ``TRIED`` likeliest leaders, one a tree node, that it may be linked with."""
+    near_ones = F.filter("leaders", lambda x: led(x, percent))
+    best = F.array_min(F.transform(near_ones, lambda x: F.struct(differing(x).alias("differ"), x["node"].alias("leader"))))
+    chosen = with_leaders(large).select("node", best.alias("best")).where(F.col("best").isNotNull()).groupBy("node").agg(
+        F.slice(F.array_sort(F.collect_set("best")), 1, TRIED).alias("best"))  # at most one for each tree node of the set
+    chosen = chosen.select("node", F.explode("best.leader").alias("leader"))
+    return chosen.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+
+
+def leaders_apart(mixed: DataFrame, percent: int) -> DataFrame:
+    """``(a, b)``: each set of the mixed tree nodes with the leaders of other components that it may be linked with."""
+    apart_ones = F.filter("leaders", lambda x: (x["component"] != F.col("component")) & led(x, percent))
+    found = with_leaders(mixed.select("path", "node", "component", "n_shingles", "s1", "s2")).select("node", F.explode(apart_ones).alias("leader"))
+    return found.select(F.least("node", "leader.node").alias("a"), F.greatest("node", "leader.node").alias("b"))
 
 
 def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
-    """``(path, node, component, main, others, mains)`` of the tree nodes with several components, where ``main`` is the largest; staged."""
+    """``(path, node, ..., component, main, others, mains)`` of the tree nodes with several components, where ``main`` is the largest; staged."""
     found = joined.select("node", F.col("component").alias("known"))
-    large = stage(large.join(found, "node", "left").select("path", "node", F.coalesce("known", "node").alias("component")), "parts")
+    large = stage(large.join(found, "node", "left").withColumn("component", F.coalesce("known", "node")).drop("known"), "parts")
     shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
     shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
     shape = shape.where(F.col("size") > F.col("most.n")).select(
@@ -393,33 +422,35 @@ def join_up(
 
 def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percent: int) -> DataFrame:
     """``(node, component)`` of every node that has a link."""
-    known = classes.select("node", "n_shingles", "s1", "s2")
-    found, fewer, still, links, joined = [], [], None, None, None
-    rows = stage(classes.select("node", "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
+    small, looks, fewer, still, links, joined = [], [], [], None, None, None
+    rows = stage(classes.select(*KNOWN, "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), PATHS), "paths")
     for level in range(STEP, DEPTH + 1, STEP):
-        sizes = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > 1), "sizes")
-        small = rows.join(sizes.where(F.col("size") <= LEAF).select("path"), "path").join(known, "node")
-        a = small.select("path", *[F.col(c).alias(f"{c}_a") for c in known.columns])
-        b = small.select("path", *[F.col(c).alias(f"{c}_b") for c in known.columns])
-        meet = a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent))
-        found.append(meet.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-        crowded = sizes.where(F.col("size") > LEAF).select("path")
+        crowded = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > LEAF).select("path"), "crowded_paths")
+        small.append(rows.join(crowded, "path", "left_anti"))
         if crowded.isEmpty():
             break
-        large = stage(rows.join(crowded, "path").select("path", "node").distinct(), "large")
+        large = stage(rows.join(crowded, "path"), "large")
         if level == STEP:
-            links, joined = join_up(leader_pairs(large, known, percent), links, joined, classes, docs, size, percent)
+            tried = stage(best_leaders(large, percent), "tried")
+            links = confirmed(tried, texts_of(tried, classes, docs), size, percent)
+            joined = stage(components(links), "components")
         mixed = mixed_nodes(large, joined)
         fewer.append(mixed.where(F.col("others") <= LEAF).select("path", "node"))
-        many = mixed.where(F.col("others") > LEAF).select("path", "node")
+        many = mixed.where(F.col("others") > LEAF)
         if many.isEmpty():
             break
+        if level == STEP:
+            looks.append(leaders_apart(many, percent))
         if level + STEP > DEPTH:
-            still = many
+            still = many.select("path", "node")
         else:
-            deeper = many.join(classes.select("node", "signature"), "node").select("node", "signature", "path")
-            rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), "path long, node long"), "paths")
-    links, joined = join_up(reduce(DataFrame.unionByName, found), links, joined, classes, docs, size, percent)
+            deeper = many.join(classes.select("node", "signature"), "node").select(*KNOWN, "signature", "path")
+            rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), PATHS), "paths")
+    sets = reduce(DataFrame.unionByName, small)  # a path is one tree node of one level
+    a = sets.select("path", *[F.col(c).alias(f"{c}_a") for c in KNOWN])
+    b = sets.select("path", *[F.col(c).alias(f"{c}_b") for c in KNOWN])
+    meet = a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    links, joined = join_up(reduce(DataFrame.unionByName, looks, meet), links, joined, classes, docs, size, percent)
     more = []
     if fewer and not (few := mixed_nodes(reduce(DataFrame.unionByName, fewer), joined)).isEmpty():
         more.append(few_links(few, classes, docs, size, percent))

@@ -4,6 +4,7 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
 
 import corpus_pipeline
 from featureforge import staging
-from featureforge.llm import chosen_path
+from featureforge.llm import chosen_path, links
 from featureforge.llm.links import components
 
 from samples import prose
@@ -145,6 +146,48 @@ def test_components(spark):
     assert components(edges.where("false")).count() == 0
 
 
+def test_rounds_on_links(spark, monkeypatch):
+    """Tasks make stars of the links they hold, in pieces too: a long chain takes few rounds."""
+    made = []
+    monkeypatch.setattr(links, "stage", lambda df, label="stage": made.append(label) or staging.stage(df, label))
+    ids = random.Random(3).sample(range(10**6), 2_000)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(5, 5)], "a long, b long").repartition(3)
+    want = {(i, min(ids)) for i in ids}
+    assert {(r.node, r.component) for r in components(edges).collect()} == want
+    assert len(made) <= 4
+    monkeypatch.setattr(links, "HELD_NODES", 50)
+    batches = [pa.RecordBatch.from_arrays([pa.array(ids[i:i + 40]), pa.array(ids[i + 1:i + 41])], ["u", "v"]) for i in range(0, 1_900, 40)]
+    stars = list(links.star_rows(iter(batches)))
+    assert len(stars) > 20
+    pieces = [(int(u), int(v)) for b in stars for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    got = components(spark.createDataFrame(pieces, "a long, b long")).collect()
+    assert {r.component for r in got} == {min(ids[:1_921])} and len(got) == 1_921
+
+
+def test_leaders_make_few_rows(spark, monkeypatch):
+    """300 sets of one group meet 3 leaders in each of 14 trees: few candidates of each set are confirmed."""
+    made = defaultdict(list)
+
+    def counted(df, label="stage"):
+        out = staging.stage(df, label)
+        made[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stage", counted)
+    rng = random.Random(7)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    rows = []
+    for c in range(300):
+        copy = list(words)
+        for at in rng.sample(range(1, 199, 2), 4):
+            copy[at] = f"c{rng.randrange(10**9)}"
+        rows.append((c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = chosen_path.near_duplicates(docs).collect()
+    assert {r.component_id for r in got} == {0}
+    assert max(made["pairs"] + made["tried"]) <= 3 * 300
+
+
 @pytest.fixture(scope="module")
 def folder(spark, edge, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
