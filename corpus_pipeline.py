@@ -52,7 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of them and of the bytes they decode to."""
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), queries.vocabulary()).drop("text")
+    coded = bpe.encode(docs, queries.vocabulary(), keep=["doc_id", "source"])
     coded = bpe.decode(coded, queries.vocabulary())
     return coded.select(
         "doc_id", "source", bpe.token_count(F.col("ids")).alias("n_tokens"), sha256_text(F.col("ids")).alias("ids_sha256"),

@@ -21,7 +21,7 @@ with the name of the result is replaced by it. Texts are encoded whole.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
@@ -41,6 +41,10 @@ PATTERN = (
 )
 #: Most words in the table of frequent words, most characters of one, and characters of text whose words are looked up together.
 FREQUENT, LONGEST, BLOCK_CHARS = 1 << 19, 32, 1_000_000
+#: Most bytes of a word that is merged without a heap, and most words whose ids a task keeps from block to block.
+SHORT, KEPT = 64, 1 << 16
+#: The same for ASCII text, which Python's own module cuts faster.
+ASCII_PATTERN = PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace(" ?A-Za-z+| ?0-9+", " ?[A-Za-z]+| ?[0-9]+").replace(SPACE, r"\x09-\x0D\x20")
 NO_RANK = 2**31 - 1
 
 
@@ -55,10 +59,26 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
 
 
+def merged_short(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
+    """Ids of a word of few bytes: the ranks of its neighbouring pairs are a list, searched for the lowest at each merge."""
+    get, ends = ranks.get, list(range(len(word) + 1))  # piece i is word[ends[i]:ends[i + 1]]
+    pairs = [get(word[i:i + 2], NO_RANK) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != NO_RANK:
+        i = pairs.index(least)
+        del pairs[i], ends[i + 1]
+        if i < len(pairs):
+            pairs[i] = get(word[ends[i]:ends[i + 2]], NO_RANK)
+        if i:
+            pairs[i - 1] = get(word[ends[i - 1]:ends[i + 1]], NO_RANK)
+    return [get(word[a:b], NO_RANK) for a, b in zip(ends, ends[1:])]
+
+
 def merged(word: bytes, ranks: Mapping[bytes, int]) -> list[int]:
-    """Ids of one word. Pairs wait in a heap by rank and place, so that a long word costs n log n."""
+    """Ids of one word. Pairs of a long word wait in a heap by rank and place, so that it costs n log n."""
     if (whole := ranks.get(word)) is not None:
         return [whole]
+    if len(word) <= SHORT:
+        return merged_short(word, ranks)
     n = len(word)
     ends, before = list(range(1, n + 1)), list(range(-1, n - 1))  # of the piece that starts here; 0: no longer a start
     pairs = [(rank, i, i + 2) for i in range(n - 1) if (rank := ranks.get(word[i:i + 2])) is not None]
@@ -83,14 +103,16 @@ def merged_text(word: str, ranks: Mapping[bytes, int]) -> str:
 
 
 def merged_rows(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
-    """(word) to (word, ids)."""
+    """(word) to (key, check, ids): the word's hashes and ids."""
     for batch in batches:
-        ids = [merged_text(w, ranks.value) for w in batch.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string())], ["word", "ids"])
+        some = batch.column(0).to_pylist()
+        hashes = word_hashes(some).view(np.int64)
+        ids = [merged_text(w, ranks.value) for w in some]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes[:, 0]), pa.array(hashes[:, 1]), pa.array(ids, pa.string())], ["key", "check", "ids"])
 
 
 def frequent_words(docs: DataFrame, ranks, text_col: str = "text", most: int = FREQUENT) -> DataFrame:
-    """``(word, ids)``: at most ``most`` of the words that all documents have most often, merged once; staged.
+    """``(key, check, ids)``: hashes and ids of at most ``most`` of the words that all documents have most often, merged once; staged.
 
     Words enter by steps of their count, an eighth of a power of two wide; the last step that would not fit as a whole stays out.
     """
@@ -103,7 +125,7 @@ def frequent_words(docs: DataFrame, ranks, text_col: str = "text", most: int = F
         room, first = room - r["size"], r.step
     top = counts.where(F.col("step") >= first) if first is not None else counts.limit(0)
     spread = top.repartition(docs.sparkSession.sparkContext.defaultParallelism, "word")  # few bytes, but much work for each
-    return stage(spread.select("word").mapInArrow(lambda it: merged_rows(it, ranks), "word string, ids string"), "merged")
+    return stage(spread.select("word").mapInArrow(lambda it: merged_rows(it, ranks), "key long, check long, ids string"), "merged")
 
 
 def word_hashes(some: list[str]) -> np.ndarray:
@@ -124,12 +146,21 @@ class WordTable(NamedTuple):
         return self.ids[self.ends[i - 1] if i else 0:self.ends[i]].decode()
 
 
-def word_table(some: list[str], ids: list[str]) -> WordTable:
-    hashes = word_hashes(some)
-    _, order, counts = np.unique(hashes[:, 0], return_index=True, return_counts=True)
+def hashed_table(words: pa.Table) -> WordTable:
+    """The table of (key, check, ids), without a Python object for each word."""
+    keys = np.asarray(words.column("key")).view(np.uint64)
+    _, order, counts = np.unique(keys, return_index=True, return_counts=True)
     order = order[counts == 1]
-    texts = [ids[i].encode() for i in order]
-    return WordTable(hashes[order, 0], hashes[order, 1], np.cumsum([len(t) for t in texts], dtype=np.int64), b"".join(texts))
+    if not len(order):
+        return WordTable(keys[:0], keys[:0], np.empty(0, np.int64), b"")
+    ids = pa.concat_arrays(words.column("ids").cast(pa.large_binary()).chunks).take(pa.array(order))
+    ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[1:].copy()
+    return WordTable(keys[order], np.asarray(words.column("check")).view(np.uint64)[order], ends, ids.buffers()[2].to_pybytes()[:ends[-1]])
+
+
+def word_table(some: list[str], ids: list[str]) -> WordTable:
+    hashes = word_hashes(some).view(np.int64)
+    return hashed_table(pa.table({"key": hashes[:, 0], "check": hashes[:, 1], "ids": pa.array(ids, pa.string())}))
 
 
 def found_words(table: WordTable, some: list[str]) -> np.ndarray:
@@ -143,20 +174,25 @@ def found_words(table: WordTable, some: list[str]) -> np.ndarray:
 
 def encoded_rows(batches: Iterator[pa.RecordBatch], shared, ranks, block_chars: int) -> Iterator[pa.RecordBatch]:
     """(row, text) to (row, ids); the distinct words of a block are looked up, and merged where the table lacks them."""
+    import re
+
     import regex
 
-    cut = regex.compile(PATTERN).findall
+    cut, cut_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+    known: dict[str, str] = {}
     for batch in batches:
         start, table = 0, shared.value
         while start < batch.num_rows:
             rows, size, end = [], 0, start
             while end < batch.num_rows and size < block_chars:
                 text = batch.column(1)[end].as_py()
-                rows.append(cut(text))
+                rows.append(cut_ascii(text) if text.isascii() else cut(text))
                 size, end = size + len(text), end + 1
-            distinct = list({w: None for row in rows for w in row})
-            ids = {w: table.ids_of(i) if i >= 0 else merged_text(w, ranks.value) for w, i in zip(distinct, found_words(table, distinct).tolist())}
-            coded = [",".join(map(ids.__getitem__, row)) for row in rows]
+            if len(known) > KEPT:
+                known.clear()
+            distinct = list(set().union(*rows).difference(known))
+            known.update((w, table.ids_of(i) if i >= 0 else merged_text(w, ranks.value)) for w, i in zip(distinct, found_words(table, distinct).tolist()))
+            coded = [",".join(map(known.__getitem__, row)) for row in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, end - start), pa.array(coded, pa.string())], ["_row", "_ids"])
             start = end
 
@@ -176,21 +212,24 @@ def decoded_rows(batches: Iterator[pa.RecordBatch], shared, ids_col: str, block_
             start = end
 
 
-def others(docs: DataFrame, name: str) -> list[Column]:
+def others(columns: Sequence[str], name: str) -> list[Column]:
     """The columns of ``_row`` but one of this name."""
-    return [F.col("_row").getField(c).alias(c) for c in docs.columns if c != name]
+    return [F.col("_row").getField(c).alias(c) for c in columns if c != name]
 
 
-def encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents with their ids, as text joined by commas."""
+def encode(
+    docs: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids", most: int = FREQUENT, block_chars: int = BLOCK_CHARS,
+    keep: Sequence[str] | None = None,
+) -> DataFrame:
+    """The documents with their ids, as text joined by commas; of their columns those in ``keep`` (None: all), which spares the texts a way back."""
+    columns = docs.columns if keep is None else list(keep)
     context = docs.sparkSession.sparkContext
     ranks = context.broadcast(load_ranks(path))
-    table = frequent_words(docs, ranks, text_col, most).toArrow()  # at most ``most`` rows
-    shared = context.broadcast(word_table(table.column("word").to_pylist(), table.column("ids").to_pylist()))
-    rows = docs.select(F.struct("*").alias("_row"), whole_text(F.col(text_col)).alias("_text"))
+    shared = context.broadcast(hashed_table(frequent_words(docs, ranks, text_col, most).toArrow()))  # at most ``most`` rows
+    rows = docs.select(F.struct(*columns).alias("_row"), whole_text(F.col(text_col)).alias("_text"))
     out = T.StructType([rows.schema.fields[0], T.StructField("_ids", T.StringType())])
     rows = rows.mapInArrow(lambda it: encoded_rows(it, shared, ranks, block_chars), out)
-    return rows.select(*others(docs, ids_col), F.col("_ids").alias(ids_col))
+    return rows.select(*others(columns, ids_col), F.col("_ids").alias(ids_col))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -199,7 +238,7 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     rows = docs.select(F.struct("*").alias("_row"))
     out = T.StructType([rows.schema.fields[0], T.StructField("_decoded", T.BinaryType())])
     rows = rows.mapInArrow(lambda it: decoded_rows(it, shared, ids_col, block_chars), out)
-    return rows.select(*others(docs, out_col), F.col("_decoded").alias(out_col))
+    return rows.select(*others(docs.columns, out_col), F.col("_decoded").alias(out_col))
 
 
 def token_count(ids: Column) -> Column:

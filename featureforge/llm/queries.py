@@ -77,7 +77,7 @@ def vocabulary() -> str:
 @query
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = documents(spark, folder).select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(docs, vocabulary()).drop("text"), vocabulary())
+    coded = bpe.decode(bpe.encode(docs, vocabulary(), keep=["doc_id"]), vocabulary())
     return coded.select("doc_id", bpe.token_count(F.col("ids")).alias("n_tokens"), sha256_text(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

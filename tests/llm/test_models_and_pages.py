@@ -66,6 +66,31 @@ def test_bpe_merges_long_words_in_less_than_square_time(spark, vocabulary):
     assert sorted(r.ids for r in got) == sorted(",".join(map(str, coder.encode_ordinary(t))) for t in texts)
 
 
+def test_short_words_merge_like_long_ones(monkeypatch):
+    """Without a heap and with one; ASCII text is cut alike by both modules."""
+    import re
+
+    import regex
+
+    rng = random.Random(12)
+    ranks = {bytes([i]): i for i in range(256) if i != 120}
+    for i in range(300):
+        ranks.setdefault(bytes(rng.choices(b"abc ", k=rng.randrange(2, 6))), 1_000 + i)
+    some = [bytes(rng.choices(b"abcx ", k=k)) for k in range(70) for _ in range(20)]
+    short = [bpe.merged_short(w, ranks) if w not in ranks else [ranks[w]] for w in some]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [bpe.merged(w, ranks) for w in some] == short
+    for _ in range(300):
+        text = "".join(map(chr, rng.choices([*range(128), 32, 32, 39, 100, 115], k=200)))
+        assert re.findall(bpe.ASCII_PATTERN, text) == regex.findall(bpe.PATTERN, text)
+
+
+def test_encoding_keeps_named_columns(spark, edge, edge_rows, vocabulary):
+    got = bpe.encode(edge, vocabulary, keep=["doc_id"])
+    assert got.columns == ["doc_id", "ids"] and got.count() == len(edge_rows)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, bpe.encode(edge, vocabulary).select("doc_id", "ids").collect()))
+
+
 def test_word_table_tells_words_apart():
     words = [f"w{i}" for i in range(500)]
     table = bpe.word_table(words[:300], [",".join(map(str, range(i % 4 + 1))) for i in range(300)])
