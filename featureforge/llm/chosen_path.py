@@ -8,9 +8,9 @@ passes each set on by its minwise token there. Tree nodes of at most ``LEAF``
 sets are compared exhaustively. In a larger one, first all sets meet
 ``LEADERS`` of them, drawn anew for each tree node, by sketch; each set's
 ``TRIED`` likeliest ones are confirmed, and the links made components. Pairs inside a component need no more looks: a
-tree node of one component is done; one in which at most ``LEAF`` sets lie
-outside the largest component compares these with all others at the end, in
-blocks that hand on links only; only what is still mixed branches on. What is mixed at the last level is compared on
+tree node of one component is done. One of at most ``DIRECT`` sets, or in which at most ``LEAF`` sets lie
+outside the largest component, compares the sets outside with all others at the end, in
+tasks of block pairs that hand on links only; only what is larger and still mixed branches on. What is mixed at the last level is compared on
 full sets across its components, in blocks of at most ``SIDE`` by ``SIDE`` sets.
 
 Elsewhere, pairs whose one-bit sketches differ too much or whose sizes rule the
@@ -49,10 +49,12 @@ MOST_DIFFERENT = 30
 #: Marks in which a pair at the threshold may differ: mean 38.4, standard deviation 5.5 (5e-6 differ in more).
 MOST_APART = 64
 TREES, STEP, DEPTH, LEAF = 14, 3, 12, 50
-#: Sets on each side of a block in which a crowded node is compared exhaustively.
-SIDE = 256
-#: Members of a crowded node that all are compared with, and sets of its main component in a block that the few others are compared with.
-LEADERS, SKETCHES = 3, 512
+#: Sets of a crowded node that is compared directly instead of branching on: its pairs are looked at in tasks and make no rows.
+DIRECT = 4096
+#: Sets on each side of a block in which a crowded node is compared, by sketches and on full sets; and shingles on each side of the latter.
+SKETCHES, SIDE, SIDE_SHINGLES = 2048, 1024, 1 << 20
+#: Members of a crowded node that all are compared with.
+LEADERS = 3
 #: Leaders that a set is compared with on full sets; it is tried again only with leaders that these links have not joined it with.
 TRIED = 3
 #: Times that the likeliest pair of each two components is confirmed before all other pairs are.
@@ -205,8 +207,15 @@ def confirm_rows(batches: Iterator[pa.RecordBatch], size: int, percent: int) ->
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def joining_links(rows: pa.Table, lefts: np.ndarray, rights: np.ndarray, size: int, percent: int) -> pa.Table:
-    """Links (a, b) that join different components, between the rows ``lefts`` and ``rights`` of (node, component, text); all pairs are compared."""
+def sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of block ``i`` of one block pair, and those that they meet: of block ``j``, which with the first main block are both."""
+    i, j, member = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.asarray(rows.column("member"))
+    return np.flatnonzero(member == i), np.arange(rows.num_rows) if j == rows.column("first")[0].as_py() else np.flatnonzero(member == j)
+
+
+def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
+    """Links (a, b) that join different components, among (i, j, first, member, node, component, text) of one block pair; all pairs are compared."""
+    lefts, rights = sides(rows)
     nodes, of = np.asarray(rows.column("node")), rows.column("component").to_pylist()
     parent: dict[int, int] = {}
 
@@ -219,11 +228,13 @@ def joining_links(rows: pa.Table, lefts: np.ndarray, rights: np.ndarray, size: i
     lengths = np.array([len(s) for s in sets])
     known, codes = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(lengths)])
+    mark = np.zeros(len(known), np.int32)
     a_found, b_found = [], []
     for a in lefts:
-        mark = np.zeros(len(known), np.int64)
-        mark[codes[starts[a]:starts[a + 1]]] = 1
+        own = codes[starts[a]:starts[a + 1]]
+        mark[own] = 1
         common = np.add.reduceat(mark[codes], starts[:-1])  # no set is empty
+        mark[own] = 0
         near = 100 * common >= percent * (lengths[a] + lengths - common)
         for b in rights[near[rights]]:
             ra, rb = find(of[a]), find(of[b])
@@ -234,40 +245,39 @@ def joining_links(rows: pa.Table, lefts: np.ndarray, rights: np.ndarray, size: i
     return pa.table({"a": pa.array(a_found, pa.int64()), "b": pa.array(b_found, pa.int64())})
 
 
-def block_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links that join different components, among (i, j, member, node, component, text) of one block pair."""
-    i, j, member = rows.column("i")[0].as_py(), rows.column("j")[0].as_py(), np.asarray(rows.column("member"))
-    return joining_links(rows, np.flatnonzero(member == i), np.flatnonzero(member == j), size, percent)
+def dealt(rows: DataFrame, side) -> DataFrame:
+    """``mixed_nodes`` in pairs ``(path, i, j)`` of blocks of about ``side`` sets, each row with its block ``member``.
 
+    The sets outside the main component are dealt to blocks, and each of these
+    meets all others and the blocks of the main component, from ``first`` on;
+    its own sets meet in the pair with that one. A tree node of one block of
+    each kind has every row once.
+    """
+    salt, is_main = F.xxhash64("node", "path"), F.col("component") == F.col("main")
+    first, mains = F.ceil(F.col("others") / side).cast("int"), F.ceil(F.col("mains") / side).cast("int")
+    member = F.when(is_main, first + F.pmod(salt, mains)).otherwise(F.pmod(salt, first)).cast("int")
+    last = F.when(is_main, first).otherwise(first + mains) - 1
+    meets = rows.withColumns({"first": first, "member": member, "last": last})
+    meets = meets.withColumn("with", F.explode(F.filter(F.sequence(F.lit(0), F.col("last")), lambda x: x != F.col("member"))))
+    return meets.withColumns({"i": F.least("member", "with"), "j": F.greatest("member", "with")}).drop("with", "last")
 
-def other_links(rows: pa.Table, size: int, percent: int) -> pa.Table:
-    """Links that join different components, between the other sets and all sets of one block of (other, node, component, text)."""
-    return joining_links(rows, np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False)), np.arange(rows.num_rows), size, percent)
 
+def compared(rows: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int, label: str) -> DataFrame:
+    """Links between the components of each tree node in ``rows``, as of ``mixed_nodes``, by comparing all pairs on full sets in tasks; staged."""
+    texts = texts_of(rows.select("node"), classes, docs)
+    side = F.greatest(F.lit(16), F.least(F.lit(SIDE), F.lit(SIDE_SHINGLES) / F.col("most")))
+    columns = ["i", "j", "first", "member", "node", "component", "text"]
+    return stage(dealt(rows, side).join(texts, "node").groupBy("path", "i", "j").applyInArrow(
+        lambda rows: block_links(rows.select(columns), size, percent), "a long, b long"), label)
 
-def crowded_links(large: DataFrame, joined: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links between the components ``joined(node, component)`` within the tree nodes ``large(path, node)``; staged.
 
-    The members outside a tree node's largest component are dealt to blocks, and
-    every block meets itself, the other ones, and the blocks of that component.
-    """
-    rows = mixed_nodes(large, joined).withColumn("others", F.ceil(F.col("others") / SIDE).cast("int")).withColumn("mains", F.ceil(F.col("mains") / SIDE).cast("int"))
-    if rows.isEmpty():
-        return None
-    texts = texts_of(rows.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs)
-    salt, is_main = F.xxhash64("node", "path"), F.col("component") == F.col("main")
-    member = F.when(is_main, F.col("others") + F.pmod(salt, F.col("mains"))).otherwise(F.pmod(salt, F.col("others"))).cast("int")
-    last = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
-    dealt = rows.withColumn("member", member).withColumn("other", F.explode(F.sequence(F.lit(0), last))).select(
-        "path", F.least("member", "other").alias("i"), F.greatest("member", "other").alias("j"), "member", "node", "component")
-    return stage(dealt.join(texts, "node").groupBy("path", "i", "j").applyInArrow(
-        lambda rows: block_links(rows.select(["i", "j", "member", "node", "component", "text"]), size, percent), "a long, b long"), "crowded")
-
-
-def texts_of(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``(node, text)`` of every node in ``pairs(a, b)``; staged, as the one time that texts cross an exchange whole."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stage(classes.join(wanted, "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "wanted")
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def texts_of(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``(node, text)`` of every node in ``nodes(node)``; staged, as the one time that texts cross an exchange whole."""
+    wanted = stage(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("id").alias("_id"), F.col("text_key").alias("_key")), "wanted")
     wanted = wanted.where(F.col("node") >= 0)  # a condition, which Spark asks of the side that it makes a filter from
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")))
     with settings(docs.sparkSession, FILTER_SETTINGS):
@@ -283,22 +293,28 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 
 def candidates(rows: pa.Table, percent: int) -> pa.Table:
-    """The sets of one block that another component's set in it may be linked with, where one of both is an other set.
+    """Those of one block pair that a set of another component on its other side may be linked with.
 
-    Rows are (path, block, other, node, component, n_shingles, s1, s2, marks); the first five are returned.
+    Rows are (path, node, component, main, others, mains, most, i, j, first, member, n_shingles, s1, s2, marks); the first seven are returned.
     """
+    lefts, rights = sides(rows)
     part, size = np.asarray(rows.column("component")), np.asarray(rows.column("n_shingles"))
     bits = np.stack([np.asarray(rows.column(c)).view(np.uint64) for c in ("s1", "s2")], axis=1)
     marks = marks_of(rows.column("marks"))
     kept = np.zeros(rows.num_rows, bool)
-    for i in np.flatnonzero(rows.column("other").to_numpy(zero_copy_only=False)):
-        differ = np.bitwise_count(bits ^ bits[i]).sum(axis=1)
-        fits = np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent
-        at = np.flatnonzero((differ <= MOST_DIFFERENT) & fits & (part != part[i]))
-        at = at[(marks[at] != marks[i]).sum(axis=1) <= MOST_APART]
+    for a in lefts:
+        fits = np.minimum(size[rights], size[a]) * 100 >= np.maximum(size[rights], size[a]) * percent
+        at = rights[fits & (part[rights] != part[a])]
+        at = at[np.bitwise_count(bits[at] ^ bits[a]).sum(axis=1) <= MOST_DIFFERENT]
+        if kept[a]:
+            at = at[~kept[at]]
+        at = at[(marks[at] != marks[a]).sum(axis=1) <= MOST_APART]
         kept[at] = True
-        kept[i] |= len(at) > 0
-    return rows.select(["path", "block", "other", "node", "component"]).filter(pa.array(kept))
+        kept[a] |= len(at) > 0
+    return rows.select(CHOSEN).filter(pa.array(kept))
+
+
+CHOSEN = ["path", "node", "component", "main", "others", "mains", "most"]
 
 
 def with_leaders(large: DataFrame) -> DataFrame:
@@ -337,34 +353,27 @@ def leaders_apart(mixed: DataFrame, percent: int) -> DataFrame:
 
 
 def mixed_nodes(large: DataFrame, joined: DataFrame) -> DataFrame:
-    """``(path, node, ..., component, main, others, mains)`` of the tree nodes with several components, where ``main`` is the largest; staged."""
+    """``(path, node, ..., component, main, others, mains, most)`` of the tree nodes with several components; staged.
+
+    ``main`` is the largest one, with ``mains`` sets, ``others`` counts the sets outside it, ``most`` the shingles of the largest set.
+    """
     found = joined.select("node", F.col("component").alias("known"))
     large = stage(large.join(found, "node", "left").withColumn("component", F.coalesce("known", "node")).drop("known"), "parts")
-    shares = large.groupBy("path", "component").agg(F.count("*").alias("n"))
-    shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("most"))
-    shape = shape.where(F.col("size") > F.col("most.n")).select(
-        "path", F.col("most.component").alias("main"), (F.col("size") - F.col("most.n")).alias("others"), F.col("most.n").alias("mains"))
+    shares = large.groupBy("path", "component").agg(F.count("*").alias("n"), F.max("n_shingles").alias("most"))
+    shape = shares.groupBy("path").agg(F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top"), F.max("most").alias("most"))
+    shape = shape.where(F.col("size") > F.col("top.n")).select(
+        "path", F.col("top.component").alias("main"), (F.col("size") - F.col("top.n")).alias("others"), F.col("top.n").alias("mains"), "most")
     return stage(large.join(shape, "path"), "mixed")
 
 
-def few_links(few: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links between the components of the mixed nodes ``few``, whose few sets outside the main component meet every block of that one's sets; staged.
-
-    Sketches and marks choose the sets whose texts are read; a block's sets are compared in its task, which hands on links only.
-    """
-    known = classes.select("node", "n_shingles", "s1", "s2", "marks")
-    other = F.col("component") != F.col("main")
-    blocks = F.ceil(F.col("mains") / SKETCHES).cast("int")
-    block = F.when(other, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", "path"), blocks).cast("int")))
-    dealt = few.select("path", "node", "component", other.alias("other"), F.explode(block).alias("block")).join(known, "node").select(
-        "path", "block", "other", "node", "component", "n_shingles", "s1", "s2", "marks")
-    chosen = stage(dealt.groupBy("path", "block").applyInArrow(
-        lambda rows: candidates(rows, percent), "path long, block int, other boolean, node long, component long"), "chosen")
-    if chosen.isEmpty():
-        return None
-    texts = texts_of(chosen.select(F.col("node").alias("a"), F.col("node").alias("b")), classes, docs)
-    return stage(chosen.join(texts, "node").groupBy("path", "block").applyInArrow(
-        lambda rows: other_links(rows.select(["other", "node", "component", "text"]), size, percent), "a long, b long"), "few")
+def direct_links(direct: DataFrame, classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links between the components of the mixed nodes ``direct``; staged. Sketches and marks choose the sets whose texts are read and compared."""
+    known = classes.select("node", "marks")
+    columns = [*CHOSEN, "i", "j", "first", "member", "n_shingles", "s1", "s2", "marks"]
+    chosen = stage(dealt(direct, F.lit(SKETCHES)).join(known, "node").groupBy("path", "i", "j").applyInArrow(
+        lambda rows: candidates(rows.select(columns), percent),
+        "path long, node long, component long, main long, others long, mains long, most long").distinct(), "chosen")
+    return None if chosen.isEmpty() else compared(chosen, classes, docs, size, percent, "direct")
 
 
 def apart(pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -396,11 +405,11 @@ def join_up(
     open_ = stage(sifted(apart(pairs.distinct(), joined), classes), "pairs")
     if joined is not None and open_.isEmpty():
         return links, joined
-    texts = texts_of(open_, classes, docs)
+    texts = texts_of(ends(open_), classes, docs)
     for i in range(ROUNDS + 2):
         if i == 0:
-            ends = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
-            best = open_.select("far", F.explode(ends).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
+            each = F.array(F.struct(F.col("a").alias("n"), F.col("b").alias("of")), F.struct(F.col("b").alias("n"), F.col("a").alias("of")))
+            best = open_.select("far", F.explode(each).alias("e")).groupBy("e.n").agg(F.min(F.struct("far", "e.of")).alias("m"))
             tried = best.select(F.least("n", "m.of").alias("a"), F.greatest("n", "m.of").alias("b")).distinct()
         elif i <= ROUNDS:
             best = open_.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.min(F.struct("far", "a", "b")).alias("m"))
@@ -422,27 +431,30 @@ def join_up(
 
 def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percent: int) -> DataFrame:
     """``(node, component)`` of every node that has a link."""
-    small, looks, fewer, still, links, joined = [], [], [], None, None, None
+    small, looks, direct, still, links, joined = [], [], [], None, None, None
     rows = stage(classes.select(*KNOWN, "signature").mapInArrow(lambda it: path_rows(it, trees, STEP), PATHS), "paths")
     for level in range(STEP, DEPTH + 1, STEP):
-        crowded = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > LEAF).select("path"), "crowded_paths")
+        crowded = stage(rows.groupBy("path").agg(F.count("*").alias("size")).where(F.col("size") > LEAF), "crowded_paths")
         small.append(rows.join(crowded, "path", "left_anti"))
         if crowded.isEmpty():
             break
-        large = stage(rows.join(crowded, "path"), "large")
+        sized = stage(rows.join(crowded, "path"), "large")
         if level == STEP:
-            tried = stage(best_leaders(large, percent), "tried")
-            links = confirmed(tried, texts_of(tried, classes, docs), size, percent)
+            tried = stage(best_leaders(sized.drop("size"), percent), "tried")
+            links = confirmed(tried, texts_of(ends(tried), classes, docs), size, percent)
             joined = stage(components(links), "components")
-        mixed = mixed_nodes(large, joined)
-        fewer.append(mixed.where(F.col("others") <= LEAF).select("path", "node"))
+        direct.append(sized.where(F.col("size") <= DIRECT).drop("size"))
+        if crowded.where(F.col("size") > DIRECT).isEmpty():
+            break
+        mixed = mixed_nodes(sized.where(F.col("size") > DIRECT).drop("size"), joined)
+        direct.append(mixed.where(F.col("others") <= LEAF).select("path", *KNOWN))
         many = mixed.where(F.col("others") > LEAF)
         if many.isEmpty():
             break
         if level == STEP:
             looks.append(leaders_apart(many, percent))
         if level + STEP > DEPTH:
-            still = many.select("path", "node")
+            still = many.select("path", *KNOWN)
         else:
             deeper = many.join(classes.select("node", "signature"), "node").select(*KNOWN, "signature", "path")
             rows = stage(deeper.mapInArrow(lambda it: path_rows(it, trees, STEP), PATHS), "paths")
@@ -452,10 +464,10 @@ def all_links(classes: DataFrame, docs: DataFrame, trees: int, size: int, percen
     meet = a.join(b, "path").where((F.col("node_a") < F.col("node_b")) & near(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     links, joined = join_up(reduce(DataFrame.unionByName, looks, meet), links, joined, classes, docs, size, percent)
     more = []
-    if fewer and not (few := mixed_nodes(reduce(DataFrame.unionByName, fewer), joined)).isEmpty():
-        more.append(few_links(few, classes, docs, size, percent))
-    if still is not None:
-        more.append(crowded_links(still, joined, classes, docs, size, percent))
+    if direct and not (rows := mixed_nodes(reduce(DataFrame.unionByName, direct), joined)).isEmpty():
+        more.append(direct_links(rows, classes, docs, size, percent))
+    if still is not None and not (rows := mixed_nodes(still, joined)).isEmpty():
+        more.append(compared(rows, classes, docs, size, percent, "crowded"))
     more = [m for m in more if m is not None and not m.isEmpty()]
     if more:
         joined = stage(components(reduce(DataFrame.unionByName, more, links)), "components")

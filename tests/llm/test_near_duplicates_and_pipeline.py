@@ -188,6 +188,52 @@ def test_leaders_make_few_rows(spark, monkeypatch):
     assert max(made["pairs"] + made["tried"]) <= 3 * 300
 
 
+@pytest.mark.parametrize("direct", [4096, 30])
+def test_unlinked_group_makes_few_rows(spark, monkeypatch, direct):
+    """Half of a crowded group is like all of it, but not linked: compared in its tree nodes, it does not branch on nor make pairs."""
+    made = defaultdict(list)
+
+    def counted(df, label="stage"):
+        out = staging.stage(df, label)
+        made[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(chosen_path, "stage", counted)
+    monkeypatch.setattr(chosen_path, "DIRECT", direct)
+    monkeypatch.setattr(chosen_path, "DEPTH", 6)
+    monkeypatch.setattr(chosen_path, "SKETCHES", 100)
+    monkeypatch.setattr(chosen_path, "SIDE", 40)
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+    rows = []
+    for c in range(300):
+        copy = list(words)
+        for at in rng.sample(range(1, 199, 2), 13 if c % 2 else 6):
+            copy[at] = f"c{rng.randrange(10**9)}"
+        rows.append((c, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    check(chosen_path.near_duplicates(docs).collect(), rows)
+    if direct > 300:
+        assert len(made["paths"]) == len(made["large"]) == len(made["mixed"]) == 1
+        assert made["pairs"][-1] < 3_000
+    else:
+        assert len(made["paths"]) > 1 and made["crowded"]
+
+
+def test_blocks_meet_once():
+    """Every pair of a node with a set outside the main component meets in one block pair; of one block each there is one row a set."""
+    def rows(member, i, j, first):
+        n = len(member)
+        return pa.table({"i": [i] * n, "j": [j] * n, "first": [first] * n, "member": member})
+
+    met = Counter()
+    for i, j in [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3)]:  # two blocks of others, two of the main component
+        lefts, rights = chosen_path.sides(rows([i, i, j], i, j, 2))
+        met.update((min((i, a), (m, b)), max((i, a), (m, b))) for a in lefts for b in rights for m in [[i, i, j][b]])
+    blocks = {tuple(sorted((x[0], y[0]))) for x, y in met}
+    assert blocks == {(0, 0), (0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3)}
+
+
 @pytest.fixture(scope="module")
 def folder(spark, edge, tmp_path_factory):
     path = tmp_path_factory.mktemp("tables")
